@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from braidgraph.llm.common import table
 
 
+def op1_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from braidgraph.llm.pivot_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidgraph.llm.secret_scan import scan_secrets
 
@@ -28,6 +36,15 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidgraph.llm.warc_index import archive_folder, merge_index, read_archives, write_archives
+
+    path = archive_folder(spark)
+    write_archives(table(spark, sf_dir, "pages"), path)
+    index = merge_index(read_archives(spark, path))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidgraph.llm.decontaminate import contamination_report
 
@@ -41,9 +58,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pivot_search": op1_pivot_search,
     "op2_secret_scan": op2_secret_scan,
     "op4_chat_format": op4_chat_format,
     "op5_shard": op5_shard,
+    "op6_warc": op6_warc,
     "op8_decontaminate": op8_decontaminate,
     "op10_pack": op10_pack,
 }
@@ -56,6 +75,14 @@ for _plain, _safe in (("\\", "\\\\"), ("<|", "\\l|"), ("<s>", "\\ls>"), ("</s>",
     _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_safe}')"
 
 ORACLE_SQL = {
+    "op1_pivot_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""",
     "op4_chat_format": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
@@ -66,6 +93,19 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, segment) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
+""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1),
+k AS (SELECT *, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
+  THEN array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:www\d*\.)?([^/?#:]*)', 1)), '.')), ',') || ')' ||
+    coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*(?::\d+)?([^#]*)', 1)), ''), '/')
+  ELSE lower(url) END AS url_key FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN g.m > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.m > page_id THEN g.m END AS refers_to, url_key,
+  row_number() OVER (ORDER BY url_key, page_id % 1000000000, page_id) - 1 AS position
+FROM k LEFT JOIN g USING (d)
 """,
     "op8_decontaminate": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
