@@ -21,6 +21,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidgraph.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidgraph.llm.chat_format import format_turns, read_back
 
@@ -60,6 +66,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pivot_search": op1_pivot_search,
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_shard": op5_shard,
     "op6_warc": op6_warc,
