@@ -51,6 +51,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from braidgraph.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = dedup_lines(docs, drop_emptied=False, report=True)
+    return left.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidgraph.llm.decontaminate import contamination_report
 
@@ -70,6 +80,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_shard": op5_shard,
     "op6_warc": op6_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op10_pack": op10_pack,
 }
@@ -113,6 +124,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
   CASE WHEN g.m > page_id THEN g.m END AS refers_to, url_key,
   row_number() OVER (ORDER BY url_key, page_id % 1000000000, page_id) - 1 AS position
 FROM k LEFT JOIN g USING (d)
+""",
+    "op7_line_dedup": r"""
+WITH docs AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS o FROM documents),
+lines AS (SELECT o, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT o, string_split(text, chr(10)) AS l FROM docs WHERE text IS NOT NULL)),
+w AS (SELECT o, pos, line, greatest(1, len(regexp_extract_all(line, '\S+'))) AS words FROM lines),
+pairs AS (SELECT a.o AS o1, b.o AS o2, b.pos - a.pos AS shift, b.pos AS pos, b.words FROM w a JOIN w b ON a.line = b.line AND (a.o < b.o OR a.o = b.o AND a.pos < b.pos)),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY o1, o2, shift ORDER BY pos) AS island FROM pairs),
+runs AS (SELECT o2 AS o, pos, sum(words) OVER (PARTITION BY o1, o2, shift, island) AS total FROM islands),
+gone AS (SELECT DISTINCT o, pos FROM runs WHERE total >= 4),
+kept AS (SELECT w.o, count(*) AS n, count(gone.pos) AS g, string_agg(line, chr(10) ORDER BY w.pos) FILTER (gone.pos IS NULL) AS text
+  FROM w LEFT JOIN gone ON w.o = gone.o AND w.pos = gone.pos GROUP BY w.o)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(g, 0) AS n_deleted, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM docs LEFT JOIN kept USING (o)
 """,
     "op8_decontaminate": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
