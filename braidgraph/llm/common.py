@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,16 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join for which both sides are dealt anew, so that adaptive execution can split
+    the partitions of a key that holds a large share of ``left``.
+
+    An aggregate's result is already partitioned by its keys, and a join that reuses
+    that partitioning can't be split; the hash of the keys is a further join key that
+    no side is partitioned by.
+    """
+    k = fresh(left, "__k")
+    hashed = F.xxhash64(*on)
+    return left.withColumn(k, hashed).join(right.withColumn(k, hashed), [*on, k], how).drop(k)

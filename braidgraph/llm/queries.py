@@ -67,6 +67,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidgraph.llm.group_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidgraph.llm.pack_exact import pack
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_group_join": op9_group_join,
     "op10_pack": op10_pack,
 }
 
@@ -93,6 +100,18 @@ for _plain, _safe in (("\\", "\\\\"), ("<|", "\\l|"), ("<s>", "\\ls>"), ("</s>",
     _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_safe}')"
 
 ORACLE_SQL = {
+    "op9_group_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+t AS (SELECT doc_id, unnest(g) AS g FROM s),
+shared AS (SELECT doc_id, g FROM t WHERE g IN (SELECT g FROM t GROUP BY g HAVING count(*) > 1)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shared a JOIN shared b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM met JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.y) AS component_id FROM n JOIN reach ON reach.x = n.doc_id GROUP BY 1, 2
+""",
     "op1_pivot_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
