@@ -13,15 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    where that is unset, as in tests on one machine, a local folder is made.
+    Only where that is unset, as in tests on one machine, a local folder is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braid-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpointed
+from braidgraph.llm.common import checkpoint_folder, checkpointed
 
 MIN_REVISIT, MAX_RECORDS = 1000, 5000
 #: Captures without a time are dated from this second on, by page id.
@@ -306,5 +306,4 @@ def merge_index(runs: DataFrame) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which every executor reaches."""
-    checkpointed(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/archives-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/archives-{uuid.uuid4().hex}"
