@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpointed, fresh
+from braidgraph.llm.common import checkpointed, dealt_join, fresh
 
 MIN_WORDS = 4
 _LOW = -(2**63)
@@ -51,7 +51,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     ids = lines.select("d", "t", "pos", F.greatest(F.lit(1), F.regexp_count("line", F.lit(r"\S+"))).alias("words"), F.xxhash64("line").alias("r"))
     again = ids.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
     # rows that repeat both id and text count for the filter, then become one document
-    return ids.join(again, "r", "left_semi").select("d", "t", "pos", "words", "r").distinct()
+    return dealt_join(ids, again, ["r"], "left_semi").select("d", "t", "pos", "words", "r").distinct()
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = checkpointed(by_doc.select("d", "t", F.col("pos").cast("long"), F.col("words").cast("long"), *(f"r{k}" for k in range(top + 1))).mapInArrow(run, schema))
     place = F.struct("d", "t", "start")
     firsts = spans.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = spans.join(firsts, ["length", "a", "b"]).where(place != F.col("first"))
+    again = dealt_join(spans, firsts, ["length", "a", "b"]).where(place != F.col("first"))
     return again.select("d", "t", "start", "length")
 
 
