@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpoint_folder, checkpointed
+from braidgraph.llm.common import checkpoint_folder, checkpointed, dealt_join
 
 MIN_REVISIT, MAX_RECORDS = 1000, 5000
 #: Captures without a time are dated from this second on, by page id.
@@ -44,7 +44,7 @@ def record_types(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     """(page_id, digest, refers_to) of the pages that are revisits."""
     slim = pages.select("page_id", "digest").where(F.col("size") >= least)
     groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    revisits = slim.join(groups, "digest").where("page_id is null or page_id < refers_to")
+    revisits = dealt_join(slim, groups, ["digest"]).where("page_id is null or page_id < refers_to")
     return revisits.groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"))
 
 
