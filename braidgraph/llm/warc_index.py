@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from braidgraph.llm.common import checkpoint_folder, checkpointed, dealt_join
 
-MIN_REVISIT, MAX_RECORDS = 1000, 5000
+MIN_REVISIT, MAX_RECORDS = 1000, 1000
 #: Captures without a time are dated from this second on, by page id.
 EPOCH = 1_704_067_200
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
