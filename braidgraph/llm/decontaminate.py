@@ -18,7 +18,6 @@ repeated items count once; repeated documents are each reported.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,8 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import fresh
-
 WINDOW = 10
 MAX_WORDS = 400_000
 
@@ -237,49 +234,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A document of which more than ``max_coverage`` of the words are hit goes as a
     whole; clean documents stay as they are, null texts included. Cutting can bring
     an item's window together again from its two sides, so the cut text is matched
-    and cut again until nothing is hit.
+    and cut again until no slice of the benchmark hits it. A task holds one slice's
+    automaton at a time.
     """
-    spare = fresh(docs, "__row")
     schema, names = docs.schema, docs.columns
     sc = docs.sparkSession.sparkContext
-    cur = docs.withColumn(spare, F.lit(0.0))
-    wide = T.StructType([*schema.fields, T.StructField(spare, T.DoubleType())])
     slices = [sc.broadcast(a) for a in automata(benchmark, window, max_words)]
     t_at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def cut(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        a = shared.value
+    def cut_all(raw: list[bytes | None]) -> dict[int, int]:
+        """Cuts the texts in place; the number of words that each has lost."""
+        lost: dict[int, int] = {}
+        todo = [j for j, t in enumerate(raw) if t]
+        while todo:
+            again = set()
+            for shared in slices:
+                a = shared.value if len(slices) == 1 else shared.load_from_path(shared._path)
+                for j in todo:
+                    while spans := a.spans(words_of(raw[j]))[0]:
+                        raw[j] = cut_words(raw[j], spans)
+                        lost[j] = lost.get(j, 0) + sum(e - s for s, e in spans)
+                        again.add(j)
+            todo = sorted(again) if len(slices) > 1 else []
+        return lost
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lost = b.column(t_at).to_pylist(), b.column(len(names)).to_pylist()
-            touched = False
-            for j, text in enumerate(texts):
-                if not text:
-                    continue
-                raw = text.encode()
-                total = words = words_of(raw)
-                hit = 0
-                while (spans := a.spans(words)[0]):
-                    hit += sum(e - s for s, e in spans)
-                    raw = cut_words(raw, spans)
-                    words = words_of(raw)
-                if hit:
-                    touched = True
-                    texts[j] = raw.decode()
-                    # of the words before any slice: each slice keeps 1 - share of what it was given
-                    lost[j] = 1 - (1 - lost[j]) * (1 - hit / len(total))
-            if touched:
-                cols = [b.column(i) for i in range(b.num_columns)]
+            raw = b.column(t_at).cast(pa.binary()).to_pylist()
+            totals = {}
+            before = list(raw)
+            lost = cut_all(raw)
+            if lost:
+                totals = {j: len(words_of(before[j])) for j in lost}
+                texts = [None if t is None else t.decode() for t in raw]
+                cols = list(b.columns)
                 cols[t_at] = pa.array(texts, cols[t_at].type)
-                cols[len(names)] = pa.array(lost, pa.float64())
                 if n_at is not None:
-                    cols[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[n_at].type)
-                b = pa.RecordBatch.from_arrays(cols, names=[*names, spare])
+                    counts = b.column(n_at).to_pylist()
+                    for j in lost:
+                        counts[j] = len(texts[j])
+                    cols[n_at] = pa.array(counts, cols[n_at].type)
+                b = pa.RecordBatch.from_arrays(cols, names=names)
+                b = b.filter(pa.array([j not in lost or lost[j] <= max_coverage * totals[j] for j in range(b.num_rows)], pa.bool_()))
             yield b
 
-    for shared in slices:
-        cur = cur.mapInArrow(lambda batches, shared=shared: cut(batches, shared), wide)
-    return cur.where(F.col(spare) <= max_coverage).drop(spare)
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    return docs.mapInArrow(run, schema) if slices else docs

@@ -32,7 +32,11 @@ UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 MAX_DOCS, PER_DOC, MAX_LANGS = 3072, 3, 64
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 @dataclass
@@ -168,7 +172,7 @@ def fit(docs: DataFrame, may_learn: Column, max_docs: int = MAX_DOCS, per_doc: i
     span = F.greatest(F.lit(0), F.length("text") - window)
     cuts = F.array(*(F.substring(F.col("text"), F.floor(span * (k / max(1, per_doc - 1))).cast("int") + 1, F.lit(window)) for k in range(per_doc)))
     got = drawn.select("lang", F.array_distinct(cuts).alias("cuts")).limit(2 * max_docs).collect()
-    samples = sorted((c.encode()[:window], r["lang"]) for r in got for c in r["cuts"] if _LETTER.search(c))
+    samples = sorted((c.encode()[:window], r["lang"]) for r in got for c in r["cuts"] if has_letter(c))
     return train(samples, window) if samples else None
 
 
@@ -191,7 +195,7 @@ def score(texts: list[str | None], net: Network | None, near: np.ndarray | None,
         held.clear()
 
     for i, t in enumerate(texts):
-        if t and _LETTER.search(t):
+        if t and has_letter(t):
             held.append((i, t.encode()))
             size += len(held[-1][1])
             if size >= step:

@@ -201,7 +201,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
             if touched:
                 cols[at] = pa.array(texts, cols[at].type)
                 if n_at is not None:
-                    cols[n_at] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(cols[n_at].type)
+                    counts = b.column(n_at).to_pylist()
+                    cols[n_at] = pa.array([len(x) if s and x is not None else n for x, s, n in zip(texts, b.column(len(names)).to_pylist(), counts, strict=True)], cols[n_at].type)
             if report:
                 cols += [pa.array(totals, pa.int64()), pa.array(deleted, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
