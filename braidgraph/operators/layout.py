@@ -155,7 +155,7 @@ def nearest_node(leaves: DataFrame, skeleton: DataFrame) -> DataFrame:
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"tree_key": [], "leaf": [], "idx": [], "distance": []})
+            return pd.DataFrame({"tree_key": pd.Series(dtype=object), "leaf": pd.Series(dtype=object), "idx": pd.Series(dtype="int32"), "distance": pd.Series(dtype="float64")})
         at = right.sort_values("idx")
         own, found, far = at[["x", "y", "z"]].to_numpy(float), [], []
         for p in left[["x", "y", "z"]].to_numpy(float):

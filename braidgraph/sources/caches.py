@@ -39,7 +39,8 @@ def write_jsonl(rows: DataFrame, path: str, model: str, dim: int, created_at: st
 
 
 def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, content) of the files under ``root``, hidden and skipped folders left out; path is relative."""
+    """(path, content) of the files under ``root``, hidden and skipped folders left out; path is
+    relative. Spark's reader leaves out files without bytes."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     whole = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")

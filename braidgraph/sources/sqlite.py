@@ -59,7 +59,9 @@ class SqliteReader(DataSourceReader):
         step = -(-(hi - lo + 1) // self.parts)
         return [_Range(s, min(hi, s + step - 1)) for s in range(lo, hi + 1, step)]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
+        if partition is None:  # no partitions
+            return
         cols = ", ".join(map(_name, self.names))
         with _open(self.path) as con:
             yield from con.execute(f"SELECT {cols} FROM {_name(self.table)} WHERE rowid BETWEEN ? AND ?", (partition.first, partition.last))
