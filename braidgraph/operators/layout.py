@@ -165,3 +165,75 @@ def nearest_node(leaves: DataFrame, skeleton: DataFrame) -> DataFrame:
         return pd.DataFrame({"tree_key": left["tree_key"], "leaf": left["leaf"], "idx": found, "distance": far})
 
     return leaves.groupBy("tree_key").cogroup(skeleton.groupBy("tree_key")).applyInPandas(one, "tree_key string, leaf string, idx int, distance double")
+
+
+def limb_paths(skeleton: DataFrame) -> DataFrame:
+    """(tree_key, start, path): stretches between forks; each begins at its fork."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        children: dict[int, list[int]] = {}
+        for i, p in zip(pdf["idx"], pdf["parent"], strict=True):
+            children.setdefault(int(p), []).append(int(i))
+        starts, paths, todo = [], [], [(-1, r) for r in children.get(-1, [])]
+        while todo:
+            fork, at = todo.pop()
+            path = [at] if fork < 0 else [fork, at]
+            while len(kids := children.get(path[-1], [])) == 1:
+                path.append(kids[0])
+            todo += [(path[-1], k) for k in kids]
+            starts.append(path[0])
+            paths.append(path)
+        return pd.DataFrame({"tree_key": pdf["tree_key"].iloc[0], "start": starts, "path": paths})
+
+    return skeleton.groupBy("tree_key").applyInPandas(one, "tree_key string, start int, path array<int>")
+
+
+def _spline(points: np.ndarray, steps: int) -> np.ndarray:
+    """Catmull-Rom curve through ``points``, which stay on it."""
+    if len(points) < 3:
+        return points
+    p = np.vstack([2 * points[0] - points[1], points, 2 * points[-1] - points[-2]])
+    t = np.linspace(0, 1, steps, endpoint=False)[:, None]
+    out = [0.5 * (2 * b + (c - a) * t + (2 * a - 5 * b + 4 * c - d) * t**2 + (3 * b - a - 3 * c + d) * t**3) for a, b, c, d in zip(p, p[1:], p[2:], p[3:], strict=False)]
+    return np.vstack([*out, points[-1:]])
+
+
+def smooth_paths(skeleton: DataFrame, steps: int = 4) -> DataFrame:
+    """(tree_key, tip, i, x, y, z): splines along the paths from the root to each tip."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent, at = dict(zip(pdf["idx"], pdf["parent"], strict=True)), pdf.set_index("idx")[["x", "y", "z"]]
+        parts = []
+        for tip in sorted(set(parent) - set(parent.values())):
+            path = [tip]
+            while parent[path[-1]] >= 0:
+                path.append(parent[path[-1]])
+            curve = _spline(at.loc[path[::-1]].to_numpy(float), steps)
+            parts.append(pd.DataFrame({"tree_key": pdf["tree_key"].iloc[0], "tip": int(tip), "i": range(len(curve)), "x": curve[:, 0], "y": curve[:, 1], "z": curve[:, 2]}))
+        return pd.concat(parts)
+
+    return skeleton.groupBy("tree_key").applyInPandas(one, "tree_key string, tip int, i int, x double, y double, z double")
+
+
+def crown_spacing(points: DataFrame, probes: int = 512) -> DataFrame:
+    """(tree_key, spacing): median distance of a point to its nearest one, from evenly spaced probes."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["x", "y", "z"])[["x", "y", "z"]].to_numpy(float)
+        some = np.unique(np.linspace(0, len(p) - 1, min(probes, len(p))).round().astype(int))
+        near = []
+        for i in some:
+            d = np.linalg.norm(p - p[i], axis=1)
+            d[i] = np.inf
+            near.append(d.min())
+        return pd.DataFrame({"tree_key": [pdf["tree_key"].iloc[0]], "spacing": [float(np.median(near)) if len(p) > 1 else 0.0]})
+
+    return points.groupBy("tree_key").applyInPandas(one, "tree_key string, spacing double")
+
+
+def frame(points: DataFrame) -> DataFrame:
+    """The box around all points: its centre and radius."""
+    lo = {c: F.min(c) for c in "xyz"}
+    hi = {c: F.max(c) for c in "xyz"}
+    half = [(hi[c] - lo[c]) / 2 for c in "xyz"]
+    return points.agg(*(((hi[c] + lo[c]) / 2).alias(f"c{c}") for c in "xyz"), F.sqrt(half[0] * half[0] + half[1] * half[1] + half[2] * half[2]).alias("radius"))

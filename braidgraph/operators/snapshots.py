@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import posixpath
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidgraph.schema import SNAPSHOTS
+
 
 def _delta(column: str, before: Column) -> Column:
     return F.when(before.isNotNull(), F.col(column) - before[column])
@@ -75,3 +80,29 @@ def save(snapshots: DataFrame, new: DataFrame, same: list[str], force: bool = Fa
     if not force and (row := latest.first()) is not None and all(row[c] == fresh[c] for c in same):
         gone.add(row["key"])
     return snapshots.where(~F.col("key").isin(*gone)).unionByName(new)
+
+
+def relative_paths(value, root: str):
+    """``value`` with absolute paths inside ``root`` made relative, in nested dicts and lists too."""
+    if isinstance(value, dict):
+        return {relative_paths(k, root): relative_paths(v, root) for k, v in value.items()}
+    if isinstance(value, list):
+        return [relative_paths(v, root) for v in value]
+    base = posixpath.normpath(root) + "/"
+    if isinstance(value, str) and posixpath.isabs(value) and (posixpath.normpath(value) + "/").startswith(base):
+        return posixpath.relpath(posixpath.normpath(value), posixpath.normpath(root))
+    return value
+
+
+def capture(spark: SparkSession, key: str, branch: str, version: str, timestamp: str, stats: dict, root: str = "", hotspots: list[dict] | None = None, issues: list[str] | None = None, **extra) -> DataFrame:
+    """A one-row snapshot of ``stats``; ``extra`` metrics win over them."""
+    metrics = relative_paths({**stats, **extra}, root) if root else {**stats, **extra}
+    spots = [{k: str(v) for k, v in h.items()} for h in (relative_paths(hotspots or [], root) if root else hotspots or [])]
+    row = (key, branch, timestamp, version, int(metrics.get("total_nodes", 0)), int(metrics.get("total_edges", 0)), metrics.get("node_counts") or {}, metrics.get("edge_counts") or {}, json.dumps(metrics, sort_keys=True), spots, issues or [])
+    return spark.createDataFrame([row], SNAPSHOTS)
+
+
+def broken(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, problem): entries without a file, and files without an entry."""
+    lost = manifest.select("key").join(files.select("key"), "key", "left_anti").withColumn("problem", F.lit("broken entry"))
+    return lost.unionByName(files.select("key").join(manifest.select("key"), "key", "left_anti").withColumn("problem", F.lit("orphan file")))

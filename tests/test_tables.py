@@ -203,6 +203,14 @@ def test_organic_trees(spark):
             assert not kids or r["radius"] ** 2.2 == pytest.approx(sum(k**2.2 for k in kids))
     sk = layout.grow(pts)
     assert all(r["path"][0] == 0 for r in rows(layout.root_to_tip_paths(sk)))
+    tips = {(r["tree_key"], r["tip"]): r["path"] for r in rows(layout.root_to_tip_paths(sk))}
+    ends = {(r["tree_key"], r["path"][-1]) for r in rows(layout.limb_paths(sk))}
+    assert set(tips) <= ends
+    curve = [r for r in rows(layout.smooth_paths(sk)) if (r["tree_key"], r["tip"]) == min(tips)]
+    assert len(curve) == 4 * (len(tips[min(tips)]) - 1) + 1
+    assert all(r["spacing"] > 0 for r in rows(layout.crown_spacing(pts)))
+    box = rows(layout.frame(spark.createDataFrame([(0.0, 0.0, 0.0), (2.0, 2.0, 2.0)], "x double, y double, z double")))[0]
+    assert (box["cx"], box["radius"]) == (1.0, pytest.approx(3**0.5))
     leaves = spark.createDataFrame([("x", "l", 0.0, 0.0, 0.0)], "tree_key string, leaf string, x double, y double, z double")
     assert rows(layout.nearest_node(leaves, sk))[0]["idx"] == 0
 
@@ -214,3 +222,11 @@ def test_overlap_join(spark):
     frame = lambda x: spark.createDataFrame(x, "id int, s int, e int").select("id", F.expr("timestamp'2000-01-01' + make_dt_interval(s)").alias("start"), F.expr("timestamp'2000-01-01' + make_dt_interval(e)").alias("end"))
     got = sorted((r["left_id"], r["right_id"]) for r in rows(temporal.overlap_join(frame(a), frame(b))))
     assert got == sorted((i, j) for i, s, e in a for j, t, f in b if s <= f and t <= e)
+
+
+def test_captured_snapshots(spark):
+    s = rows(snapshots.capture(spark, "k", "main", "1", "2024", {"total_nodes": 3, "node_counts": {"f": 3}, "at": "/repo/a/b.py"}, "/repo", [{"path": "/repo/x", "n": 2}, {"path": "/other/x"}], total_edges=4))[0]
+    assert (s["total_nodes"], s["total_edges"], s["node_counts"]) == (3, 4, {"f": 3}) and '"at": "a/b.py"' in s["metrics"]
+    assert s["hotspots"] == [{"path": "x", "n": "2"}, {"path": "/other/x"}]
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    assert {(r["key"], r["problem"]) for r in rows(snapshots.broken(keys("a", "b"), keys("b", "c")))} == {("a", "broken entry"), ("c", "orphan file")}
