@@ -21,8 +21,10 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str |
     new = batch.withColumn(order, (F.col(seq).cast("long") if seq else F.lit(0).cast("long")) + 1)
     new = new.drop(seq) if seq else new
     both = current.withColumn(order, F.lit(-1).cast("long")).unionByName(new, allowMissingColumns=True)
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return both.withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop(order, "__nth")
+    names = [c for c in both.columns if c != order]
+    # a maximum, as it is taken in part before the shuffle however often a key is written
+    last = both.groupBy(*keys).agg(F.max(F.struct(order, *(c for c in names if c not in keys))).alias("__last"))
+    return last.select(*(c if c in keys else F.col("__last")[c].alias(c) for c in names))
 
 
 def query_nodes(nodes: DataFrame, kinds: Sequence[str] | None = None, module: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def hydrate(hits: DataFrame, content: DataFrame) -> DataFrame:
     """Hits with ``content`` by (kg_name, id): empty for unknown ids, null for unknown stores."""
     stores = content.select("kg_name").distinct().withColumn("known", F.lit(True))
     texts = content.select("kg_name", F.col("id").alias("node_id"), F.col("text").alias("content"))
-    joined = hits.join(texts, ["kg_name", "node_id"], "left").join(F.broadcast(stores), "kg_name", "left")
+    joined = hits.join(texts, ["kg_name", "node_id"], "left").join(stores, "kg_name", "left")
     return joined.withColumn("content", F.when(F.col("known"), F.coalesce("content", F.lit("")))).drop("known")
 
 

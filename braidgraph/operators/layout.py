@@ -8,10 +8,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidgraph.plans.lineage import numbered, scalar
+from braidgraph.plans.lineage import numbered, numbered_within, scalar
 
 GOLDEN = math.pi * (3.0 - math.sqrt(5.0))
 
@@ -38,9 +38,7 @@ def funnel(nodes: DataFrame, levels: dict[str, int], layer_gap: float = 10.0, sp
     size = F.lit(default_size)
     for at, s in (sizes or {}).items():
         size = F.when(F.col("level") == at, s).otherwise(size)
-    rows = numbered(nodes.withColumn("level", level), [F.asc("level"), *map(F.asc, order)], "rn")
-    first = rows.groupBy("level").agg(F.min("rn").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(first), "level").withColumn("i", (F.col("rn") - F.col("first")).cast("double"))
+    rows = numbered_within(nodes.withColumn("level", level), ["level"], [*map(F.asc, order)], "rn", "n").withColumn("i", (F.col("rn") - 1).cast("double"))
     radius = F.greatest(F.lit(4.0), F.lit(spacing) * size * F.sqrt("n"))
     r = radius * F.sqrt(F.col("i") / F.greatest(F.lit(1), F.col("n") - 1))
     return rows.select("id", (r * F.cos(GOLDEN * F.col("i"))).alias("x"), (r * F.sin(GOLDEN * F.col("i"))).alias("y"), (F.col("level") * layer_gap).cast("double").alias("z"))
@@ -62,17 +60,15 @@ def allium(nodes: DataFrame, edges: DataFrame, stem: float = 8.0, head: float =
 
     def around(parents: DataFrame, radius0: float, growth: float, lift: float | None, depth: int) -> DataFrame:
         kids = parents.select(F.col("id").alias("src"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "root").join(inside, "src").join(ids.select(F.col("id").alias("dst")), "dst")
-        own = Window.partitionBy("root", "src")
-        i, size = (F.row_number().over(own.orderBy("dst")) - 1).cast("double"), F.count("*").over(own)
-        placed = kids.withColumn("i", i).withColumn("size", size)
+        placed = numbered_within(kids, ["root", "src"], [F.asc("dst")], "nth", "size").withColumn("i", (F.col("nth") - 1).cast("double"))
         dx, dy, dz = sphere_point(F.col("i"), F.col("size"), F.lit(radius0) + F.sqrt("size") * growth)
         height = F.lit(lift) if lift is not None else F.col("pz")
         return placed.select(F.col("dst").alias("id"), (F.col("px") + dx).alias("x"), (F.col("py") + dy).alias("y"), (height + dz).alias("z"), F.lit(depth).alias("depth"), "root")
 
     heads = around(base, head, 0.4, stem, 1)
     tips = around(heads, orbit, 0.15, None, 2)
-    last = Window.partitionBy("id").orderBy(F.desc("depth"), F.desc("root"))
-    placed = base.unionByName(heads).unionByName(tips).withColumn("nth", F.row_number().over(last)).where("nth = 1").select("id", "x", "y", "z")
+    best = base.unionByName(heads).unionByName(tips).groupBy("id").agg(F.max(F.struct("depth", "root", "x", "y", "z")).alias("at"))
+    placed = best.select("id", *(F.col(f"at.{c}").alias(c) for c in "xyz"))
     orphans = ids.join(placed.select("id"), "id", "left_anti").select("id")
     m = scalar(orphans, F.count("*").alias("n"))
     ox, oy, oz = sphere_point((F.col("rn") - 1).cast("double"), F.col("n"), F.lit(3.0))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from braidgraph.functions import text as X
 from braidgraph.operators.graph import edges_within, expand
@@ -88,24 +87,27 @@ def query(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, query_vector:
 def greedy_spans(rows: DataFrame, order: Sequence[str], max_per_module: int | None = None, gap: int = 2) -> DataFrame:
     """Rows of each file that overlap no better row kept of it; at most ``max_per_module``.
 
-    A sequential rule, so files are handled one by one; spans of one file stay apart by
-    ``gap`` lines, so what is kept is bounded by the file's length. Rows without a file
-    or span are always kept.
+    A sequential rule, so a file's rows are streamed in rank order through one task,
+    which holds the spans kept of that file only. Rows without a file or span are
+    always kept.
     """
-    out = T.StructType(rows.schema.fields)
     spanned = F.coalesce(F.col("module_path") != "", F.lit(False)) & F.coalesce(F.col("span_end") >= F.col("span_start"), F.lit(False))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        spans: list[tuple[int, int]] = []
-        for i, (s, e) in enumerate(zip(pdf.sort_values(list(order))["span_start"], pdf.sort_values(list(order))["span_end"], strict=True)):
-            if all(b + gap < s or e + gap < a for a, b in spans) and (max_per_module is None or len(spans) < max_per_module):
-                kept.append(i)
-                spans.append((s, e))
-        return pdf.sort_values(list(order)).iloc[kept]
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, spans = None, []
+        for pdf in parts:
+            stays = []
+            for path, s, e in zip(pdf["module_path"], pdf["span_start"], pdf["span_end"], strict=True):
+                if path != file:
+                    file, spans = path, []
+                ok = (max_per_module is None or len(spans) < max_per_module) and all(b + gap < s or e + gap < a for a, b in spans)
+                if ok:
+                    spans.append((s, e))
+                stays.append(ok)
+            yield pdf[stays]
 
-    some = rows.where(spanned).groupBy("module_path").applyInPandas(keep, out)
-    return some.unionByName(rows.where(~spanned))
+    dealt = rows.where(spanned).repartition("module_path").sortWithinPartitions("module_path", *order)
+    return dealt.mapInPandas(keep, rows.schema).unionByName(rows.where(~spanned))
 
 
 def with_spans(rows: DataFrame, files: DataFrame, context: int, max_lines: int, policy: str) -> DataFrame:
@@ -121,26 +123,32 @@ def with_spans(rows: DataFrame, files: DataFrame, context: int, max_lines: int,
     sized = sized.withColumn("lost", lost).withColumn("span", F.when((F.coalesce("module_path", F.lit("")) != "") & ~F.col("lost"), span))
     own = sized.withColumns({"span_start": F.col("span.start"), "span_end": F.col("span.end"), "warning": F.lit(None).cast("string")}).drop("span", "file_lines")
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        spans: dict[str, tuple[int, int]] = {}
-        for i, r in pdf.iterrows():
-            qual = r["qualname"] or ""
-            if r["lost"]:
-                parent = spans.get(qual.rpartition(".")[0]) if "." in qual else None
-                if parent:
-                    end = min(parent[1], parent[0] + cap - 1)
-                    pdf.at[i, "span_start"], pdf.at[i, "span_end"] = parent[0], end
-                    pdf.at[i, "warning"] = f"Missing line metadata for `{r['id']}`; using capped parent span {parent[0]}-{end}."
-                else:
-                    pdf.at[i, "warning"] = f"Missing line metadata for `{r['id']}`; snippet omitted (no parent span available)."
-            if qual and not pd.isna(pdf.at[i, "span_start"]):
-                spans[qual] = (int(pdf.at[i, "span_start"]), int(pdf.at[i, "span_end"]))
-        return pdf
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, spans = None, {}
+        for pdf in parts:
+            starts, ends, said = [], [], []
+            for path, node, qual, lost, s, e in zip(*(pdf[c] for c in ("module_path", "id", "qualname", "lost", "span_start", "span_end")), strict=True):
+                if path != file:
+                    file, spans = path, {}
+                qual, warning = qual or "", None
+                s, e = (None, None) if pd.isna(s) else (int(s), int(e))
+                if lost:
+                    parent = spans.get(qual.rpartition(".")[0]) if "." in qual else None
+                    if parent:
+                        s, e = parent[0], min(parent[1], parent[0] + cap - 1)
+                        warning = f"Missing line metadata for `{node}`; using capped parent span {s}-{e}."
+                    else:
+                        warning = f"Missing line metadata for `{node}`; snippet omitted (no parent span available)."
+                if qual and s is not None:
+                    spans[qual] = (s, e)
+                starts.append(s)
+                ends.append(e)
+                said.append(warning)
+            yield pdf.assign(span_start=pd.array(starts, "Int32"), span_end=pd.array(ends, "Int32"), warning=said)
 
     filed = F.coalesce(F.col("module_path") != "", F.lit(False))
-    schema = own.schema
-    return own.where(filed).groupBy("module_path").applyInPandas(fill, schema).unionByName(own.where(~filed)).drop("lost")
+    dealt = own.where(filed).repartition("module_path").sortWithinPartitions("module_path", "id")
+    return dealt.mapInPandas(fill, own.schema).unionByName(own.where(~filed)).drop("lost")
 
 
 def module_summary(rows: DataFrame, nodes: DataFrame, edges: DataFrame, max_lines: int) -> DataFrame:

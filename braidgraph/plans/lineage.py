@@ -40,6 +40,18 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     return dealt.withColumn(name, inside).join(F.broadcast(first), part).withColumn(name, (F.col(name) + F.col(nth)).cast("long")).drop(part, nth)
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", size: str | None = None) -> DataFrame:
+    """``df`` with row numbers (from 1) inside the groups of ``keys``, and the groups' sizes if named.
+
+    The numbers are those of the global order less the group's first, so a group that
+    holds a large share of all rows is numbered by many tasks.
+    """
+    first = f"__{name}_first"
+    rows = numbered(df, [*(F.asc(k) for k in keys), *order], name)
+    groups = rows.groupBy(*keys).agg(F.min(name).alias(first), *([F.count("*").alias(size)] if size else []))
+    return rows.join(groups, keys).withColumn(name, F.col(name) - F.col(first) + 1).drop(first)
+
+
 def scalar(df: DataFrame, *aggs: Column) -> DataFrame:
     """One row of aggregates, to cross with rows instead of a window over everything."""
     return F.broadcast(df.agg(*aggs))
