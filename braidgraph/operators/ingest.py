@@ -80,7 +80,7 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str) -> DataFrame:
         rows = rows.join(done, "sha256", "left")
     else:
         rows = rows.withColumn("done", F.lit(None).cast("boolean"))
-    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), F.decode("content", "UTF-8")).when(F.col("suffix").isin(*CONVERTED_SUFFIXES), csv_to_markdown("content"))
+    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), F.make_valid_utf8(F.col("content").cast("string"))).when(F.col("suffix").isin(*CONVERTED_SUFFIXES), csv_to_markdown("content"))
     rows = rows.withColumn("text", text)
     blank = F.col("text").isNull() | (F.trim("text") == "")
     status = F.when(~supported, "skipped").when(F.col("done"), "skipped").when(F.col("path") != F.col("first_path"), "skipped")

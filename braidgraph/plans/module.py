@@ -121,5 +121,5 @@ class GraphModule:
 
     def pack(self, text: str, files: DataFrame, **how) -> retrieve.Packed:
         """``files`` is (path, content) as the file reader gives it."""
-        read = files.select(F.col("path").alias("module_path"), lines(F.decode("content", "UTF-8")).alias("lines"))
+        read = files.select(F.col("path").alias("module_path"), lines(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))).alias("lines"))
         return retrieve.pack(self.tables.nodes, self.tables.edges, self._vectors(), read, self._query_vector(text), text, priorities=self.priorities, **how)

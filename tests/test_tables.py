@@ -97,6 +97,7 @@ def test_ingestion_of_files(spark, tmp_path):
     (tmp_path / "nested" / ".hidden").mkdir(parents=True)
     for name, body in {"guide.md": "# g", "notes.txt": "n", "data.csv": "a,b\n1,2\n", "nested/deep.md": "d", "photo.jpeg": "x", "copy.md": "# g", "nested/guide.md": "other", "empty.csv": "\n", "paper.pdf": "%PDF", "nested/.hidden/x.md": "no"}.items():
         (tmp_path / name).write_text(body)
+    (tmp_path / "notes.txt").write_bytes(b"n\xff")
     files = caches.read_files(spark, str(tmp_path))
     out = {r["source_path"]: r for r in rows(ingest.ingest(files, None, "2024-01-01T00:00:00"))}
     assert len(out) == 9
@@ -104,7 +105,7 @@ def test_ingestion_of_files(spark, tmp_path):
     assert out["guide.md"]["status"] == "skipped" and "copy.md" in out["guide.md"]["reason"] and out["photo.jpeg"]["status"] == "skipped"
     assert {p for p, r in out.items() if r["status"] == "failed"} == {"empty.csv", "paper.pdf"}
     assert out["data.csv"]["text"] == "| a | b |\n| --- | --- |\n| 1 | 2 |\n" and out["data.csv"]["staged_path"] == "data.md"
-    assert out["notes.txt"]["sha256"] == hashlib.sha256(b"n").hexdigest()
+    assert out["notes.txt"]["sha256"] == hashlib.sha256(b"n\xff").hexdigest() and out["notes.txt"]["text"] == "n\ufffd"
     ledger = ingest.ingest(files, None, "t").drop("text")
     assert rows(ingest.summary(ledger))[0] == {"ingested": 5, "skipped": 2, "failed": 2, "total": 9}
     again = ingest.ingest(files, ledger, "t2")
