@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidgraph.llm.common import small_batches
+
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that act as control strings in this or other common templates.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -155,7 +157,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 tokens.append(sum(a["n_tokens"] for a in found))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(segments, pa.string()), pa.array(loss, _PA_SPANS), pa.array(attached, _PA_ATTACHED), pa.array(tokens, pa.int64())], names=SEGMENTS.fieldNames())
 
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), content.alias("content")).mapInArrow(run, SEGMENTS)
+    return small_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), content.alias("content")).mapInArrow(run, SEGMENTS)
 
 
 _DIGESTS = T.StructType(

@@ -50,3 +50,20 @@ def dealt_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     k = fresh(left, "__k")
     hashed = F.xxhash64(*on)
     return left.withColumn(k, hashed).join(right.withColumn(k, hashed), [*on, k], how).drop(k)
+
+
+#: Bytes of an Arrow batch that a Python task is handed, at most (one row may exceed it).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded by bytes.
+
+    The default number of rows in a batch, times the length of texts, is what a Python
+    task and its JVM hold several times over.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(key).lower().rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df

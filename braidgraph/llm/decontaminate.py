@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidgraph.llm.common import small_batches
+
 WINDOW = 10
 MAX_WORDS = 400_000
 
@@ -169,7 +171,7 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
     sc = docs.sparkSession.sparkContext
     fields = [docs.schema[c] for c in keep]
     raw, spans_c, items_c, n_c = "__bytes", "__spans", "__items", "__n"
-    cur = docs.select(*keep, F.encode(F.col(text_col), "UTF-8").alias(raw))
+    cur = small_batches(docs).select(*keep, F.encode(F.col(text_col), "UTF-8").alias(raw))
     span_t = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField(raw, T.BinaryType()), T.StructField(n_c, T.LongType()), T.StructField(spans_c, span_t), T.StructField(items_c, T.ArrayType(T.StringType()))])
     pa_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -278,4 +280,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 b = b.filter(pa.array([j not in lost or lost[j] <= max_coverage * totals[j] for j in range(b.num_rows)], pa.bool_()))
             yield b
 
-    return docs.mapInArrow(run, schema) if slices else docs
+    return small_batches(docs).mapInArrow(run, schema) if slices else docs

@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import checkpointed, dealt_join, fresh
+from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
 
 SHINGLE, THRESHOLD = 4, 85
-GROUP_SIZE, SLICE_SIZE = 128, 2048
+GROUP_SIZE, SLICE_SIZE = 128, 256
 #: Tokens that a task holds before it deals them out, and bytes of text hashed at a time.
-CHUNK_TOKENS, CHUNK_BYTES = 3_000_000, 4 << 20
+CHUNK_TOKENS, CHUNK_BYTES = 1_500_000, 2 << 20
 _LOW = -(2**63)
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -117,7 +117,7 @@ _DEALT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, t (hash of the text), n (set size), node (16-byte digest of the set), and for documents that may
     link their prefix and shared tokens; one row for each row of ``docs``."""
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)), F.xxhash64("text"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    slim = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)), F.xxhash64("text"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     # about a million tokens to a bucket, 256 buckets at least
     bits = max(8, min(24, (size // 6_000_000).bit_length()))

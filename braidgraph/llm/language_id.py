@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidgraph.llm.common import small_batches
+
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -219,7 +221,7 @@ def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
             cols = [*(b.column(i) for i in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -242,4 +244,4 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
             found = score(b.column(at).to_pylist(), held, near, far)
             yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

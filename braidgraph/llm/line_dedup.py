@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpointed, dealt_join, fresh
+from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
 
 MIN_WORDS = 4
 _LOW = -(2**63)
@@ -207,4 +207,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
                 cols += [pa.array(totals, pa.int64()), pa.array(deleted, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(cut, schema)
+    return small_batches(both).mapInArrow(cut, schema)

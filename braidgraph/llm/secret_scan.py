@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from braidgraph.llm.common import small_batches
+
 #: Base kinds, in the order that breaks ties of start.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
@@ -189,4 +191,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows, types)], names=_SCHEMA.fieldNames())
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, _SCHEMA)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, _SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpoint_folder, checkpointed, dealt_join
+from braidgraph.llm.common import checkpoint_folder, checkpointed, dealt_join, small_batches
 
 MIN_REVISIT, MAX_RECORDS = 1000, 1000
 #: Captures without a time are dated from this second on, by page id.
@@ -224,7 +224,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(rows), 8192):
                     yield _batch(rows[i : i + 8192])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(parse, CAPTURES)
+    return small_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)).select("path", "content").mapInArrow(parse, CAPTURES)
 
 
 class LoserTree:
