@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from braidgraph.functions.binding import let
+
 _ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
 def parse(value: Column) -> Column:
     """struct<instant timestamp, precision string>; null where nothing is parsed."""
-    v = F.trim(value)
+    return let(F.trim(value), _parsed)
+
+
+def _parsed(v: Column) -> Column:
     precision = F.when(v.rlike(r"^\d{4}$"), "year").when(v.rlike(r"^\d{4}-\d{2}$"), "month").when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day").when(v.rlike(_ISO), "time")
     # the first day of a year or month stands for it
     instant = F.concat(v, F.when(F.length(v) == 4, "-01-01").when(F.length(v) == 7, "-01").otherwise("")).try_cast("timestamp")
@@ -36,10 +41,14 @@ def span(occurred_start: Column, occurred_end: Column, recorded_at: Column) -> C
 
     The end is the explicit one widened to its period, else the start widened.
     """
-    s, e, r = parse(occurred_start), parse(occurred_end), parse(recorded_at)
-    end = F.coalesce(period_end(e["instant"], e["precision"]), period_end(s["instant"], s["precision"]))
-    made = F.struct(s["instant"].alias("start"), end.alias("end"), r["instant"].alias("recorded"), F.coalesce(s["precision"], e["precision"], r["precision"]).alias("precision"))
-    return F.when(s.isNotNull() | e.isNotNull() | r.isNotNull(), made)
+
+    def made(p: Column) -> Column:
+        s, e, r = p["s"], p["e"], p["r"]
+        end = F.coalesce(period_end(e["instant"], e["precision"]), period_end(s["instant"], s["precision"]))
+        out = F.struct(s["instant"].alias("start"), end.alias("end"), r["instant"].alias("recorded"), F.coalesce(s["precision"], e["precision"], r["precision"]).alias("precision"))
+        return F.when(s.isNotNull() | e.isNotNull() | r.isNotNull(), out)
+
+    return let(F.struct(parse(occurred_start).alias("s"), parse(occurred_end).alias("e"), parse(recorded_at).alias("r")), made)
 
 
 def overlaps(item: Column, window_start: Column | None = None, window_end: Column | None = None) -> Column:
@@ -55,8 +64,7 @@ def overlaps(item: Column, window_start: Column | None = None, window_end: Colum
             dated = dated & (start <= period_end(w["instant"], w["precision"]))
         return F.coalesce(dated, F.lit(False))
 
-    # bound once by the lambda, else the optimizer writes the span's expression out at every use
-    return F.exists(F.array(item), touches)
+    return let(item, touches)
 
 
 def sort_key(item: Column) -> Column:

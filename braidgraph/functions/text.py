@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from braidgraph.functions.binding import let
+
 _TOKEN = r"([a-z0-9_]+)"
 
 
@@ -15,8 +17,12 @@ def tokens(text: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Distinct tokens of two characters or more, and their parts between underscores."""
-    parts = F.flatten(F.transform(tokens(text), lambda t: F.when(t.contains("_"), F.concat(F.array(t), F.split(t, "_"))).otherwise(F.array(t))))
-    return F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 2))
+
+    def with_parts(found: Column) -> Column:
+        joined = F.filter(found, lambda t: t.contains("_"))
+        return F.array_union(found, F.flatten(F.transform(joined, lambda t: F.split(t, "_"))))
+
+    return F.filter(let(tokens(text), with_parts), lambda t: F.length(t) >= 2)
 
 
 def normalize_query(text: Column) -> Column:
@@ -29,11 +35,14 @@ def semantic_score(distance: Column) -> Column:
 
 def docstring_signal(doc: Column) -> Column:
     """Length and variety of a docstring's tokens, in [0, 1]."""
-    t = tokens(F.coalesce(doc, F.lit("")))
-    n = F.size(t)
-    uniq = F.size(F.array_distinct(t)) / F.greatest(F.lit(1), n)
-    value = 0.6 * F.least(F.lit(1.0), n / F.lit(40.0)) + 0.4 * uniq
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+    def value(t: Column) -> Column:
+        n = F.size(t)
+        uniq = F.size(F.array_distinct(t)) / F.greatest(F.lit(1), n)
+        mixed = 0.6 * F.least(F.lit(1.0), n / F.lit(40.0)) + 0.4 * uniq
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)))
+
+    return let(tokens(F.coalesce(doc, F.lit(""))), value)
 
 
 def lexical_overlap(query: Column, *fields: Column) -> Column:
