@@ -103,6 +103,10 @@ def snippet(file_lines: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.transform(chunk, one), "\n")
 
 
+def line_count(lineno: Column, end_lineno: Column) -> Column:
+    return F.coalesce(F.greatest(F.lit(0), end_lineno - lineno), F.lit(0))
+
+
 def relevance_tier(score: Column) -> Column:
     return F.when(score >= 0.60, "HIGH").when(score >= 0.45, "MEDIUM").otherwise("LOW")
 

@@ -24,6 +24,17 @@ def hydrate(hits: DataFrame, content: DataFrame) -> DataFrame:
     return joined.withColumn("content", F.when(F.col("known"), F.coalesce("content", F.lit("")))).drop("known")
 
 
+def synthesize(snippets: DataFrame, question: str, complete, max_k: int = 8) -> str | None:
+    """The answer of ``complete(question, context)``; None if no snippet has content or it fails."""
+    row = context(snippets, max_k).first()
+    if not row or not row["context"]:
+        return None
+    try:
+        return complete(question, row["context"])
+    except Exception:  # an answer is optional, whatever a remote model raises
+        return None
+
+
 def context(snippets: DataFrame, max_k: int) -> DataFrame:
     """One row: the first ``max_k`` snippets (pos, genre, author, title, content) that are
     not blank, each under a header, in order. Bounded by ``max_k``."""

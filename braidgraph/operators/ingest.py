@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +63,16 @@ def staged_names(files: DataFrame) -> DataFrame:
     return named.withColumn("again", again).withColumn("staged_path", F.when(F.col("again") == 1, F.col("second")).otherwise(full)).drop("plain", "nth", "second", "again")
 
 
-def ingest(files: DataFrame, ledger: DataFrame | None, now: str) -> DataFrame:
+def default_converters() -> dict[str, Callable[[Column], Column]]:
+    """Suffix to a Column function from bytes to text (null: no output); the first kind that has a suffix wins."""
+    return {**{s: (lambda c: F.make_valid_utf8(c.cast("string"))) for s in TEXT_SUFFIXES}, **{s: csv_to_markdown for s in CONVERTED_SUFFIXES}}
+
+
+def supported_suffixes(converters: dict[str, Callable[[Column], Column]] | None = None) -> list[str]:
+    return sorted({*(converters or default_converters()), *EXTERNAL_SUFFIXES})
+
+
+def ingest(files: DataFrame, ledger: DataFrame | None, now: str, converters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """The outcome of each file (path, content): ledger columns and ``text`` of what was ingested.
 
     Files whose digest the ledger holds as ingested, later files of equal content and
@@ -71,7 +80,8 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str) -> DataFrame:
     record is never overwritten by a later skip.
     """
     known = files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size_bytes"), suffix(F.col("path")).alias("suffix"))
-    supported = F.col("suffix").isin(*TEXT_SUFFIXES, *CONVERTED_SUFFIXES, *EXTERNAL_SUFFIXES)
+    chain = converters or default_converters()
+    supported = F.col("suffix").isin(*supported_suffixes(chain))
     # digests only: the contents stay where they are
     first = known.where(supported).groupBy("sha256").agg(F.min("path").alias("first_path"))
     rows = known.join(first, "sha256", "left")
@@ -80,18 +90,20 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str) -> DataFrame:
         rows = rows.join(done, "sha256", "left")
     else:
         rows = rows.withColumn("done", F.lit(None).cast("boolean"))
-    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), F.make_valid_utf8(F.col("content").cast("string"))).when(F.col("suffix").isin(*CONVERTED_SUFFIXES), csv_to_markdown("content"))
+    text = F.lit(None).cast("string")
+    for own, convert in chain.items():
+        text = F.when(F.col("suffix") == own, convert(F.col("content"))).otherwise(text)
     rows = rows.withColumn("text", text)
     blank = F.col("text").isNull() | (F.trim("text") == "")
     status = F.when(~supported, "skipped").when(F.col("done"), "skipped").when(F.col("path") != F.col("first_path"), "skipped")
-    status = status.when(F.col("suffix").isin(*CONVERTED_SUFFIXES, *EXTERNAL_SUFFIXES) & blank, "failed").otherwise("ingested")
+    status = status.when(~F.col("suffix").isin(*TEXT_SUFFIXES) & blank, "failed").otherwise("ingested")
     reason = F.when(~supported, F.concat(F.lit("unsupported suffix "), F.col("suffix"))).when(F.col("done"), "already ingested").when(F.col("path") != F.col("first_path"), F.concat(F.lit("same content as "), F.col("first_path")))
-    reason = reason.when(F.col("suffix").isin(*EXTERNAL_SUFFIXES), "converter is not installed").when(F.col("status") == "failed", "no output")
+    reason = reason.when(~F.col("suffix").isin(*chain), "converter is not installed").when(F.col("status") == "failed", "no output")
     out_suffix = F.when(F.col("suffix") == ".markdown", ".md").when(F.col("suffix").isin(*TEXT_SUFFIXES), F.col("suffix")).otherwise(".md")
     rows = rows.withColumn("status", status).withColumn("reason", reason).withColumn("out_suffix", out_suffix)
     names = staged_names(rows.where("status = 'ingested'").select("path", "sha256", "out_suffix").distinct()).select("path", "sha256", "staged_path")
     out = rows.join(names, ["path", "sha256"], "left")
-    converter = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), "passthrough").when(F.col("suffix").isin(*CONVERTED_SUFFIXES), "csv")
+    converter = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), "passthrough").when(F.col("suffix").isin(*chain), F.ltrim(F.col("suffix"), F.lit(".")))
     return out.select(
         F.col("path").alias("source_path"), "sha256", "size_bytes", "status", "staged_path", converter.alias("converter"), F.lit("1").alias("converter_version"),
         "reason", F.lit(now).alias("ingested_at"), F.create_map().cast("map<string,string>").alias("metadata"), F.when(F.col("status") == "ingested", F.col("text")).alias("text"),

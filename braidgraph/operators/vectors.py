@@ -42,6 +42,18 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame
     return out.withColumn("rank", F.col("rank") - 1)
 
 
+def search_with(backend: str, vectors: DataFrame, query: Sequence[float], k: int = 8, where: str | Column | None = None) -> DataFrame:
+    """Search by a backend's name: ``exact`` (also ``auto``), ``int8`` or ``lsh``."""
+    rows = vectors.where(where) if where is not None else vectors
+    if backend in ("auto", "exact"):
+        return search(rows, query, k)
+    if backend == "int8":
+        return search(rows, query, k, int8=True)
+    if backend == "lsh":
+        return lsh_search(rows, query, k)
+    raise ValueError(f"unknown vector backend {backend!r}")
+
+
 def distance_of(row_distance: Column, distance: Column, score: Column, fallback_rank: Column) -> Column:
     """The distance that a backend's row reports, in whichever form it does."""
     return F.coalesce(row_distance, distance, 1 / (1 + score), fallback_rank.cast("double"))

@@ -12,7 +12,7 @@ from braidgraph.functions.text import lines
 from braidgraph.operators import embed, graph, retrieve
 from braidgraph.plans.lineage import checkpointed
 from braidgraph.schema import EDGES, NODES
-from braidgraph.sources.tables import GraphTables
+from braidgraph.sources.tables import GraphTables, VectorTables
 
 
 @dataclass
@@ -63,7 +63,7 @@ class GraphModule:
 
     def __init__(self, spark: SparkSession, root: str, encoder: Callable[[], embed.Encoder] = embed.hashing_encoder):
         self.spark, self.root, self.encoder = spark, root.rstrip("/"), encoder
-        self.tables = GraphTables(spark, f"{self.root}/graph")
+        self.tables, self.vectors = GraphTables(spark, f"{self.root}/graph"), VectorTables(spark, f"{self.root}/vectors")
 
     def extract(self) -> tuple[DataFrame, DataFrame] | Iterable[NodeSpec | EdgeSpec]:
         raise NotImplementedError
@@ -84,25 +84,15 @@ class GraphModule:
 
     def build_index(self, wipe: bool = False, sync: bool = False) -> None:
         """Embed the nodes of the index kinds; vectors of nodes that are gone stay unless ``wipe`` or ``sync``."""
-        old = None if wipe else self._vectors()
+        old = self.vectors.rows if not wipe and self.vectors.version() else None
         rows = embed.build_index(self.tables.nodes, list(self.index_kinds), old, self.encoder, sync)
-        number = len(self._versions()) + 1
-        rows.write.parquet(f"{self.root}/vectors/v={number:06d}")
+        self.vectors.upsert(rows, wipe=True)
 
     def build(self, wipe: bool = False) -> DataFrame:
         self.build_graph(wipe)
         self.build_index(wipe)
         return self.stats()
 
-    def _versions(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/vectors")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(str(s.getPath()) for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def _vectors(self) -> DataFrame | None:
-        found = self._versions()
-        return self.spark.read.parquet(found[-1]) if found else None
-
     def stats(self) -> DataFrame:
         return graph.stats(self.tables.nodes, self.tables.edges).withColumn("vector_backend", F.lit("exact"))
 
@@ -117,9 +107,9 @@ class GraphModule:
         return [float(x) for x in self.encoder()([clean])[0]]
 
     def query(self, text: str, **how) -> retrieve.Retrieved:
-        return retrieve.query(self.tables.nodes, self.tables.edges, self._vectors(), self._query_vector(text), text, priorities=self.priorities, **how)
+        return retrieve.query(self.tables.nodes, self.tables.edges, self.vectors.rows, self._query_vector(text), text, priorities=self.priorities, **how)
 
     def pack(self, text: str, files: DataFrame, **how) -> retrieve.Packed:
         """``files`` is (path, content) as the file reader gives it."""
         read = files.select(F.col("path").alias("module_path"), lines(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))).alias("lines"))
-        return retrieve.pack(self.tables.nodes, self.tables.edges, self._vectors(), read, self._query_vector(text), text, priorities=self.priorities, **how)
+        return retrieve.pack(self.tables.nodes, self.tables.edges, self.vectors.rows, read, self._query_vector(text), text, priorities=self.priorities, **how)

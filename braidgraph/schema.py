@@ -38,6 +38,7 @@ LEDGER = T.StructType(
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     ]
 )
+STAGED = T.StructType([_s("staged_path"), _s("sha256"), _s("source_path"), _s("text")])
 SNAPSHOTS = T.StructType(
     [
         _s("key"),

@@ -3,36 +3,42 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidgraph.operators.graph import upsert
-from braidgraph.schema import EDGES, NODES
+from braidgraph.operators.ingest import ingest, summary
+from braidgraph.operators.vectors import delete_ids, search_with, upsert_vectors
+from braidgraph.plans.lineage import checkpointed
+from braidgraph.schema import EDGES, LEDGER, NODES, STAGED, VECTORS
 
 
-class GraphTables:
-    """Nodes and edges of a store. A write makes a new version from the current one and then
-    names it in the pointer, so readers see whole versions and a failed write leaves none."""
+class Versioned:
+    """Tables under a root whose writes make new versions. A version is named in the pointer
+    only after all its tables are written, so readers see whole versions and a failed
+    write leaves the current one."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _exists(self, path: str) -> bool:
-        jvm, p = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        del jvm
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _pointer(self) -> DataFrame | None:
+        path = f"{self.root}/CURRENT"
+        return self.spark.read.text(path) if self._exists(path) else None
+
     def version(self) -> str | None:
-        pointer = f"{self.root}/CURRENT"
-        if not self._exists(pointer):
-            return None
-        return self.spark.read.text(pointer).orderBy(F.desc("value")).first()[0].partition(" ")[2]
+        named = self._pointer()
+        return named.orderBy(F.desc("value")).first()[0].partition(" ")[2] if named is not None else None
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         v = self.version()
-        if v is None:
+        if v is None or not self._exists(f"{self.root}/{v}/{name}"):
             return self.spark.createDataFrame([], schema)
         df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{v}/{name}")
         # columns that an older version lacks
@@ -41,6 +47,18 @@ class GraphTables:
                 df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
         return df.select(*schema.fieldNames())
 
+    def _commit(self, tables: dict[str, DataFrame]) -> None:
+        v = f"v-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/{v}/{name}")
+        named = self._pointer()
+        number = 1 + (named.count() if named is not None else 0)
+        self.spark.createDataFrame([(f"{number:012d} {v}",)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/CURRENT")
+
+
+class GraphTables(Versioned):
+    """Nodes and edges of a store."""
+
     @property
     def nodes(self) -> DataFrame:
         return self._read("nodes", NODES)
@@ -51,13 +69,63 @@ class GraphTables:
 
     def write(self, nodes: DataFrame, edges: DataFrame, wipe: bool = False) -> None:
         """Upsert both tables as one new version; ``wipe`` starts from empty ones."""
-        v = f"v-{uuid.uuid4().hex}"
         empty = self.spark.createDataFrame
         old_n, old_e = (empty([], NODES), empty([], EDGES)) if wipe else (self.nodes, self.edges)
-        upsert(old_n, nodes, ["id"]).select(*NODES.fieldNames()).write.parquet(f"{self.root}/{v}/nodes")
-        upsert(old_e, edges, ["src", "rel", "dst"]).select(*EDGES.fieldNames()).write.parquet(f"{self.root}/{v}/edges")
-        number = 1 + (self.spark.read.text(f"{self.root}/CURRENT").count() if self._exists(f"{self.root}/CURRENT") else 0)
-        self.spark.createDataFrame([(f"{number:012d} {v}",)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/CURRENT")
+        self._commit({"nodes": upsert(old_n, nodes, ["id"]).select(*NODES.fieldNames()), "edges": upsert(old_e, edges, ["src", "rel", "dst"]).select(*EDGES.fieldNames())})
 
     def clear(self) -> None:
         self.write(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES), wipe=True)
+
+
+class VectorTables(Versioned):
+    """Vectors and their metadata columns, by id."""
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._read("vectors", VECTORS)
+
+    def count(self) -> int:
+        """Rows; 0 for a store that isn't there, which this does not make."""
+        return self.rows.count()
+
+    def existing_ids(self) -> DataFrame:
+        return self.rows.select("id")
+
+    def upsert(self, batch: DataFrame, wipe: bool = False) -> None:
+        old = self.spark.createDataFrame([], VECTORS) if wipe else self.rows
+        self._commit({"vectors": upsert_vectors(old, batch).select(*VECTORS.fieldNames())})
+
+    def delete_ids(self, ids: DataFrame) -> int:
+        """Remove rows by id; how many there were."""
+        old, left = self.rows, delete_ids(self.rows, ids)
+        gone = old.count() - left.count()
+        if gone:
+            self._commit({"vectors": left})
+        return gone
+
+    def search(self, query: Sequence[float], k: int = 8, where: str | None = None, backend: str = "auto") -> DataFrame:
+        return search_with(backend, self.rows, query, k, where)
+
+
+class IngestStore(Versioned):
+    """Staged texts and the ledger of an ingestion."""
+
+    @property
+    def ledger(self) -> DataFrame:
+        return self._read("ledger", LEDGER)
+
+    @property
+    def staged(self) -> DataFrame:
+        return self._read("staged", STAGED)
+
+    def run(self, files: DataFrame, now: str, update: bool = False) -> DataFrame:
+        """Ingest files (path, content); with ``update`` over what is there, else from the start.
+
+        Outcomes of earlier runs stay in the ledger; the summary of this run is returned.
+        """
+        old_l, old_s = (self.ledger, self.staged) if update else (self.spark.createDataFrame([], LEDGER), self.spark.createDataFrame([], STAGED))
+        out = checkpointed(ingest(files, old_l if update else None, now))
+        ledger = old_l.unionByName(out.select(*LEDGER.fieldNames()))
+        staged = old_s.unionByName(out.where("status = 'ingested'").select(*STAGED.fieldNames()))
+        self._commit({"ledger": ledger, "staged": staged})
+        return summary(out)

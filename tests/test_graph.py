@@ -10,7 +10,7 @@ from braidgraph.operators import graph as G
 from braidgraph.operators import retrieve as R
 from braidgraph.operators import vectors as V
 from braidgraph.schema import EDGES, NODES
-from braidgraph.sources.tables import GraphTables
+from braidgraph.sources.tables import GraphTables, VectorTables
 
 
 def nodes(spark, *rows):
@@ -153,6 +153,20 @@ def test_exact_search(spark):
     assert rows(one)[0]["d"] == 0.5
 
 
+def test_vector_tables(spark, tmp_path):
+    m, df = vecs(spark)
+    t = VectorTables(spark, f"file://{tmp_path}/v")
+    assert t.count() == 0 and t.delete_ids(ids(spark, "n0")) == 0 and t.version() is None
+    t.upsert(df)
+    t.upsert(df.where("id = 'n1'").withColumn("kind", F.lit("new")))
+    assert t.count() == 8 and {r["id"] for r in rows(t.rows.where("kind = 'new'"))} == {"n1"}
+    for backend in ("auto", "int8", "lsh"):
+        assert rows(t.search(m[4], 1, backend=backend))[0]["id"] == "n4"
+    with pytest.raises(ValueError):
+        t.search(m[4], 1, backend="other")
+    assert t.delete_ids(ids(spark, "n0", "n1", "missing")) == 2 and t.existing_ids().count() == 6
+
+
 def corpus(spark):
     names = ["embedder", "store", "pipeline", "semantic"]
     n = nodes(spark, ("mod", "module", "mod", "mod", "src/mod.py", None, None, "all of it"), *((f"fn:{x}", "function", x, f"mod.{x}", "src/mod.py", 10 * i + 1, 10 * i + 4, f"{x} batch code") for i, x in enumerate(names)))

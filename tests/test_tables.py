@@ -91,6 +91,8 @@ def test_hits(spark):
     assert p[0]["score"] == 0.1235 and [r["timestamp"] for r in p] == ["2024", None, None]
     s = spark.createDataFrame([(0, "poem", "", "T", " a "), (1, "x", "A", "", " "), (2, None, "B", None, "b"), (3, "q", "q", "q", "cut")], "pos int, genre string, author string, title string, content string")
     assert rows(hits.context(s, 3))[0]["context"] == "[poem · T]\na\n\n[B]\nb"
+    assert hits.synthesize(s, "q", lambda q, c: f"{q}:{len(c)}", 3) == "q:19" and hits.synthesize(s.where("pos = 1"), "q", lambda q, c: c) is None
+    assert hits.synthesize(s, "q", lambda q, c: 1 / 0) is None
 
 
 def test_ingestion_of_files(spark, tmp_path):
@@ -113,6 +115,21 @@ def test_ingestion_of_files(spark, tmp_path):
     assert [r["source_path"] for r in rows(ingest.problems(ledger))] == ["empty.csv", "guide.md", "paper.pdf", "photo.jpeg"]
 
 
+def test_ingest_store(spark, tmp_path):
+    from braidgraph.sources.tables import IngestStore
+
+    files = lambda *f: spark.createDataFrame([(p, b.encode()) for p, b in f], "path string, content binary")
+    store = IngestStore(spark, f"file://{tmp_path}/s")
+    assert rows(store.run(files(("a.md", "one"), ("b.md", "one"), ("c.x", "?")), "t"))[0] == {"ingested": 1, "skipped": 2, "failed": 0, "total": 3}
+    assert rows(store.run(files(("a.md", "one"), ("d.txt", "two")), "t2", update=True))[0] == {"ingested": 1, "skipped": 1, "failed": 0, "total": 2}
+    assert {(r["staged_path"], r["text"]) for r in rows(store.staged)} == {("a.md", "one"), ("d.txt", "two")} and store.ledger.count() == 5
+    store.run(files(("z.md", "z")), "t3")
+    assert store.ledger.count() == 1
+    custom = ingest.ingest(files(("p.pdf", "x"), ("q.md", "y")), None, "t", {".pdf": lambda c: F.upper(c.cast("string"))})
+    assert {r["source_path"]: (r["status"], r["text"]) for r in rows(custom)} == {"p.pdf": ("ingested", "X"), "q.md": ("skipped", None)}
+    assert ".pdf" in ingest.supported_suffixes()
+
+
 def test_staged_names_collide(spark):
     f = spark.createDataFrame([("a/my file!.md", "11111111aa", ".md"), ("b/my file!.md", "22222222bb", ".md"), ("c/my-file-22222222.md", "33", ".md"), ("d/...md", "44", ".md")], "path string, sha256 string, out_suffix string")
     got = {r["path"]: r["staged_path"] for r in rows(ingest.staged_names(f))}
