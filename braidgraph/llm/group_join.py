@@ -44,7 +44,7 @@ from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
 SHINGLE, THRESHOLD = 4, 85
 GROUP_SIZE, SLICE_SIZE = 128, 256
 #: Tokens that a task holds before it deals them out, and bytes of text hashed at a time.
-CHUNK_TOKENS, CHUNK_BYTES = 1_500_000, 2 << 20
+CHUNK_TOKENS, CHUNK_BYTES = 1_000_000, 1 << 20
 _LOW = -(2**63)
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -71,7 +71,10 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     at = np.flatnonzero(np.concatenate([[True], np.diff(solid) > 1]))  # words, as places in solid
     sizes = np.diff(np.append(at, len(solid)))
     power = np.cumprod(np.full(int(sizes.max()), _STEP, np.uint64))
-    values = _BYTE[data[solid]] * power[np.arange(len(solid)) - np.repeat(at, sizes)]
+    place = np.arange(len(solid), dtype=np.int32)
+    place -= np.repeat(at.astype(np.int32), sizes)
+    values = power[place]
+    values *= _BYTE[data[solid]]
     words = _mix(np.add.reduceat(values, at) + sizes.astype(np.uint64))
     doc = np.searchsorted(firsts, solid[at], "right") - 1
     ends = np.searchsorted(doc, np.arange(len(texts)), "right")
@@ -134,7 +137,7 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
             part = base + chunk
             n = np.array([len(s) for s in sets], np.int64)
             tokens = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets)), n)
+            doc = np.repeat(np.arange(len(sets), dtype=np.int32), n)
             digest = np.zeros((len(sets), 2), np.uint64)
             full = np.flatnonzero(n)
             if len(full):
