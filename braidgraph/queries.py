@@ -12,6 +12,7 @@ from braidgraph.functions import text as X
 from braidgraph.functions.vectors import cosine_distance, dot, to_int8
 from braidgraph.operators import embed, graph, hits, ingest, layout, retrieve, scores, snapshots, temporal, vectors
 from braidgraph.plans import star
+from braidgraph.plans.lineage import numbered
 from braidgraph.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +216,15 @@ def vec_knn_multi_query(spark: SparkSession, d: str) -> DataFrame:
     return vectors.search_many(_vectors(spark, d), queries, 5).select("query_id", "id", F.round("_distance", 6).alias("distance"), "rank")
 
 
+@query("vec_knn_multi_query_share", f"""
+SELECT q.vec_id AS query_id, a.id, round(list_cosine_distance(a.v, q.v), 6) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_distance(a.v, q.v), a.id) - 1 AS INTEGER) AS rank
+FROM {_V} a, (SELECT vec_id, v FROM {_V} WHERE vec_id % 20 = 0) q QUALIFY rank < 5
+""")
+def vec_knn_multi_query_share(spark: SparkSession, d: str) -> DataFrame:
+    queries = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.search_many(_vectors(spark, d), queries, 5).select("query_id", "id", F.round("_distance", 6).alias("distance"), "rank")
+
+
 @query("vec_delete_ids", f"SELECT id FROM {_V} WHERE vec_id % 3 <> 0")
 def vec_delete_ids(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
@@ -437,6 +447,12 @@ def temporal_sort(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).select("event_id", F.date_format(TM.sort_key(F.col("span")), "yyyy-MM-dd HH:mm:ss").alias("k")).orderBy("k", "event_id").limit(150)
 
 
+@query("temporal_sort_all", f"SELECT event_id, k, row_number() OVER (ORDER BY k, event_id) AS rank FROM (SELECT event_id, strftime(coalesce(i, TIMESTAMP '0001-01-01'), '%Y-%m-%d %H:%M:%S') AS k FROM {_TMP})")
+def temporal_sort_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = _spans(spark, d).select("event_id", F.date_format(TM.sort_key(F.col("span")), "yyyy-MM-dd HH:mm:ss").alias("k"))
+    return numbered(rows, [F.col("k"), F.col("event_id")], "rank").select("event_id", "k", "rank")
+
+
 @query("temporal_metadata", f"SELECT event_id, CASE p WHEN 'year' THEN strftime(i, '%Y') WHEN 'month' THEN strftime(i, '%Y-%m') WHEN 'day' THEN strftime(i, '%Y-%m-%d') WHEN 'time' THEN strftime(i, '%Y-%m-%dT%H:%M:%S') END AS occurred_start FROM {_TMP}")
 def temporal_metadata(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
@@ -452,6 +468,20 @@ def temporal_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     return temporal.overlap_join(side(1), side(2))
 
 
+# intervals spread by key, as dates alone hold more overlaps the larger the tables are
+_HOUR = "(SELECT {0} AS id, {1} * 3600 AS s, {1} * 3600 + {2} * 1800 AS e FROM {3})"
+_HOURS = {"orders": ("o_orderkey", "o_orderkey", "(o_orderkey % 9)"), "lineitem": ("l_orderkey * 10 + l_linenumber", "(l_orderkey + l_linenumber)", "l_linenumber")}
+
+
+@query("temporal_overlap_join_whole", f"SELECT a.id AS left_id, b.id AS right_id FROM {_HOUR.format(*_HOURS['orders'], 'orders')} a JOIN {_HOUR.format(*_HOURS['lineitem'], 'lineitem')} b ON a.s <= b.e AND b.s <= a.e")
+def temporal_overlap_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        i, first, halves = _HOURS[name]
+        return _t(spark, d, name).selectExpr(f"{i} AS id", f"timestamp_seconds({first} * 3600) AS start", f"timestamp_seconds({first} * 3600 + {halves} * 1800) AS end")
+
+    return temporal.overlap_join(side("orders"), side("lineitem"))
+
+
 # ---- scores and display ----
 
 

@@ -248,3 +248,23 @@ def test_captured_snapshots(spark):
     assert s["hotspots"] == [{"path": "x", "n": "2"}, {"path": "/other/x"}]
     keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
     assert {(r["key"], r["problem"]) for r in rows(snapshots.broken(keys("a", "b"), keys("b", "c")))} == {("a", "broken entry"), ("c", "orphan file")}
+
+
+def test_whole_tables_are_queried(spark, data):
+    from braidgraph.queries import QUERIES
+
+    table = lambda t: spark.read.parquet(f"{data}/{t}.parquet")
+    asked = QUERIES["vec_knn_multi_query_share"](spark, data)
+    assert asked.count() == 5 * table("embeddings").where("vec_id % 20 = 0").count()
+    ordered = [(r["rank"], r["k"], r["event_id"]) for r in QUERIES["temporal_sort_all"](spark, data).orderBy("rank").collect()]
+    assert [r for r, _, _ in ordered] == list(range(1, table("events").count() + 1)) and [x[1:] for x in ordered] == sorted(x[1:] for x in ordered)
+    lines = [(r[0] * 10 + r[1], 2 * (r[0] + r[1]), 2 * (r[0] + r[1]) + r[1]) for r in table("lineitem").select("l_orderkey", "l_linenumber").collect()]
+    starting = [[] for _ in range(2 * max(x[2] for x in lines) + 64)]
+    for k, (_, s, e) in enumerate(lines):
+        for h in range(s, e + 1):
+            starting[h].append(k)
+    want = []  # lines may repeat each other, so they are told apart by their places
+    for (o,) in table("orders").select("o_orderkey").collect():
+        want += [(o, lines[k][0]) for k in {k for h in range(2 * o, 2 * o + o % 9 + 1) for k in starting[h]}]
+    got = [(r["left_id"], r["right_id"]) for r in QUERIES["temporal_overlap_join_whole"](spark, data).collect()]
+    assert sorted(got) == sorted(want)
