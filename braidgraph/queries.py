@@ -624,6 +624,16 @@ def ingest_staged_names(spark: SparkSession, d: str) -> DataFrame:
     return ingest.staged_names(files.join(once, "path", "left_semi")).select("path", "staged_path")
 
 
+@query("ingest_staged_names_all", """
+WITH p AS (SELECT concat(source, '/', lang, '/', doc_id, '/note ', doc_id % 300, '.md') AS path, sha256(CAST(doc_id AS VARCHAR)) AS sha, concat('note-', doc_id % 300) AS stem FROM documents),
+a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY stem ORDER BY path) = 1 THEN concat(stem, '.md') ELSE concat(stem, '-', substr(sha, 1, 8), '.md') END AS second FROM p)
+SELECT path, CASE WHEN row_number() OVER (PARTITION BY second ORDER BY path) = 1 THEN second ELSE concat(stem, '-', sha, '.md') END AS staged_path FROM a
+""")
+def ingest_staged_names_all(spark: SparkSession, d: str) -> DataFrame:
+    files = _t(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit("/note "), F.col("doc_id") % 300, F.lit(".md")).alias("path"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"), F.lit(".md").alias("out_suffix"))
+    return ingest.staged_names(files).select("path", "staged_path")
+
+
 @query("ingest_problems", f"SELECT path AS source_path FROM {_ING} WHERE status <> 'ingested'")
 def ingest_problems(spark: SparkSession, d: str) -> DataFrame:
     return ingest.problems(ingest.ingest(_files(spark, d).drop("doc_id"), None, "2024-01-01T00:00:00")).select("source_path")

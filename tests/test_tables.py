@@ -268,3 +268,13 @@ def test_whole_tables_are_queried(spark, data):
         want += [(o, lines[k][0]) for k in {k for h in range(2 * o, 2 * o + o % 9 + 1) for k in starting[h]}]
     got = [(r["left_id"], r["right_id"]) for r in QUERIES["temporal_overlap_join_whole"](spark, data).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_every_document_is_staged(spark):
+    from braidgraph.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"  # more than 900 documents
+    got = rows(QUERIES["ingest_staged_names_all"](spark, folder))
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count() > 900
+    assert len({r["path"] for r in got}) == len({r["staged_path"] for r in got}) == len(got)
+    assert sum(r["staged_path"].count("-") == 1 for r in got) == 300
