@@ -72,13 +72,16 @@ def existing_ids(vectors: DataFrame) -> DataFrame:
     return vectors.select("id").distinct()
 
 
-def lsh_search(vectors: DataFrame, query: Sequence[float], k: int = 8, planes: int = 8, probes: int = 2, seed: int = 11) -> DataFrame:
-    """Approximate search: rows are bucketed by the signs of random projections and only
-    buckets within ``probes`` sign changes of the query's are scored."""
+def lsh_search(vectors: DataFrame, query: Sequence[float], k: int = 8, planes: int = 8, probes: int = 2, seed: int = 11, tables: int = 8) -> DataFrame:
+    """Approximate search: each of ``tables`` hash tables buckets the rows by the signs of its
+    own random projections, and rows within ``probes`` sign changes of the query in any are scored."""
     import numpy as np
 
-    normal = np.random.default_rng(seed).normal(size=(planes, len(query)))
     sign = lambda p: F.when(F.aggregate(F.zip_with("vector", F.array(*map(F.lit, map(float, p))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, 1).otherwise(0)
-    code = sum(F.shiftleft(sign(p), i) for i, p in enumerate(normal))
-    own = sum(int(v >= 0) << i for i, v in enumerate(normal @ np.asarray(query, float)))
-    return search(vectors.where(F.bit_count(code.bitwiseXOR(F.lit(own))) <= probes), query, k)
+    near = F.lit(False)
+    for table in range(tables):
+        normal = np.random.default_rng([seed, table] if table else seed).normal(size=(planes, len(query)))
+        code = sum(F.shiftleft(sign(p), i) for i, p in enumerate(normal))
+        own = sum(int(v >= 0) << i for i, v in enumerate(normal @ np.asarray(query, float)))
+        near |= F.bit_count(code.bitwiseXOR(F.lit(own))) <= probes
+    return search(vectors.where(near), query, k)

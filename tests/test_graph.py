@@ -223,3 +223,12 @@ def test_pack_snippets_and_summaries(spark):
     assert "capped parent span 10-15" in said["fn:zlost"] and "omitted" in said["fn:orphan"]
     s = rows(R.module_summary(n.where("id = 'mod'"), n, e, 60))[0]["text"]
     assert s.splitlines()[0] == "       all of it" and "#   mod.store (L11) — store batch code" in s and "# functions (4):" in s
+
+
+def test_lsh_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.concat(F.lit("n"), "vec_id").alias("id"), F.col("embedding").alias("vector")).cache()
+    asked = [r[0] for r in df.where("cast(substr(id, 2) as int) % 100 = 7").select("vector").collect()]
+    exact = [{r["id"] for r in V.search(df, q, 10).collect()} for q in asked]
+    for how in ({}, {"probes": 3}):
+        found = [{r["id"] for r in V.lsh_search(df, q, 10, **how).collect()} for q in asked]
+        assert sum(len(a & b) for a, b in zip(exact, found, strict=True)) >= 0.9 * 10 * len(asked)
