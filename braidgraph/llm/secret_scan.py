@@ -3,7 +3,8 @@
 Three base patterns find assignments, access keys and hexadecimal runs by regular
 expression. Further spans are reported only after their structure is confirmed:
 
-``pem``     an armoured block whose base64 body is one DER value that nests exactly
+``pem``     an armoured block whose base64 body is one DER value that nests exactly, or
+            whose header lines name a cipher that the body's size fits
 ``der``     a bare base64 or hex run that decodes to a DER SEQUENCE of key shape
 ``ssh``     a base64 run of SSH wire format whose length-prefixed fields fit exactly
 ``jwt``     three base64url parts whose header is a JSON object with ``alg``
@@ -35,9 +36,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (MIN_ACCESS - 4))
 _HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})(?=-----)")
+_CIPHER = re.compile(r"^[ \t]*DEK-Info:[ \t]*([A-Za-z0-9-]+)(?:,[ \t]*([0-9A-Fa-f]+))?[ \t]*$", re.M)
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 
 _INTEGER, _BITS, _OCTETS, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
@@ -119,6 +121,26 @@ def _b64(s: str, url: bool = False) -> bytes | None:
         return None
 
 
+def _pem_parts(body: str) -> tuple[str, str]:
+    """Header lines (RFC 1421; up to a blank line) and base64 of an armoured block's body."""
+    lines = body.strip().splitlines()
+    if not lines or ":" not in lines[0]:
+        return "", body
+    cut = next((i for i, x in enumerate(lines) if not x.strip()), None)
+    if cut is None:  # no blank line: the headers end with the last colon
+        cut = max(i for i, x in enumerate(lines) if ":" in x) + 1
+    return "\n".join(lines[:cut]), "\n".join(lines[cut:])
+
+
+def is_encrypted(headers: str, raw: bytes) -> bool:
+    """An encrypted body: its header names a cipher with an initial vector, whole blocks of which it fills."""
+    m = _CIPHER.search(headers)
+    if not m or not raw or "ENCRYPTED" not in headers:
+        return False
+    block = len(m[2] or "") // 2
+    return block in (8, 16) and len(m[2]) % 2 == 0 and (not m[1].upper().endswith("CBC") or len(raw) % block == 0)
+
+
 def is_jwt_header(part: str) -> bool:
     raw = _b64(part, url=True)
     try:
@@ -141,10 +163,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose decoded structure is that of a secret."""
     out: list[tuple[int, int, int]] = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            raw = _b64("".join(m[2].split()))
-            if raw and (der_tags(raw) is not None or is_ssh_key(raw)):
-                out.append((m.start(), 3, m.end()))
+        for m in _BEGIN.finditer(text):
+            start, end = m.end() + 5, f"-----END {m[1]}-----"
+            stop = text.find("-----", start)
+            if stop < 0 or not text.startswith(end, stop):
+                continue
+            headers, body = _pem_parts(text[start:stop])
+            raw = _b64("".join(body.split()))
+            if raw and (der_tags(raw) is not None or is_ssh_key(raw) or is_encrypted(headers, raw)):
+                out.append((m.start(), 3, stop + len(end)))
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if is_jwt_header(m[1])]
     for m in _B64.finditer(text):

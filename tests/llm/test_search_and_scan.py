@@ -89,6 +89,26 @@ def test_structures_are_confirmed():
     assert [S.KINDS[k] for _, k, _ in S.confirmed_spans("ssh-rsa " + ssh)] == ["ssh"]
 
 
+def test_runs_after_equals_signs_and_armour_with_headers():
+    kinds = lambda text: [S.KINDS[k] for _, k, _ in S.confirmed_spans(text)]
+    key = base64.b64encode(der(*(der(bytes(range(1, 60)), tag=2) for _ in range(3)))).decode()
+    assert S.confirmed_spans(f"PRIVATE_KEY={key}\n") == [(12, 4, 12 + len(key))]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = base64.b64encode(field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(64))).decode()
+    assert S.confirmed_spans(f"SSH_KEY={ssh}") == [(8, 5, 8 + len(ssh))]
+    box = lambda body: f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    lines = lambda raw: re.sub("(.{64})", r"\1\n", base64.b64encode(raw).decode())
+    secret = hashlib.sha256(b"x").digest() * 20
+    for eol in ("\n", "\r\n"):
+        head = eol.join(["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF", "", ""])
+        assert S.confirmed_spans(text := box(head + lines(secret))) == [(0, 3, len(text))]
+        assert kinds(box(head + lines(secret + b"x"))) == []  # no whole blocks
+        assert kinds(box(eol.join(["Proc-Type: 4,ENCRYPTED", "", ""]) + lines(secret))) == []
+    assert kinds(box("DEK-Info: DES-EDE3-CBC,0011223344556677\n\n" + lines(secret))) == []  # not said to be encrypted
+    assert "pem" in kinds(box("Comment: of the test,\n continued\n\n" + key[:64] + "\n" + key[64:]))
+    assert kinds("-----BEGIN A-----" + box(lines(der(b"\2\1\1")))) == ["pem"]
+
+
 def test_scan_edge_rows(spark):
     got = rows(S.scan_secrets(edge_docs(spark)))
     assert len(got) == 11 and {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
