@@ -43,8 +43,9 @@ from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
 
 SHINGLE, THRESHOLD = 4, 85
 GROUP_SIZE, SLICE_SIZE = 128, 256
-#: Tokens that a task holds before it deals them out, and bytes of text hashed at a time.
-CHUNK_TOKENS, CHUNK_BYTES = 1_000_000, 1 << 20
+#: Tokens and documents that a task holds before it deals them out, and bytes of text hashed at a time.
+#: Documents of a chunk are numbered in 16 bits.
+CHUNK_TOKENS, CHUNK_DOCS, CHUNK_BYTES = 1_000_000, 1 << 16, 1 << 20
 _LOW = -(2**63)
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -117,6 +118,32 @@ _DEALT_NAMES = ["bucket", "part", "docs", "tokens", "df"]
 _DEALT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def dealt_rows(part: int, ids: list[int], marks: list[int], sets: list[np.ndarray], bits: int) -> list[tuple]:
+    """Of one chunk: a row of its documents, and for each bucket one of its tokens and their documents.
+
+    A token takes 6 bytes and a document 40, however many the buckets are.
+    """
+    buckets = 1 << bits
+    n = np.array([len(s) for s in sets], np.int64)
+    tokens = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)).astype(np.uint16), n)
+    digest = np.zeros((len(sets), 2), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
+        digest[full, 0] = np.add.reduceat(_mix(tokens ^ _U(0x5851F42D4C957F2D)), at)
+        digest[full, 1] = np.add.reduceat(_mix(tokens + _U(0x14057B7EF767814F)), at)
+    rows = [(buckets + part, part, _blob(np.array(ids, np.int64)) + _blob(n) + _blob(np.array(marks, np.int64)) + _blob(digest), b"", b"")]
+    b = (tokens >> _U(64 - bits)).astype(np.int64)
+    low = (tokens >> _U(32 - bits)).astype(np.uint32)
+    order = np.argsort(b.astype(np.uint16) if bits <= 16 else b, kind="stable")
+    firsts = np.flatnonzero(np.diff(b[order], prepend=-1))
+    for s, e in zip(firsts, np.append(firsts, len(order))[1:], strict=True):
+        own = order[s:e]
+        rows.append((int(b[own[0]]), part, _blob(doc[own]), _blob(low[own]), b""))
+    return rows
+
+
 def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, t (hash of the text), n (set size), node (16-byte digest of the set), and for documents that may
     link their prefix and shared tokens; one row for each row of ``docs``."""
@@ -134,25 +161,7 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal chunk, ids, marks, sets, held
-            part = base + chunk
-            n = np.array([len(s) for s in sets], np.int64)
-            tokens = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets), dtype=np.int32), n)
-            digest = np.zeros((len(sets), 2), np.uint64)
-            full = np.flatnonzero(n)
-            if len(full):
-                at = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
-                digest[full, 0] = np.add.reduceat(_mix(tokens ^ _U(0x5851F42D4C957F2D)), at)
-                digest[full, 1] = np.add.reduceat(_mix(tokens + _U(0x14057B7EF767814F)), at)
-            rows = [(buckets + part, part, _blob(np.array(ids, np.int64)) + _blob(n) + _blob(np.array(marks, np.int64)) + _blob(digest), b"", b"")]
-            b = (tokens >> _U(64 - bits)).astype(np.int64)
-            low = (tokens >> _U(32 - bits)).astype(np.uint32)
-            order = np.argsort(b.astype(np.uint16) if bits <= 16 else b, kind="stable")
-            ends = np.cumsum(np.bincount(b, minlength=buckets))
-            for x in range(buckets):
-                own = order[ends[x - 1] if x else 0 : ends[x]]
-                if len(own):
-                    rows.append((x, part, _blob(np.bincount(doc[own], minlength=len(sets)).astype(np.uint32)), _blob(low[own]), b""))
+            rows = dealt_rows(base + chunk, ids, marks, sets, bits)
             chunk, ids, marks, sets, held = chunk + 1, [], [], [], 0
             yield from _table(rows, _DEALT_NAMES, _DEALT_KINDS).to_batches(max_chunksize=64)
 
@@ -161,7 +170,7 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
             names, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             while i < batch.num_rows:
                 some, total = [], 0
-                while i < batch.num_rows and (not some or total < CHUNK_BYTES):
+                while i < batch.num_rows and (not some or total < CHUNK_BYTES) and len(ids) < CHUNK_DOCS:
                     some.append(texts[i].as_py())
                     total += len(some[-1])
                     ids.append(names[i])
@@ -170,7 +179,7 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
                 found = shingle_sets(some, k)
                 sets += found
                 held += sum(map(len, found))
-                if held >= CHUNK_TOKENS:
+                if held >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
                     yield from flush()
         if ids:
             yield from flush()
@@ -181,16 +190,16 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
         if bucket >= buckets:
             return t
         parts = t.column("part").to_pylist()
-        counts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("docs")]
+        owners = [np.frombuffer(x.as_py(), np.uint16) for x in t.column("docs")]
         tokens = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("tokens")]
         _, where, df = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
         rows, at = [], 0
-        for part, c, x in zip(parts, counts, tokens, strict=True):
+        for part, own, x in zip(parts, owners, tokens, strict=True):
             f = df[where[at : at + len(x)]].astype(np.uint32)
             at += len(x)
             more = f > 1
             if more.any():
-                rows.append((bucket, part, _blob(np.repeat(np.arange(len(c), dtype=np.uint32), c)[more]), _blob(x[more]), _blob(f[more])))
+                rows.append((bucket, part, _blob(own[more]), _blob(x[more]), _blob(f[more])))
         return _table(rows, _DEALT_NAMES, _DEALT_KINDS)
 
     def gather(t: pa.Table) -> pa.Table:
@@ -200,7 +209,7 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
             if b.as_py() >= buckets:
                 meta = d.as_py()
                 continue
-            doc.append(np.frombuffer(d.as_py(), np.uint32).astype(np.int64))
+            doc.append(np.frombuffer(d.as_py(), np.uint16).astype(np.int64))
             token.append((b.as_py() << 32) + np.frombuffer(x.as_py(), np.uint32).astype(np.int64))
             df.append(np.frombuffer(f.as_py(), np.uint32).astype(np.int64))
         doc, token, df = np.concatenate(doc), np.concatenate(token), np.concatenate(df)

@@ -190,6 +190,26 @@ def test_chunks_do_not_change_sets(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(G.jaccard_components(df))} == want
 
 
+def test_short_texts_do_not_grow_with_buckets():
+    rng = random.Random(2)
+    sets = G.shingle_sets([" ".join(str(rng.randrange(10**6)) for _ in range(20)).encode() for _ in range(2000)] + [b""])
+    total = sum(map(len, sets))
+    for bits in (8, 13):
+        dealt = G.dealt_rows(0, list(range(2001)), [0] * 2001, sets, bits)
+        assert sum(len(d) + len(t) for _, _, d, t, _ in dealt) == 40 * 2001 + 6 * total
+        back = sorted((int(d), b << 32 | int(t)) for b, _, ds, ts, _ in dealt[1:] for d, t in zip(np.frombuffer(ds, "u2"), np.frombuffer(ts, "u4"), strict=True))
+        assert back == sorted((i, int(x) >> (32 - bits)) for i, own in enumerate(sets) for x in own)
+
+
+def test_chunks_of_few_documents_do_not_change_sets(spark, monkeypatch):
+    docs = near_copies(random.Random(9)) + [(10_000 + i, "") for i in range(20)]
+    want = brute_components(docs, 4, 85)
+    monkeypatch.setattr(G, "CHUNK_DOCS", 7)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert max(len(r["d"]) for r in rows(G.members(df).groupBy("node").agg(F.collect_list("doc_id").alias("d")))) >= 20
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(G.jaccard_components(df))} == want
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = list(range(n))
