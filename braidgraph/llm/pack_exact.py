@@ -45,9 +45,12 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, specials: bool = False):
     """Function from text to an array of ids, once per worker.
 
+    With ``specials`` the file's added tokens, where a text spells them out, take
+    their own ids, as ``tokenizers`` does by default; else they are plain text.
+
     Where the vocabulary file numbers its tokens in the order of its merges, as
     byte-level BPE files do, the merge table is applied by ``tiktoken``, which gives
     the same ids at several times the speed; else ``tokenizers`` applies the file.
@@ -59,17 +62,20 @@ def encoder(path: str):
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
     model, vocab = spec["model"], spec["model"]["vocab"]
     merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-    if model["type"] == "BPE" and spec.get("normalizer") is None and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges)):
+    added = spec.get("added_tokens", ())
+    special = {t["content"]: t["id"] for t in added}
+    # those that take blanks beside them, or whole words only, are left to tokenizers
+    plain = not specials or not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
+    if plain and model["type"] == "BPE" and spec.get("normalizer") is None and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges)):
         import tiktoken
 
-        special = {t["content"] for t in spec.get("added_tokens", ())}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
-        coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(coder.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+        coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if specials else {})
+        return lambda text: np.asarray(coder.encode_to_numpy(text, allowed_special="all", disallowed_special=()), dtype="<u4")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not specials
     return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -90,12 +96,12 @@ def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, total, capacity))]
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, specials: bool = False) -> DataFrame:
     """Pieces of each document, with their token ids if asked for; map-only."""
     schema = T.StructType([*_PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, specials)
         for b in batches:
             out: list[list] = [[] for _ in schema]
             for doc, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -207,9 +213,9 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {n: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for n, rows in found.items()}
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, specials: bool = False) -> DataFrame:
     """Pieces with the sequence that holds each and its offset there."""
-    pieces = checkpointed(pieces_of(docs, path or default_vocabulary(), capacity, end_id, with_ids))
+    pieces = checkpointed(pieces_of(docs, path or default_vocabulary(), capacity, end_id, with_ids, specials))
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(slots(plan(hist, capacity)))
     # ranks within (length, bucket), moved on by the counts of the buckets before

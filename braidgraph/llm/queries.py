@@ -76,7 +76,7 @@ def op9_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidgraph.llm.pack_exact import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), specials=True)
 
 
 QUERIES = {

@@ -41,7 +41,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, each with its place in a packed sequence."""
-    return pack(docs)
+    return pack(docs, specials=True)
 
 
 STAGES = [

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 from collections import defaultdict
 
@@ -239,6 +240,25 @@ def test_ids_equal_the_tokenizer(spark):
     assert not got
 
 
+def test_added_tokens_take_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = P.default_vocabulary()
+    tok = Tokenizer.from_file(path)
+    docs = [(i, t) for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "it's\n <|endoftext|>\n"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = {i: tok.encode(t, add_special_tokens=False).ids for i, t in docs}
+    assert ids[0] == [64, 220, 50256, 275]
+    assert {r["doc_id"]: list(r["ids"]) for r in rows(P.pieces_of(df, path, with_ids=True, specials=True))} == {i: [*x, 2] for i, x in ids.items()}
+    with tempfile.TemporaryDirectory() as folder:
+        df.write.parquet(f"{folder}/documents.parquet")
+        import __spark_entry__ as E
+
+        crc = {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in ids.items()}
+        assert {r["doc_id"]: r["ids_crc32"] for r in rows(E.queries()["op10_pack"](spark, folder))} == crc
+        assert {r["doc_id"]: r["ids_crc32"] for r in rows(dict(E.corpus_pipeline.STAGES)["packing"](spark, df, folder))} == crc
+
+
 def check_plan(hist, capacity):
     p = P.plan(hist, capacity)
     used = defaultdict(int)
