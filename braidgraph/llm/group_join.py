@@ -2,11 +2,13 @@
 
 Documents are sets of word shingles. Two link when their Jaccard similarity reaches
 a threshold; components of links are returned, each document with its smallest
-document id. Nothing is approximate but the identity of shingles, which are hashes.
+document id. Nothing is approximate but the identity of shingles, 64-bit hashes.
 
 1. *Sets and frequencies.* Each task turns its texts into sets and deals the hashes
-   out by their leading bits, in blobs rather than rows; each bucket counts the
-   documents of every hash and returns those that more than one document holds.
+   out by their leading bits, in blobs rather than rows. A hash that several documents
+   of a chunk hold is counted there and dealt once, with its count, so a shingle that
+   a third of all documents share reaches its bucket as one entry a chunk. Each bucket
+   sums the counts and returns them for the hashes that more than one document holds.
    A link needs ``threshold`` of all tokens in common, so with u tokens that no other
    document holds, a document of n tokens keeps at most
    ``n - ceil(threshold * n) + 1 - u`` of its rarest shared tokens as its prefix, and
@@ -20,7 +22,13 @@ document id. Nothing is approximate but the identity of shingles, which are hash
    with the group's union bounds its overlap with every member; only a group whose
    bound reaches the threshold is opened, and its members' overlaps are then exact.
    Links leave a cell as a spanning forest, never as all pairs of a cluster.
-5. *Components* by alternating large and small stars.
+5. *Two rounds.* In the first, each group meets itself and, for each of its tokens, one
+   group that represents the token: as many cells as the matrix has entries at most.
+   Components of these links become units. In the second, only tokens whose nodes lie
+   in different units are still open; a unit larger than a group gets groups of its
+   own, which meet other units' groups but never each other. A cluster of near copies
+   so takes cells in proportion to its size.
+6. *Components* by alternating large and small stars.
 
 A group's queries are cut by hash into slices of about ``slice_size``, so no cell
 grows with a cluster.
@@ -105,7 +113,7 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-_DEALT = "bucket long, part long, docs binary, tokens binary, df binary"
+_DEALT = "bucket long, part long, docs binary, tokens binary, again binary, df binary"
 _MEMBERS = "doc_id long, t long, n long, node binary, prefix array<long>, shared binary"
 
 
@@ -114,33 +122,83 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
 
-_DEALT_NAMES = ["bucket", "part", "docs", "tokens", "df"]
-_DEALT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_DEALT_NAMES = ["bucket", "part", "docs", "tokens", "again", "df"]
+_DEALT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _low_bytes(bits: int) -> int:
+    return (64 - bits + 7) // 8
+
+
+def _cut(tokens: np.ndarray, bits: int) -> bytes:
+    """The bytes of hashes that their bucket doesn't tell."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _low_bytes(bits)].tobytes()
+
+
+def _whole(low: bytes, bucket: int, bits: int) -> np.ndarray:
+    """The hashes of a bucket from the bytes that were dealt."""
+    size = _low_bytes(bits)
+    out = np.zeros((len(low) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(low, np.uint8).reshape(-1, size)
+    keep = (1 << (64 - bits)) - 1
+    return (out.view("<u8").ravel() & _U(keep)) | _U(bucket << (64 - bits))
 
 
 def dealt_rows(part: int, ids: list[int], marks: list[int], sets: list[np.ndarray], bits: int) -> list[tuple]:
-    """Of one chunk: a row of its documents, and for each bucket one of its tokens and their documents.
+    """Of one chunk: a row of its documents with the tokens that several of them hold and those
+    tokens' documents, and for each bucket a row of its other tokens with their documents and
+    of the repeated tokens with their counts.
 
-    A token takes 6 bytes and a document 40, however many the buckets are.
+    A token takes 9 bytes at most and a document 40, however many the buckets are.
     """
     buckets = 1 << bits
     n = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets)
-    doc = np.repeat(np.arange(len(sets)).astype(np.uint16), n)
     digest = np.zeros((len(sets), 2), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         at = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
         digest[full, 0] = np.add.reduceat(_mix(tokens ^ _U(0x5851F42D4C957F2D)), at)
         digest[full, 1] = np.add.reduceat(_mix(tokens + _U(0x14057B7EF767814F)), at)
-    rows = [(buckets + part, part, _blob(np.array(ids, np.int64)) + _blob(n) + _blob(np.array(marks, np.int64)) + _blob(digest), b"", b"")]
-    b = (tokens >> _U(64 - bits)).astype(np.int64)
-    low = (tokens >> _U(32 - bits)).astype(np.uint32)
-    order = np.argsort(b.astype(np.uint16) if bits <= 16 else b, kind="stable")
-    firsts = np.flatnonzero(np.diff(b[order], prepend=-1))
-    for s, e in zip(firsts, np.append(firsts, len(order))[1:], strict=True):
-        own = order[s:e]
-        rows.append((int(b[own[0]]), part, _blob(doc[own]), _blob(low[own]), b""))
+    order = np.argsort(tokens)
+    tokens, doc = tokens[order], np.repeat(np.arange(len(sets)).astype(np.uint16), n)[order]
+    firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
+    times = np.diff(np.append(firsts, len(tokens)))
+    alone, several = firsts[times == 1], firsts[times > 1]
+    held, counts = tokens[several], times[times > 1].astype(np.uint32)
+    meta = _blob(np.array(ids, np.int64)) + _blob(n) + _blob(np.array(marks, np.int64)) + _blob(digest)
+    rows = [(buckets + part, part, meta, _blob(held), _blob(doc[np.repeat(times > 1, times)]), _blob(counts))]
+    single, owner = tokens[alone], doc[alone]
+    # both are sorted, so each bucket is a slice of either
+    of_single, of_held = single >> _U(64 - bits), held >> _U(64 - bits)
+    used = np.unique(np.concatenate([of_single, of_held]))
+    ends = [np.searchsorted(x, used, side) for x in (of_single, of_held) for side in ("left", "right")]
+    for b, s, e, x, y in zip(used.tolist(), *ends, strict=True):
+        rows.append((b, part, _blob(owner[s:e]), _cut(single[s:e], bits), _cut(held[x:y], bits), _blob(counts[x:y])))
+    return rows
+
+
+def counted_rows(t: pa.Table, bits: int) -> list[tuple]:
+    """Of one bucket: for each part, its single tokens that other parts hold too with their
+    documents and frequencies, and the frequencies of its repeated tokens."""
+    bucket = t.column("bucket")[0].as_py()
+    parts = t.column("part").to_pylist()
+    owners = [np.frombuffer(x.as_py(), np.uint16) for x in t.column("docs")]
+    single = [_whole(x.as_py(), bucket, bits) for x in t.column("tokens")]
+    held = [_whole(x.as_py(), bucket, bits) for x in t.column("again")]
+    counts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("df")]
+    each = np.concatenate([np.ones(sum(map(len, single)), np.int64), *counts])
+    _, where = np.unique(np.concatenate([*single, *held]), return_inverse=True)
+    # only the order of frequencies matters, so they may stop at 32 bits
+    df = np.minimum(np.bincount(where, weights=each), 2**32 - 1).astype(np.uint32)[where]
+    rows, at, past = [], 0, sum(map(len, single))
+    for part, own, x, y in zip(parts, owners, single, held, strict=True):
+        f = df[at : at + len(x)]
+        at += len(x)
+        more = f > 1
+        if more.any() or len(y):
+            rows.append((bucket, part, _blob(own[more]), _cut(x[more], bits), _blob(df[past : past + len(y)]), _blob(f[more])))
+        past += len(y)
     return rows
 
 
@@ -185,34 +243,25 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
             yield from flush()
 
     def count(t: pa.Table) -> pa.Table:
-        """Of one bucket: for each part, its documents' tokens that several documents hold."""
-        bucket = t.column("bucket")[0].as_py()
-        if bucket >= buckets:
+        if t.column("bucket")[0].as_py() >= buckets:
             return t
-        parts = t.column("part").to_pylist()
-        owners = [np.frombuffer(x.as_py(), np.uint16) for x in t.column("docs")]
-        tokens = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("tokens")]
-        _, where, df = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        rows, at = [], 0
-        for part, own, x in zip(parts, owners, tokens, strict=True):
-            f = df[where[at : at + len(x)]].astype(np.uint32)
-            at += len(x)
-            more = f > 1
-            if more.any():
-                rows.append((bucket, part, _blob(own[more]), _blob(x[more]), _blob(f[more])))
-        return _table(rows, _DEALT_NAMES, _DEALT_KINDS)
+        return _table(counted_rows(t, bits), _DEALT_NAMES, _DEALT_KINDS)
 
     def gather(t: pa.Table) -> pa.Table:
         """Of one part: a row for each document."""
-        doc, token, df, meta = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], b""
-        for b, d, x, f in zip(*(t.column(c) for c in ("bucket", "docs", "tokens", "df")), strict=True):
-            if b.as_py() >= buckets:
-                meta = d.as_py()
+        doc, token, df = [np.empty(0, np.uint16)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        meta, held, owners, times, again = b"", np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.uint32), [np.empty(0, np.uint32)]
+        for b, d, x, y, f in sorted(zip(*(t.column(c).to_pylist() for c in ("bucket", "docs", "tokens", "again", "df")), strict=True), key=lambda r: r[0]):
+            if b >= buckets:
+                meta, held, owners, times = d, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint16), np.frombuffer(f, np.uint32)
                 continue
-            doc.append(np.frombuffer(d.as_py(), np.uint16).astype(np.int64))
-            token.append((b.as_py() << 32) + np.frombuffer(x.as_py(), np.uint32).astype(np.int64))
-            df.append(np.frombuffer(f.as_py(), np.uint32).astype(np.int64))
-        doc, token, df = np.concatenate(doc), np.concatenate(token), np.concatenate(df)
+            doc.append(np.frombuffer(d, np.uint16))
+            token.append(_whole(x, b, bits))
+            df.append(np.frombuffer(f, np.uint32))
+            again.append(np.frombuffer(y, np.uint32))  # in the order of the part's repeated tokens
+        doc = np.concatenate([*doc, owners]).astype(np.int64)
+        token = np.concatenate([*token, np.repeat(held, times)]).view(np.int64)
+        df = np.concatenate([*df, np.repeat(np.concatenate(again), times)])
         size = len(meta) // 40
         ids, n, marks = np.frombuffer(meta, np.int64, 3 * size).reshape(3, size)
         digest = meta[24 * size :]
@@ -283,35 +332,27 @@ def _group_of(t: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
     return node.to_pylist(), n.to_numpy().astype(np.int64), [np.frombuffer(x.as_py(), np.int64) for x in shared]
 
 
-def links(found: DataFrame, threshold: int = THRESHOLD, group_size: int = GROUP_SIZE, slice_size: int = SLICE_SIZE) -> DataFrame:
-    """Links (a, b) between nodes that connect all linked nodes of ``found`` (from members)."""
-    nodes = found.where("prefix is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared"))
-    nodes = checkpointed(nodes)
-    tokens = nodes.select("node", F.explode("prefix").alias("token"))
-    again = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    tokens = checkpointed(dealt_join(tokens, again, ["token"], "left_semi"))
-    rare = tokens.groupBy("node").agg(F.min(F.xxhash64("token")).alias("g"))
-    sizes = rare.groupBy("g").agg(F.ceil(F.count("*") / group_size).alias("cuts"))
-    placed = dealt_join(rare, sizes, ["g"]).select("node", F.xxhash64("g", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block"))
-    placed = checkpointed(placed)
-    matrix = tokens.join(placed, "node").select("token", "block").distinct()
-    pairs = checkpointed(matrix.toDF("token", "query").join(matrix.toDF("token", "group"), "token").where(F.col("query") < F.col("group")).select("query", "group").distinct())
-    content = placed.join(nodes.select("node", "n", "shared"), "node")
+def cells(pairs: DataFrame, placed: DataFrame, nodes: DataFrame, threshold: int, slice_size: int, inner: bool) -> DataFrame:
+    """Links (a, b) between the nodes of the blocks that meet: those of ``pairs`` (query, group), and with
+    ``inner`` each block with itself. A cell's links are a spanning forest of all that it holds."""
+    content = dealt_join(placed, nodes.select("node", "n", "shared"), ["node"])
+    sizes = placed.groupBy(F.col("block").alias("query")).agg(F.count("*").alias("count"))
     # queries of each group, in slices of bounded size
-    asked = pairs.join(placed.groupBy(F.col("block").alias("query")).count(), "query").groupBy("group").agg(F.ceil(F.sum("count") / slice_size).cast("long").alias("slices"))
-    queries = pairs.join(content.withColumnRenamed("block", "query"), "query").join(asked, "group")
-    queries = queries.select("group", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node", "n", "shared")
-    columns = content.join(asked.withColumnRenamed("group", "block"), "block", "left").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1).cast("long")) - 1)).alias("slice"), "node", "n", "shared")
+    asked = pairs.join(sizes, "query").groupBy("group").agg(F.ceil(F.sum("count") / slice_size).cast("long").alias("slices"))
+    queries = dealt_join(content.withColumnRenamed("block", "query"), pairs, ["query"])
+    queries = dealt_join(queries, asked, ["group"]).select("group", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node", "n", "shared")
+    columns = dealt_join(content, asked.withColumnRenamed("group", "block"), ["block"], "left" if inner else "inner")
+    columns = columns.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1).cast("long")) - 1)).alias("slice"), "node", "n", "shared")
     columns = columns.toDF("block", "part", "member", "size", "tokens")  # names of their own, as both sides come from content
 
     def meet(q: pa.Table, g: pa.Table) -> pa.Table:
         names, sizes, sets = _group_of(g)
         forest, out = _Forest(), []
         group = Group(names, sizes, sets)
-        inner = g.num_rows > 1 and g.column("part")[0].as_py() == 0
-        asking = [*zip(names, sizes, sets, strict=True)] if inner else []
-        for node, n, own in [*asking, *zip(*_group_of(q), strict=True)]:
-            for i in group.links(int(n), own, threshold):
+        own = inner and g.num_rows > 1 and g.column("part")[0].as_py() == 0
+        asking = [*zip(names, sizes, sets, strict=True)] if own else []
+        for node, n, tokens in [*asking, *zip(*_group_of(q), strict=True)]:
+            for i in group.links(int(n), tokens, threshold):
                 if forest.join(node, names[i]):
                     out.append((node, names[i]))
         return _table(out, ["a", "b"], [pa.binary(), pa.binary()])
@@ -319,6 +360,66 @@ def links(found: DataFrame, threshold: int = THRESHOLD, group_size: int = GROUP_
     return queries.groupBy("group", "slice").cogroup(columns.groupBy("block", "part")).applyInArrow(meet, "a binary, b binary")
 
 
+def representative_pairs(matrix: DataFrame) -> DataFrame:
+    """(query, group): each block of ``matrix`` (token, block) with the least block of each of its tokens."""
+    least = matrix.groupBy("token").agg(F.min("block").alias("group"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = dealt_join(matrix, least, ["token"]).select(F.col("block").alias("query"), "group")
+    return pairs.where("query != group").distinct()
+
+
+def open_pairs(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(query, group): blocks that share a token across units and have not met.
+
+    ``rows`` is (token, unit, super, block), where ``super`` is the unit for blocks of a large
+    unit and the block for others; blocks of one ``super`` never meet.
+    """
+    still = rows.groupBy("token").agg((F.min("unit") != F.max("unit")).alias("open")).where("open").select("token")
+    rows = checkpointed(dealt_join(rows, still, ["token"], "left_semi"))
+    coarse = rows.select("token", "super").distinct()
+    wide = dealt_join(coarse.toDF("token", "sa"), coarse.toDF("token", "sb"), ["token"]).where("sa < sb")
+    fine = rows.select("token", "super", "block").distinct()
+    wide = dealt_join(wide, fine.toDF("token", "sa", "query"), ["token", "sa"])
+    wide = dealt_join(wide, fine.toDF("token", "sb", "group"), ["token", "sb"]).select("query", "group").distinct()
+    done = met.select("query", "group").unionByName(met.select(F.col("group").alias("query"), F.col("query").alias("group")))
+    wide = wide.join(done, ["query", "group"], "left_anti")
+    # blocks that lie in one and the same unit have nothing left to find
+    ends = rows.groupBy("block").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    both = wide.join(ends.toDF("query", "ql", "qh"), "query").join(ends.toDF("group", "gl", "gh"), "group")
+    return both.where("not (ql = qh and gl = gh and ql = gl)").select("query", "group")
+
+
+def linked_roots(found: DataFrame, threshold: int = THRESHOLD, group_size: int = GROUP_SIZE, slice_size: int = SLICE_SIZE) -> DataFrame:
+    """(node, root) of the nodes of ``found`` (from members) that link with others; nodes of one
+    component, and only those, have the same root."""
+    nodes = found.where("prefix is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared"))
+    nodes = checkpointed(nodes)
+    tokens = nodes.select("node", F.explode("prefix").alias("token"))
+    again = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    tokens = checkpointed(dealt_join(tokens, again, ["token"], "left_semi"))
+    rare = tokens.groupBy("node").agg(F.min(F.xxhash64("token")).alias("g"))
+    sizes = rare.groupBy("g").agg(F.ceil(F.count("*") / group_size).alias("cuts"))
+    placed = checkpointed(dealt_join(rare, sizes, ["g"]).select("node", F.xxhash64("g", F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("block")))
+    met = checkpointed(representative_pairs(dealt_join(tokens, placed, ["node"]).select("token", "block").distinct()))
+    roots = components(cells(met, placed, nodes, threshold, slice_size, True))
+
+    large = roots.groupBy(F.col("root").alias("unit")).agg(F.ceil(F.count("*") / group_size).alias("cuts")).where("cuts > 1")
+    units = dealt_join(placed, roots, ["node"], "left").select("node", "block", F.coalesce("root", "node").alias("unit"))
+    units = dealt_join(units, large, ["unit"], "left")
+    own, part = F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), F.col("cuts"))
+    units = units.select("node", "unit", F.when(own, F.xxhash64("unit")).otherwise(F.col("block")).alias("super"), F.when(own, F.xxhash64("unit", part)).otherwise(F.col("block")).alias("block"))
+    units = checkpointed(units)
+    rest = checkpointed(open_pairs(dealt_join(tokens, units, ["node"]).select("token", "unit", "super", "block"), met))
+    if rest.isEmpty():
+        return roots
+    more = checkpointed(cells(rest, units.select("node", "block"), nodes, threshold, slice_size, False))
+    unit = units.select("node", "unit")
+    across = dealt_join(dealt_join(more, unit.toDF("a", "u"), ["a"]), unit.toDF("b", "v"), ["b"]).where("u != v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    merged = components(across).toDF("unit", "top")
+    joined = dealt_join(unit, merged, ["unit"], "left").select("node", F.coalesce("top", "unit").alias("root"))
+    # a node alone in its unit is no part of the result
+    return joined.join(roots.select("node").unionByName(more.select(F.col("a").alias("node"))).unionByName(more.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the component's smallest node."""
     a, b = F.col("a"), F.col("b")
@@ -342,7 +443,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, group_size: int = GROUP_SIZE, slice_size: int = SLICE_SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable) of each row of ``docs``."""
     found = checkpointed(members(docs.select("doc_id", "text"), k, threshold))
-    roots = components(links(found, threshold, group_size, slice_size))
+    roots = linked_roots(found, threshold, group_size, slice_size)
     named = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     linked = dealt_join(roots, named, ["node"])
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
@@ -360,7 +461,7 @@ def keep_representatives(docs: DataFrame, k: int = 5, threshold: int = 80, group
     id and text one stays.
     """
     found = checkpointed(members(docs.select("doc_id", "text"), k, threshold))
-    roots = components(links(found, threshold, group_size, slice_size))
+    roots = linked_roots(found, threshold, group_size, slice_size)
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(_LOW)).alias("d"), "t")
     by_node = found.where("n > 0").groupBy("node").agg(F.min(best).alias("best"))
     by_root = by_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))

@@ -191,15 +191,84 @@ def test_chunks_do_not_change_sets(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(G.jaccard_components(df))} == want
 
 
-def test_short_texts_do_not_grow_with_buckets():
+def dealt_bytes(rows):
+    return sum(len(x) for r in rows for x in r[2:])
+
+
+def test_dealt_bytes_do_not_grow_with_buckets():
     rng = random.Random(2)
-    sets = G.shingle_sets([" ".join(str(rng.randrange(10**6)) for _ in range(20)).encode() for _ in range(2000)] + [b""])
-    total = sum(map(len, sets))
-    for bits in (8, 13):
-        dealt = G.dealt_rows(0, list(range(2001)), [0] * 2001, sets, bits)
-        assert sum(len(d) + len(t) for _, _, d, t, _ in dealt) == 40 * 2001 + 6 * total
-        back = sorted((int(d), b << 32 | int(t)) for b, _, ds, ts, _ in dealt[1:] for d, t in zip(np.frombuffer(ds, "u2"), np.frombuffer(ts, "u4"), strict=True))
-        assert back == sorted((i, int(x) >> (32 - bits)) for i, own in enumerate(sets) for x in own)
+    own = G.shingle_sets([" ".join(str(rng.randrange(10**6)) for _ in range(20)).encode() for _ in range(2000)] + [b""])
+    hot = G.shingle_sets([b"a line that a third of all the texts of this corpus share"] * 700)
+    sets, total = own + hot, sum(map(len, own)) + sum(map(len, hot))
+    for bits in (8, 10, 13, 16):
+        dealt = G.dealt_rows(0, list(range(2701)), [0] * 2701, sets, bits)
+        assert dealt_bytes(dealt) <= 40 * 2701 + 9 * total
+        back = []
+        for b, _, ds, ts, ys, cs in dealt[1:]:
+            back += [(int(d), int(t)) for d, t in zip(np.frombuffer(ds, "u2"), G._whole(ts, b, bits), strict=True)]
+            # a hot shingle is one entry of its bucket
+            assert all(c == 700 for c in np.frombuffer(cs, "u4")) and len(np.frombuffer(cs, "u4")) == len(G._whole(ys, b, bits)) <= len(hot[0])
+        held, docs, times = np.frombuffer(dealt[0][3], "u8"), np.frombuffer(dealt[0][4], "u2"), np.frombuffer(dealt[0][5], "u4")
+        back += [(int(d), int(t)) for d, t in zip(docs, np.repeat(held, times), strict=True)]
+        assert sorted(back) == sorted((i, int(x)) for i, s in enumerate(sets) for x in s)
+
+
+def test_counts_add_up_over_chunks():
+    rng = random.Random(5)
+    sets = G.shingle_sets([" ".join(str(rng.randrange(30)) for _ in range(12)).encode() for _ in range(300)], 2)
+    want = defaultdict(int)
+    for s in sets:
+        for x in s:
+            want[int(x)] += 1
+    bits, got, buckets = 3, defaultdict(set), defaultdict(list)
+    chunks = [sets[i : i + 40] for i in range(0, 300, 40)]
+    owned = []
+    for k, chunk in enumerate(chunks):
+        rows = G.dealt_rows(k, list(range(len(chunk))), [0] * len(chunk), chunk, bits)
+        owned.append(np.frombuffer(rows[0][3], "u8"))
+        for r in rows[1:]:
+            buckets[r[0]].append(r)
+    again = defaultdict(list)
+    for b in sorted(buckets):
+        for bucket, part, ds, ts, ys, fs in G.counted_rows(G._table(buckets[b], G._DEALT_NAMES, G._DEALT_KINDS), bits):
+            for x, f in zip(G._whole(ts, bucket, bits), np.frombuffer(fs, "u4"), strict=True):
+                got[int(x)].add(int(f))
+            again[part] += list(np.frombuffer(ys, "u4"))
+    for k, held in enumerate(owned):
+        for x, f in zip(held, again[k], strict=True):
+            got[int(x)].add(int(f))
+    assert dict(got) == {x: {n} for x, n in want.items() if n > 1}
+
+
+def cluster(rng, size, m, first):
+    """``m`` different near copies of a text of ``size`` words, each with a word of its own changed."""
+    base = [f"c{first}x{j}" for j in range(size)]
+    out = []
+    for i in range(m):
+        w = list(base)
+        w[rng.randrange(size)] = f"own{rng.randrange(m // 3)}"
+        out.append((first + i, " ".join(w)))
+    return out
+
+
+def test_cells_of_a_cluster_grow_in_proportion(spark, monkeypatch):
+    seen = {}
+    for m in (300, 600):
+        rng = random.Random(3)
+        docs = cluster(rng, 120, m, 0) + [(10_000 + i, f"a text of its own number {i} and nothing else in it at all") for i in range(2 * m)]
+        counted = []
+        real = G.cells
+
+        def spy(pairs, *rest):
+            counted.append(pairs.count())
+            return real(pairs, *rest)
+
+        monkeypatch.setattr(G, "cells", spy)
+        got = {r["doc_id"]: r["component_id"] for r in rows(G.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), group_size=8, slice_size=16))}
+        monkeypatch.setattr(G, "cells", real)
+        assert {got[i] for i in range(m)} == {0}
+        seen[m] = sum(counted)
+    assert seen[600] <= 2.6 * seen[300]
 
 
 def test_chunks_of_few_documents_do_not_change_sets(spark, monkeypatch):
