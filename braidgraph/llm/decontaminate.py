@@ -1,15 +1,17 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The words of all benchmark items are laid end to end, each item followed by a
-separator that no document holds, and one suffix automaton is built over them on
-the driver. Document words are streamed through it; at each word the automaton
-yields the longest suffix of the text read so far that occurs in some item. Where
-that length reaches the window, the last ``window`` words are an occurrence of an
-item window. Items shorter than the window count as one window each.
-
-The automaton is broadcast in slices of at most ``max_words`` item words, so its
-size has a fixed bound whatever the benchmark holds; each further slice is another
-narrow pass that carries the hits found so far, never a join.
+The words of benchmark items are laid end to end, each item followed by a separator
+that no document holds, and a suffix automaton is built over them. Document words are
+streamed through it; at each word the automaton yields the longest suffix of the text
+read so far that occurs in some item. Where that length reaches the window, the last
+``window`` words are an occurrence of an item window. Items shorter than the window
+count as one window each; equal ones are one entry of the automaton.
+
+The benchmark is taken in slices of about ``max_words`` item words, a longer item in
+parts that overlap by a window less one word. A slice is one narrow pass, whose rows
+are checkpointed before the next slice is read and broadcast, so the driver and each
+task hold one automaton at a time whatever the benchmark holds. Passes carry the hits
+found so far, never a join.
 
 Defined edge cases: a null or empty text has no words and no hits; a null or
 wordless item has no window; an item without id marks words but is not listed;
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import small_batches
+from braidgraph.llm.common import checkpointed, fresh, small_batches
 
 WINDOW = 10
 MAX_WORDS = 400_000
@@ -65,22 +67,28 @@ class Automaton:
             while len(seen) < len(self.length):
                 seen.append(set())
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__)
-        for v in reversed(order):
-            if self.link[v] > 0:
+        for v in reversed(order):  # shorter states than a window are never asked for their items
+            if self.length[self.link[v]] >= window:
                 seen[self.link[v]] |= seen[v]
         # the state of the window's words that end where a state's words end
         self.at_window = [0] * len(self.length)
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.length)
+        # short windows by the state that holds them: each state lists sizes, of which there are fewer than ``window``
+        own: dict[int, dict[int, set[int]]] = {}
         for v, size, n in ends:
             while self.length[self.link[v]] >= size:
                 v = self.link[v]
-            self.short[v] += ((size, n),)
+            own.setdefault(v, {}).setdefault(size, set()).add(n)
+        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.length)
+        self.short_items: list[frozenset[int]] = []
         for v in order:
             up = self.link[v]
             if self.length[v] >= window:
                 self.at_window[v] = v if self.length[up] < window else self.at_window[up]
-            if up > 0:
-                self.short[v] += self.short[up]
+            mine = []
+            for size, numbers in own.get(v, {}).items():
+                mine.append((size, len(self.short_items)))
+                self.short_items.append(frozenset(numbers))
+            self.short[v] = (*mine, *self.short[up]) if up > 0 else tuple(mine)
         kept = set(self.at_window)
         self.items = {v: frozenset(seen[v]) for v in kept if v}
 
@@ -117,6 +125,7 @@ class Automaton:
         nxt, link, length, short, at, window = self.next, self.link, self.length, self.short, self.at_window, self.window
         spans: list[tuple[int, int]] = []
         states: set[int] = set()
+        brief: set[int] = set()
         found: set[int] = set()
         v = n = 0
         for i, c in enumerate(codes):
@@ -138,7 +147,7 @@ class Automaton:
             for size, item in short[v]:
                 if size <= n:
                     reach = max(reach, size)
-                    found.add(item)
+                    brief.add(item)
             if reach:
                 start = i + 1 - reach
                 while spans and spans[-1][1] >= start:
@@ -146,21 +155,26 @@ class Automaton:
                 spans.append((start, i + 1))
         for s in states:
             found |= self.items[s]
+        for s in brief:
+            found |= self.short_items[s]
         return spans, found
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
-    """Automata over slices of the benchmark; rows are streamed to the driver a partition at a time."""
+    """Automata over slices of the benchmark, one at a time; rows come to the driver a partition at a time."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.encode(F.col(text_col), "UTF-8").alias("t")).where("t is not null").distinct()
     held: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for r in rows.toLocalIterator():
-        if words := words_of(bytes(r.t)):
-            held.append((r.i, words))
-            size += len(words)
-        if size >= max_words:
-            yield Automaton(held, window)
-            held, size = [], 0
+        words = words_of(bytes(r.t))
+        step = max(1, max_words - window + 1)
+        for at in range(0, max(1, len(words) - window + 1), step):
+            if part := words[at : at + step + window - 1]:
+                held.append((r.i, part))
+                size += len(part)
+            if size >= max_words:
+                yield Automaton(held, window)
+                held, size = [], 0
     if held:
         yield Automaton(held, window)
 
@@ -175,10 +189,9 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
     span_t = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField(raw, T.BinaryType()), T.StructField(n_c, T.LongType()), T.StructField(spans_c, span_t), T.StructField(items_c, T.ArrayType(T.StringType()))])
     pa_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    slices = [sc.broadcast(a) for a in automata(benchmark, window, max_words)] or [sc.broadcast(Automaton([], window))]
-    for k, shared in enumerate(slices):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+    def one(cur: DataFrame, shared, first: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = shared.value
             for b in batches:
                 counts, all_spans, all_items = [], [], []
@@ -187,7 +200,7 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
                     words = words_of(texts[j].as_py())
                     spans, found = a.spans(words)
                     ids = {a.ids[n] for n in found} - {None}
-                    if k:
+                    if not first:
                         spans = merged(spans + [(s["start"], s["end"]) for s in b.column(len(keep) + 2)[j].as_py()])
                         ids |= set(b.column(len(keep) + 3)[j].as_py())
                     counts.append(len(words))
@@ -196,7 +209,17 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
                 cols = [*(b.column(i) for i in range(len(keep))), texts, pa.array(counts, pa.int64()), pa.array(all_spans, pa_span), pa.array(all_items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, raw, n_c, spans_c, items_c])
 
-        cur = cur.mapInArrow(run, schema)
+        return cur.mapInArrow(run, schema)
+
+    shared = None
+    for k, automaton in enumerate(automata(benchmark, window, max_words)):
+        if shared is not None:  # rows are past the slice before, which can go
+            cur = checkpointed(cur)
+            shared.unpersist()
+        shared = sc.broadcast(automaton)
+        cur = one(cur, shared, k == 0)
+    if shared is None:
+        cur = one(cur, sc.broadcast(Automaton([], window)), True)
     return cur.select(*keep, raw, F.col(n_c).alias("n_words"), F.col(spans_c).alias("spans"), F.col(items_c).alias("items"))
 
 
@@ -236,48 +259,68 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A document of which more than ``max_coverage`` of the words are hit goes as a
     whole; clean documents stay as they are, null texts included. Cutting can bring
     an item's window together again from its two sides, so the cut text is matched
-    and cut again until no slice of the benchmark hits it. A task holds one slice's
-    automaton at a time.
+    and cut again until no slice of the benchmark hits it: with several slices, until
+    a round over all of them has cut nothing.
     """
-    schema, names = docs.schema, docs.columns
+    names = docs.columns
     sc = docs.sparkSession.sparkContext
-    slices = [sc.broadcast(a) for a in automata(benchmark, window, max_words)]
     t_at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    total_c, lost_c, round_c = (fresh(docs, c) for c in ("__total", "__lost", "__round"))
+    schema = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in (total_c, lost_c, round_c))])
 
-    def cut_all(raw: list[bytes | None]) -> dict[int, int]:
-        """Cuts the texts in place; the number of words that each has lost."""
-        lost: dict[int, int] = {}
-        todo = [j for j, t in enumerate(raw) if t]
-        while todo:
-            again = set()
-            for shared in slices:
-                a = shared.value if len(slices) == 1 else shared.load_from_path(shared._path)
-                for j in todo:
-                    while spans := a.spans(words_of(raw[j]))[0]:
-                        raw[j] = cut_words(raw[j], spans)
-                        lost[j] = lost.get(j, 0) + sum(e - s for s, e in spans)
-                        again.add(j)
-            todo = sorted(again) if len(slices) > 1 else []
-        return lost
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(t_at).cast(pa.binary()).to_pylist()
-            totals = {}
-            before = list(raw)
-            lost = cut_all(raw)
-            if lost:
-                totals = {j: len(words_of(before[j])) for j in lost}
-                texts = [None if t is None else t.decode() for t in raw]
+    def one(cur: DataFrame, shared, turn: int) -> DataFrame:
+        """Cuts of one slice; rows keep their words at first, those lost, and the round that cut them last."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = shared.value
+            for b in batches:
+                raw = b.column(t_at).cast(pa.binary()).to_pylist()
+                total, lost, when = (b.column(len(names) + i).to_pylist() for i in range(3))
+                touched = []
+                for j, text in enumerate(raw):
+                    # a text that the round before did not cut has nothing new to find
+                    if not text or when[j] < turn - 1:
+                        continue
+                    if not (spans := a.spans(words := words_of(text))[0]):
+                        continue
+                    total[j] = total[j] or len(words)
+                    while spans:
+                        text = cut_words(text, spans)
+                        lost[j] += sum(e - s for s, e in spans)
+                        spans = a.spans(words_of(text))[0]
+                    raw[j], when[j] = text, turn
+                    touched.append(j)
                 cols = list(b.columns)
-                cols[t_at] = pa.array(texts, cols[t_at].type)
-                if n_at is not None:
-                    counts = b.column(n_at).to_pylist()
-                    for j in lost:
-                        counts[j] = len(texts[j])
-                    cols[n_at] = pa.array(counts, cols[n_at].type)
-                b = pa.RecordBatch.from_arrays(cols, names=names)
-                b = b.filter(pa.array([j not in lost or lost[j] <= max_coverage * totals[j] for j in range(b.num_rows)], pa.bool_()))
-            yield b
-
-    return small_batches(docs).mapInArrow(run, schema) if slices else docs
+                if touched:
+                    texts = [None if t is None else t.decode() for t in raw]
+                    cols[t_at] = pa.array(texts, cols[t_at].type)
+                    if n_at is not None:
+                        counts = b.column(n_at).to_pylist()
+                        for j in touched:
+                            counts[j] = len(texts[j])
+                        cols[n_at] = pa.array(counts, cols[n_at].type)
+                    cols[len(names) :] = [pa.array(c, pa.int64()) for c in (total, lost, when)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+        return cur.mapInArrow(run, schema)
+
+    zero = F.lit(0).cast("long")
+    cur = small_batches(docs).withColumns({total_c: zero, lost_c: zero, round_c: zero})
+    turn, slices = 1, 0
+    while True:
+        shared, slices = None, 0
+        for automaton in automata(benchmark, window, max_words):
+            if shared is not None:
+                cur = checkpointed(cur)
+                shared.unpersist()
+            shared = sc.broadcast(automaton)
+            cur, slices = one(cur, shared, turn), slices + 1
+        if slices < 2:
+            break
+        cur = checkpointed(cur)
+        shared.unpersist()
+        if cur.where(F.col(round_c) == turn).isEmpty():
+            break
+        turn += 1
+    kept = cur.where((F.col(lost_c) == 0) | (F.col(lost_c) <= max_coverage * F.col(total_c)))
+    return kept.select(*names)

@@ -4,14 +4,17 @@ Documents become token sequences; one longer than ``capacity`` is cut so that on
 its first piece may be short. What is to be packed is then described by a histogram
 of piece lengths, at most ``capacity`` counters however large the corpus is. On it
 the driver makes a plan: for each length, from the longest down, combinations of
-one, two or three other lengths that fill the gap exactly are looked up in indexes
-of single, pair and triple sums and consumed as often as all their lengths are
-available; what is left is placed by best fit, decreasing, many equal bins at a
-time. The plan is a list of patterns with a repeat count; its size is bounded by
-the number of lengths, not of documents.
+one, then of two, then of three other lengths that fill the gap exactly are looked up
+in indexes of single, pair and triple sums and consumed as often as all their lengths
+are available; what is left is placed by best fit, decreasing, many equal bins at a
+time. Exact combinations of several short pieces can take what longer ones need, so
+plans are made with combinations of at most three, two, one and no other lengths, and
+the one of fewest sequences holds. A plan is a list of patterns with a repeat count;
+its size is bounded by the number of lengths, not of documents.
 
 Pieces take their place in the plan by their rank among pieces of equal length.
-Ranks come from counts per (length, bucket), so no task ranks a hot length alone.
+Ranks come from counts per (length, bucket) with buckets dealt by row, so no task
+ranks a hot length, or a row that is repeated often, alone.
 
 Defined edge cases: a null text is empty and yields the end token alone; repeated
 rows are packed separately; an empty table gives no rows.
@@ -45,7 +48,7 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, specials: bool = False):
+def encoder(path: str, specials: bool = True):
     """Function from text to an array of ids, once per worker.
 
     With ``specials`` the file's added tokens, where a text spells them out, take
@@ -96,7 +99,7 @@ def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, total, capacity))]
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, specials: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, specials: bool = True) -> DataFrame:
     """Pieces of each document, with their token ids if asked for; map-only."""
     schema = T.StructType([*_PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
@@ -119,11 +122,17 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths that share a sequence) with the number of sequences of each."""
+    made = [filled(histogram, capacity, depth) for depth in (3, 2, 1, 0)]
+    return min(made, key=lambda p: sum(n for _, n in p))
+
+
+def filled(histogram: dict[int, int], capacity: int, depth: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact combinations have at most ``depth`` lengths beside the first."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
 
     def take(pattern: tuple[int, ...]) -> bool:
-        """Consume the pattern as often as availability allows."""
+        """Consume the pattern as often as availability allows; whether its first length is used up."""
         need: dict[int, int] = defaultdict(int)
         for n in pattern:
             need[n] += 1
@@ -134,39 +143,37 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 left[n] -= times * k
                 if not left[n]:
                     del left[n]
-        return times > 0
+        return pattern[0] not in left
 
-    take((capacity,))
+    if depth:
+        take((capacity,))
+        for a in sorted(left, reverse=True):
+            if a in left:
+                take((a, capacity - a))
     lengths = sorted(left)
     pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, x in enumerate(lengths):
-        for y in lengths[i:]:
-            if x + y < capacity:
-                pairs[x + y].append((x, y))
-    for a in sorted(left, reverse=True):
-        gap = capacity - a
-        if a in left:
-            take((a, gap))
-        if a not in left:
-            continue
-        for x, y in reversed(pairs.get(gap, ())):
-            if x in left and y in left:
-                take((a, y, x))
+    if depth > 1:
+        for i, x in enumerate(lengths):
+            for y in lengths[i:]:
+                if x + y < capacity:
+                    pairs[x + y].append((x, y))
+        for a in reversed(lengths):
+            for x, y in reversed(pairs.get(capacity - a, ())):
                 if a not in left:
                     break
-        if a not in left:
-            continue
+                if x in left and y in left:
+                    take((a, y, x))
+    if depth > 2:
         # triples: a third length over the index of pair sums
-        for z in [n for n in lengths if 3 * n <= gap]:
-            if z not in left:
-                continue
-            for x, y in reversed(pairs.get(gap - z, ())):
-                if x >= z and x in left and y in left and z in left:
-                    take((a, y, x, z))
-                    if a not in left:
+        for a in reversed(lengths):
+            for z in lengths:
+                if a not in left or 3 * z > capacity - a:
+                    break
+                if z not in left:
+                    continue
+                for x, y in reversed(pairs.get(capacity - a - z, ())):
+                    if x >= z and x in left and y in left and take((a, y, x, z)) or z not in left:
                         break
-            if a not in left:
-                break
     # residuals: bins of equal content are placed together
     bins: dict[int, list[list]] = defaultdict(list)
     for n in sorted(left, reverse=True):
@@ -213,14 +220,15 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
     return {n: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for n, rows in found.items()}
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, specials: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, specials: bool = True) -> DataFrame:
     """Pieces with the sequence that holds each and its offset there."""
     pieces = checkpointed(pieces_of(docs, path or default_vocabulary(), capacity, end_id, with_ids, specials))
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(slots(plan(hist, capacity)))
     # ranks within (length, bucket), moved on by the counts of the buckets before
     buckets = max(64, min(4096, sum(hist.values()) // 1_000_000))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # the checkpoint fixes partitions and the order in them, and so these numbers
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -106,6 +106,24 @@ def test_decontamination_equals_brute_force(spark):
     assert 62 not in half and 60 in half and half < set(range(63))
 
 
+def test_short_and_long_items():
+    items = [(f"i{k}", [b"word"]) for k in range(3000)] + [("two", [b"a", b"word"]), ("long", [b"x%d" % k for k in range(50)])]
+    a = D.Automaton(items, 10)
+    spans, found = a.spans([b"word"] * 3000 + [b"b", b"a", b"word"] + [b"x%d" % k for k in range(5, 20)])
+    assert {a.ids[n] for n in found} == {i for i, _ in items}
+    assert max(map(len, a.short)) <= 9
+    assert D.merged(spans) == [(0, 3000), (3001, 3018)]
+
+
+def test_long_items_are_cut_for_slices(spark):
+    long = [f"y{k % 70}" for k in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "y1 y2")], "item_id long, text string")
+    docs = [(0, " ".join(long[40:90])), (1, " ".join(long[95:105])), (2, "y1 y2 y9"), (3, "nothing")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(D.contamination_report(d, bench, 10, 25))}
+    assert got == brute_hits(docs, [(1, " ".join(long)), (2, "y1 y2")], 10)
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "the same line of seven words here and another line of some")], "item_id long, text string")
     got = rows(D.contamination_report(edge_docs(spark), bench))
@@ -297,8 +315,7 @@ def test_ids_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     path = P.default_vocabulary()
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(path)  # untouched
     docs = [(i, t) for i, t in enumerate([None, "", "a", "<|endoftext|> x 　 y  \n\n z", "It's 12 o'clock—ÀÉ 漢字 🙂‍🙂", "\x00\x1f\x85", LONG[:9000], "don'T we'LL ", "   lead", "x" * 5000])]
     got = {(r["doc_id"], r["piece"]): r for r in rows(P.pack(spark.createDataFrame(docs, "doc_id long, text string")))}
     for i, t in docs:
@@ -350,6 +367,39 @@ def test_plans_use_every_piece_once():
     assert check_plan({500: 3, 300: 3, 200: 3, 24: 3}, 1024) == 3
 
 
+def best_fit_decreasing(hist, capacity):
+    """Number of sequences, piece by piece."""
+    rooms = defaultdict(int)
+    for n in sorted(hist, reverse=True):
+        for _ in range(hist[n]):
+            room = min((r for r, c in rooms.items() if c and r >= n), default=None)
+            if room is not None:
+                rooms[room] -= 1
+            rooms[(capacity if room is None else room) - n] += 1
+    return sum(rooms.values())
+
+
+def test_plans_are_never_worse_than_best_fit():
+    rng = random.Random(11)
+    better = 0
+    for k in range(200):
+        capacity = (48, 100, 256)[k % 3]
+        low, high = sorted((rng.randrange(1, capacity), rng.randrange(1, capacity)))
+        hist = defaultdict(int)
+        for _ in range(rng.randrange(1, 300)):
+            hist[rng.randrange(low, high + 1)] += rng.randrange(1, 4)
+        plain, got = best_fit_decreasing(hist, capacity), check_plan(dict(hist), capacity)
+        assert got <= plain
+        better += got < plain
+    assert better > 20
+
+
+def test_many_copies_of_a_row_are_ranked_apart(spark):
+    docs = spark.createDataFrame([(7, "one text of a few words")] * 900 + [(8, "another")], "doc_id long, text string")
+    got = rows(P.pack(docs))
+    assert len(got) == 901 and len({(r["sequence_id"], r["offset"]) for r in got}) == 901
+
+
 def test_packing_is_tight_and_gapless(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = rows(P.pack(docs))
