@@ -5,10 +5,11 @@ a threshold; components of links are returned, each document with its smallest
 document id. Nothing is approximate but the identity of shingles, 64-bit hashes.
 
 1. *Sets and frequencies.* Each task turns its texts into sets and deals the hashes
-   out by their leading bits, in blobs rather than rows. A hash that several documents
+   out by their leading bits, in blobs rather than rows. A hash that ``HOT`` documents
    of a chunk hold is counted there and dealt once, with its count, so a shingle that
    a third of all documents share reaches its bucket as one entry a chunk. Each bucket
-   sums the counts and returns them for the hashes that more than one document holds.
+   sums the counts, names the hashes that more than one document holds by their place
+   among the bucket's, and returns names and counts.
    A link needs ``threshold`` of all tokens in common, so with u tokens that no other
    document holds, a document of n tokens keeps at most
    ``n - ceil(threshold * n) + 1 - u`` of its rarest shared tokens as its prefix, and
@@ -51,6 +52,8 @@ from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
 
 SHINGLE, THRESHOLD = 4, 85
 GROUP_SIZE, SLICE_SIZE = 128, 256
+#: Documents of a chunk from which on a token is counted before it is dealt.
+HOT = 8
 #: Tokens and documents that a task holds before it deals them out, and bytes of text hashed at a time.
 #: Documents of a chunk are numbered in 16 bits.
 CHUNK_TOKENS, CHUNK_DOCS, CHUNK_BYTES = 1_000_000, 1 << 16, 1 << 20
@@ -126,30 +129,31 @@ _DEALT_NAMES = ["bucket", "part", "docs", "tokens", "again", "df"]
 _DEALT_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _low_bytes(bits: int) -> int:
-    return (64 - bits + 7) // 8
+def packed(tokens: np.ndarray) -> bytes:
+    """Ascending hashes as their steps, each in as many bytes as the largest step needs."""
+    if not len(tokens):
+        return b""
+    steps = np.diff(tokens)
+    size = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + int(tokens[0]).to_bytes(8, "little") + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _cut(tokens: np.ndarray, bits: int) -> bytes:
-    """The bytes of hashes that their bucket doesn't tell."""
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _low_bytes(bits)].tobytes()
-
-
-def _whole(low: bytes, bucket: int, bits: int) -> np.ndarray:
-    """The hashes of a bucket from the bytes that were dealt."""
-    size = _low_bytes(bits)
-    out = np.zeros((len(low) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(low, np.uint8).reshape(-1, size)
-    keep = (1 << (64 - bits)) - 1
-    return (out.view("<u8").ravel() & _U(keep)) | _U(bucket << (64 - bits))
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
+    size = data[0]
+    out = np.zeros(((len(data) - 9) // size + 1, 8), np.uint8)
+    out[0] = np.frombuffer(data, np.uint8, 8, 1)
+    out[1:, :size] = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, size)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def dealt_rows(part: int, ids: list[int], marks: list[int], sets: list[np.ndarray], bits: int) -> list[tuple]:
-    """Of one chunk: a row of its documents with the tokens that several of them hold and those
+    """Of one chunk: a row of its documents with the tokens that ``HOT`` of them hold and those
     tokens' documents, and for each bucket a row of its other tokens with their documents and
-    of the repeated tokens with their counts.
+    of the hot tokens with their counts.
 
-    A token takes 9 bytes at most and a document 40, however many the buckets are.
+    However many the buckets are, a token takes about 8 bytes and a document 40.
     """
     buckets = 1 << bits
     n = np.array([len(s) for s in sets], np.int64)
@@ -164,40 +168,43 @@ def dealt_rows(part: int, ids: list[int], marks: list[int], sets: list[np.ndarra
     tokens, doc = tokens[order], np.repeat(np.arange(len(sets)).astype(np.uint16), n)[order]
     firsts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
     times = np.diff(np.append(firsts, len(tokens)))
-    alone, several = firsts[times == 1], firsts[times > 1]
-    held, counts = tokens[several], times[times > 1].astype(np.uint32)
+    hot = times >= HOT
+    held, counts, often = tokens[firsts[hot]], times[hot].astype(np.uint32), np.repeat(hot, times)
     meta = _blob(np.array(ids, np.int64)) + _blob(n) + _blob(np.array(marks, np.int64)) + _blob(digest)
-    rows = [(buckets + part, part, meta, _blob(held), _blob(doc[np.repeat(times > 1, times)]), _blob(counts))]
-    single, owner = tokens[alone], doc[alone]
+    rows = [(buckets + part, part, meta, _blob(counts), _blob(doc[often]), b"")]
+    single, owner = tokens[~often], doc[~often]
     # both are sorted, so each bucket is a slice of either
     of_single, of_held = single >> _U(64 - bits), held >> _U(64 - bits)
     used = np.unique(np.concatenate([of_single, of_held]))
     ends = [np.searchsorted(x, used, side) for x in (of_single, of_held) for side in ("left", "right")]
     for b, s, e, x, y in zip(used.tolist(), *ends, strict=True):
-        rows.append((b, part, _blob(owner[s:e]), _cut(single[s:e], bits), _cut(held[x:y], bits), _blob(counts[x:y])))
+        rows.append((b, part, _blob(owner[s:e]), packed(single[s:e]), packed(held[x:y]), _blob(counts[x:y])))
     return rows
 
 
-def counted_rows(t: pa.Table, bits: int) -> list[tuple]:
-    """Of one bucket: for each part, its single tokens that other parts hold too with their
-    documents and frequencies, and the frequencies of its repeated tokens."""
-    bucket = t.column("bucket")[0].as_py()
-    parts = t.column("part").to_pylist()
+def counted_rows(t: pa.Table) -> list[tuple]:
+    """Of one bucket: for each part, names and frequencies of its tokens that several documents hold,
+    with the documents of those that were dealt one by one, and then of its hot tokens.
+
+    A name is the token's place among the bucket's; frequencies stop at 16 bits, as only
+    an order that all documents agree on matters.
+    """
+    bucket, parts = t.column("bucket")[0].as_py(), t.column("part").to_pylist()
     owners = [np.frombuffer(x.as_py(), np.uint16) for x in t.column("docs")]
-    single = [_whole(x.as_py(), bucket, bits) for x in t.column("tokens")]
-    held = [_whole(x.as_py(), bucket, bits) for x in t.column("again")]
+    single = [unpacked(x.as_py()) for x in t.column("tokens")]
+    held = [unpacked(x.as_py()) for x in t.column("again")]
     counts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("df")]
-    each = np.concatenate([np.ones(sum(map(len, single)), np.int64), *counts])
-    _, where = np.unique(np.concatenate([*single, *held]), return_inverse=True)
-    # only the order of frequencies matters, so they may stop at 32 bits
-    df = np.minimum(np.bincount(where, weights=each), 2**32 - 1).astype(np.uint32)[where]
-    rows, at, past = [], 0, sum(map(len, single))
+    past = sum(map(len, single))
+    _, name = np.unique(np.concatenate([*single, *held]), return_inverse=True)
+    df = np.bincount(name, weights=np.concatenate([np.ones(past, np.int64), *counts]))
+    df, name = np.minimum(df, 2**16 - 1).astype(np.uint16)[name], name.astype(np.uint32)
+    rows, at = [], 0
     for part, own, x, y in zip(parts, owners, single, held, strict=True):
-        f = df[at : at + len(x)]
+        f, k = df[at : at + len(x)], name[at : at + len(x)]
         at += len(x)
         more = f > 1
         if more.any() or len(y):
-            rows.append((bucket, part, _blob(own[more]), _cut(x[more], bits), _blob(df[past : past + len(y)]), _blob(f[more])))
+            rows.append((bucket, part, _blob(own[more]), _blob(k[more]) + _blob(name[past : past + len(y)]), b"", _blob(f[more]) + _blob(df[past : past + len(y)])))
         past += len(y)
     return rows
 
@@ -245,23 +252,26 @@ def members(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Da
     def count(t: pa.Table) -> pa.Table:
         if t.column("bucket")[0].as_py() >= buckets:
             return t
-        return _table(counted_rows(t, bits), _DEALT_NAMES, _DEALT_KINDS)
+        return _table(counted_rows(t), _DEALT_NAMES, _DEALT_KINDS)
 
     def gather(t: pa.Table) -> pa.Table:
         """Of one part: a row for each document."""
-        doc, token, df = [np.empty(0, np.uint16)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-        meta, held, owners, times, again = b"", np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.uint32), [np.empty(0, np.uint32)]
+        own, tokens, often, dfs, hot = [np.empty(0, np.uint16)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint16)]
+        meta, owners, times = b"", np.empty(0, np.uint16), np.empty(0, np.uint32)
         for b, d, x, y, f in sorted(zip(*(t.column(c).to_pylist() for c in ("bucket", "docs", "tokens", "again", "df")), strict=True), key=lambda r: r[0]):
             if b >= buckets:
-                meta, held, owners, times = d, np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint16), np.frombuffer(f, np.uint32)
+                meta, times, owners = d, np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint16)
                 continue
-            doc.append(np.frombuffer(d, np.uint16))
-            token.append(_whole(x, b, bits))
-            df.append(np.frombuffer(f, np.uint32))
-            again.append(np.frombuffer(y, np.uint32))  # in the order of the part's repeated tokens
-        doc = np.concatenate([*doc, owners]).astype(np.int64)
-        token = np.concatenate([*token, np.repeat(held, times)]).view(np.int64)
-        df = np.concatenate([*df, np.repeat(np.concatenate(again), times)])
+            own.append(np.frombuffer(d, np.uint16))
+            name, f = np.frombuffer(x, np.uint32).astype(np.int64) + (b << 32), np.frombuffer(f, np.uint16)
+            k = len(own[-1])
+            tokens.append(name[:k])
+            dfs.append(f[:k])
+            often.append(name[k:])  # in the order of the part's hot tokens
+            hot.append(f[k:])
+        doc = np.concatenate([*own, owners]).astype(np.int64)
+        token = np.concatenate([*tokens, np.repeat(np.concatenate(often), times)])
+        df = np.concatenate([*dfs, np.repeat(np.concatenate(hot), times)])
         size = len(meta) // 40
         ids, n, marks = np.frombuffer(meta, np.int64, 3 * size).reshape(3, size)
         digest = meta[24 * size :]
@@ -335,12 +345,16 @@ def _group_of(t: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
 def cells(pairs: DataFrame, placed: DataFrame, nodes: DataFrame, threshold: int, slice_size: int, inner: bool) -> DataFrame:
     """Links (a, b) between the nodes of the blocks that meet: those of ``pairs`` (query, group), and with
     ``inner`` each block with itself. A cell's links are a spanning forest of all that it holds."""
-    content = dealt_join(placed, nodes.select("node", "n", "shared"), ["node"])
     sizes = placed.groupBy(F.col("block").alias("query")).agg(F.count("*").alias("count"))
     # queries of each group, in slices of bounded size
     asked = pairs.join(sizes, "query").groupBy("group").agg(F.ceil(F.sum("count") / slice_size).cast("long").alias("slices"))
-    queries = dealt_join(content.withColumnRenamed("block", "query"), pairs, ["query"])
-    queries = dealt_join(queries, asked, ["group"]).select("group", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node", "n", "shared")
+    met = pairs.join(asked, "group")
+    used = pairs.select(F.col("query").alias("block")).unionByName(pairs.select(F.col("group").alias("block")))
+    if inner:
+        used = used.unionByName(sizes.where("count > 1").select(F.col("query").alias("block")))
+    content = dealt_join(dealt_join(placed, used.distinct(), ["block"], "left_semi"), nodes.select("node", "n", "shared"), ["node"])
+    queries = dealt_join(content.withColumnRenamed("block", "query"), met, ["query"])
+    queries = queries.select("group", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node", "n", "shared")
     columns = dealt_join(content, asked.withColumnRenamed("group", "block"), ["block"], "left" if inner else "inner")
     columns = columns.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1).cast("long")) - 1)).alias("slice"), "node", "n", "shared")
     columns = columns.toDF("block", "part", "member", "size", "tokens")  # names of their own, as both sides come from content

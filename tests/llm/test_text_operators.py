@@ -209,8 +209,13 @@ def test_chunks_do_not_change_sets(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(G.jaccard_components(df))} == want
 
 
-def dealt_bytes(rows):
-    return sum(len(x) for r in rows for x in r[2:])
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 500):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (G.unpacked(G.packed(x)) == x).all()
+    x = np.array([0, 1, 2**64 - 1], np.uint64)
+    assert (G.unpacked(G.packed(x)) == x).all() and len(G.packed(np.arange(100, dtype=np.uint64))) == 9 + 99
 
 
 def test_dealt_bytes_do_not_grow_with_buckets():
@@ -220,14 +225,17 @@ def test_dealt_bytes_do_not_grow_with_buckets():
     sets, total = own + hot, sum(map(len, own)) + sum(map(len, hot))
     for bits in (8, 10, 13, 16):
         dealt = G.dealt_rows(0, list(range(2701)), [0] * 2701, sets, bits)
-        assert dealt_bytes(dealt) <= 40 * 2701 + 9 * total
-        back = []
-        for b, _, ds, ts, ys, cs in dealt[1:]:
-            back += [(int(d), int(t)) for d, t in zip(np.frombuffer(ds, "u2"), G._whole(ts, b, bits), strict=True)]
+        # besides, a row starts with nine bytes
+        assert sum(len(x) for r in dealt for x in r[2:]) <= 40 * 2701 + 9 * total + 9 * len(dealt)
+        back, held = [], []
+        for _, _, ds, ts, ys, cs in dealt[1:]:
+            back += [(int(d), int(t)) for d, t in zip(np.frombuffer(ds, "u2"), G.unpacked(ts), strict=True)]
             # a hot shingle is one entry of its bucket
-            assert all(c == 700 for c in np.frombuffer(cs, "u4")) and len(np.frombuffer(cs, "u4")) == len(G._whole(ys, b, bits)) <= len(hot[0])
-        held, docs, times = np.frombuffer(dealt[0][3], "u8"), np.frombuffer(dealt[0][4], "u2"), np.frombuffer(dealt[0][5], "u4")
-        back += [(int(d), int(t)) for d, t in zip(docs, np.repeat(held, times), strict=True)]
+            assert all(c == 700 for c in np.frombuffer(cs, "u4"))
+            held += G.unpacked(ys).tolist()
+        assert held == sorted(hot[0].tolist())
+        docs, times = np.frombuffer(dealt[0][4], "u2"), np.frombuffer(dealt[0][3], "u4")
+        back += [(int(d), int(t)) for d, t in zip(docs, np.repeat(np.array(held, np.uint64), times), strict=True)]
         assert sorted(back) == sorted((i, int(x)) for i, s in enumerate(sets) for x in s)
 
 
@@ -238,24 +246,20 @@ def test_counts_add_up_over_chunks():
     for s in sets:
         for x in s:
             want[int(x)] += 1
-    bits, got, buckets = 3, defaultdict(set), defaultdict(list)
-    chunks = [sets[i : i + 40] for i in range(0, 300, 40)]
-    owned = []
-    for k, chunk in enumerate(chunks):
-        rows = G.dealt_rows(k, list(range(len(chunk))), [0] * len(chunk), chunk, bits)
-        owned.append(np.frombuffer(rows[0][3], "u8"))
-        for r in rows[1:]:
+    buckets = defaultdict(list)
+    for k in range(0, 300, 40):
+        chunk = sets[k : k + 40]
+        for r in G.dealt_rows(k, list(range(len(chunk))), [0] * len(chunk), chunk, 3)[1:]:
             buckets[r[0]].append(r)
-    again = defaultdict(list)
+    got, hot = defaultdict(set), 0
     for b in sorted(buckets):
-        for bucket, part, ds, ts, ys, fs in G.counted_rows(G._table(buckets[b], G._DEALT_NAMES, G._DEALT_KINDS), bits):
-            for x, f in zip(G._whole(ts, bucket, bits), np.frombuffer(fs, "u4"), strict=True):
-                got[int(x)].add(int(f))
-            again[part] += list(np.frombuffer(ys, "u4"))
-    for k, held in enumerate(owned):
-        for x, f in zip(held, again[k], strict=True):
-            got[int(x)].add(int(f))
-    assert dict(got) == {x: {n} for x, n in want.items() if n > 1}
+        # names stand for the bucket's tokens in order
+        tokens = sorted(x for x in want if x >> 61 == b)
+        for _, part, ds, names, _, fs in G.counted_rows(G._table(buckets[b], G._DEALT_NAMES, G._DEALT_KINDS)):
+            for x, f in zip(np.frombuffer(names, "u4"), np.frombuffer(fs, "u2"), strict=True):
+                got[tokens[x]].add(int(f))
+            hot += len(names) // 4 - len(ds) // 2
+    assert hot > 0 and dict(got) == {x: {n} for x, n in want.items() if n > 1}
 
 
 def cluster(rng, size, m, first):
