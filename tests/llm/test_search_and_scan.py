@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from braidgraph.llm import chat_format as C
 from braidgraph.llm import language_id as L
 from braidgraph.llm import secret_scan as S
-from braidgraph.llm.pivot_search import top_k
+from braidgraph.llm.pivot_search import evaluated_share, top_k
 from tests.llm.common import LONG, edge_docs, no_docs, rows
 
 
@@ -38,6 +38,17 @@ def test_top_k_equals_brute_force(spark):
         assert got == brute_top(vecs, lambda i: i % 10 == 0, 5)
 
 
+def test_clustered_vectors_are_mostly_not_evaluated(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 3
+    vecs = [(i, [float(x) for x in centres[i % 20] + rng.normal(size=16) * 0.2]) for i in range(2000)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    for block in (64, 16_384):
+        got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(top_k(df, F.col("vec_id") % 100 == 0, block=block))}
+        assert got == brute_top(vecs, lambda i: i % 100 == 0, 5)
+    assert evaluated_share(df, F.col("vec_id") % 100 == 0) < 0.3
+
+
 def test_top_k_repeated_rows_and_large_values(spark):
     df = spark.createDataFrame([(0, [3e12]), (0, [3e12]), (1, [2e12]), (1, [2e12]), (2, [-1e12])], "vec_id long, embedding array<float>")
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows(top_k(df, F.col("vec_id") == 0, k=5)))
