@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,6 +71,44 @@ def test_shards_are_even_though_a_text_is_hot(spark):
     assert sorted(map(str, rows(shard(df.repartition(7))))) == sorted(map(str, got))  # whatever the partitions
 
 
+def brute_shards(docs, shards):
+    """Rows of (id, text) by checksum and id, cut where their middle byte falls among all bytes."""
+    order = sorted((zlib.crc32((t or "").encode()), -(2**63) if i is None else i, len((t or "").encode()) + 8, i) for i, t in docs)
+    total, seen, out, slots = sum(x[2] for x in order), 0, [], {}
+    for crc, _, size, i in order:
+        own = min(shards - 1, (2 * seen + size) * shards // (2 * total))
+        out.append((i, size, crc, "bytes", own, slots.get(own, 0), None))
+        slots[own] = slots.get(own, 0) + 1
+        seen += size
+    return sorted(out, key=str)
+
+
+def test_shards_equal_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, "x" * rng.randrange(200)) for i in range(400)] + [(7, "the same row")] * 300 + [(i % 3, None) for i in range(50)] + [(None, "no id"), (None, "no id"), (9, "y" * 5000)]
+    for shards in (1, 5, 24):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+        got = [tuple(r.values()) for r in rows(shard(df, shards, samples=4))]
+        assert sorted(got, key=str) == brute_shards(docs, shards)
+
+
+def test_a_key_of_many_rows_is_cut(spark):
+    from braidgraph.llm import shard_ranges as R
+
+    keys = [[np.array(c, np.int64) for c in zip(*k, strict=True)] for k in ([(1, 1, 0), (2, 5, 3), (2, 5, 9), (2, 6, 0), (3, 0, 0)], [(2, 5, 4), (2, 6, 0)])]
+    assert R._locate(*keys).tolist() == [0, 0, 1, 2, 2]
+    df = spark.createDataFrame([(1, "x")] * 4000, "doc_id long, text string").repartition(8)
+    seen = []
+    real = R._ranged
+    R._ranged = lambda k, s: seen.append(real(k, s)) or seen[-1]
+    try:
+        assert shard(df).count() == 4000
+    finally:
+        R._ranged = real
+    most = max(r["count"] for r in seen[-1].groupBy("range").count().collect())
+    assert most <= 400  # 96 ranges of one and the same key
+
+
 def test_shard_edges(spark):
     got = rows(shard(edge_docs(spark)))
     assert len(got) == 11 and all(0 <= r["shard"] < 24 for r in got)
