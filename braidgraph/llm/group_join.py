@@ -22,7 +22,7 @@ document id. Nothing is approximate but the identity of shingles, 64-bit hashes.
    block meets a group only where the matrix has a token of both. A query's overlap
    with the group's union bounds its overlap with every member; only a group whose
    bound reaches the threshold is opened, and its members' overlaps are then exact.
-   Links leave a cell as a spanning forest, never as all pairs of a cluster.
+   Links leave a cell as stars, a row for each node, never as all pairs of a cluster.
 5. *Two rounds.* In the first, each group meets itself and, for each of its tokens, one
    group that represents the token: as many cells as the matrix has entries at most.
    Components of these links become units. In the second, only tokens whose nodes lie
@@ -304,11 +304,14 @@ class _Forest:
             self.up[x] = x = self.up.get(p, p)
         return x
 
-    def join(self, a, b) -> bool:
+    def join(self, a, b) -> None:
         a, b = self.find(a), self.find(b)
         if a != b:
-            self.up[a] = b
-        return a != b
+            self.up[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple]:
+        """(node, least node of its tree) of all nodes but those."""
+        return [(x, self.find(x)) for x in list(self.up) if self.find(x) != x]
 
 
 class Group:
@@ -344,15 +347,12 @@ def _group_of(t: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
 
 def cells(pairs: DataFrame, placed: DataFrame, nodes: DataFrame, threshold: int, slice_size: int, inner: bool) -> DataFrame:
     """Links (a, b) between the nodes of the blocks that meet: those of ``pairs`` (query, group), and with
-    ``inner`` each block with itself. A cell's links are a spanning forest of all that it holds."""
+    ``inner`` each block with itself. What links in a cell leaves it as stars, a row for each node."""
     sizes = placed.groupBy(F.col("block").alias("query")).agg(F.count("*").alias("count"))
     # queries of each group, in slices of bounded size
     asked = pairs.join(sizes, "query").groupBy("group").agg(F.ceil(F.sum("count") / slice_size).cast("long").alias("slices"))
     met = pairs.join(asked, "group")
-    used = pairs.select(F.col("query").alias("block")).unionByName(pairs.select(F.col("group").alias("block")))
-    if inner:
-        used = used.unionByName(sizes.where("count > 1").select(F.col("query").alias("block")))
-    content = dealt_join(dealt_join(placed, used.distinct(), ["block"], "left_semi"), nodes.select("node", "n", "shared"), ["node"])
+    content = dealt_join(placed, nodes.select("node", "n", "shared"), ["node"])
     queries = dealt_join(content.withColumnRenamed("block", "query"), met, ["query"])
     queries = queries.select("group", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"), "node", "n", "shared")
     columns = dealt_join(content, asked.withColumnRenamed("group", "block"), ["block"], "left" if inner else "inner")
@@ -361,15 +361,14 @@ def cells(pairs: DataFrame, placed: DataFrame, nodes: DataFrame, threshold: int,
 
     def meet(q: pa.Table, g: pa.Table) -> pa.Table:
         names, sizes, sets = _group_of(g)
-        forest, out = _Forest(), []
+        forest = _Forest()
         group = Group(names, sizes, sets)
         own = inner and g.num_rows > 1 and g.column("part")[0].as_py() == 0
         asking = [*zip(names, sizes, sets, strict=True)] if own else []
         for node, n, tokens in [*asking, *zip(*_group_of(q), strict=True)]:
             for i in group.links(int(n), tokens, threshold):
-                if forest.join(node, names[i]):
-                    out.append((node, names[i]))
-        return _table(out, ["a", "b"], [pa.binary(), pa.binary()])
+                forest.join(node, names[i])
+        return _table(forest.stars(), ["a", "b"], [pa.binary(), pa.binary()])
 
     return queries.groupBy("group", "slice").cogroup(columns.groupBy("block", "part")).applyInArrow(meet, "a binary, b binary")
 
@@ -395,16 +394,12 @@ def open_pairs(rows: DataFrame, met: DataFrame) -> DataFrame:
     wide = dealt_join(wide, fine.toDF("token", "sa", "query"), ["token", "sa"])
     wide = dealt_join(wide, fine.toDF("token", "sb", "group"), ["token", "sb"]).select("query", "group").distinct()
     done = met.select("query", "group").unionByName(met.select(F.col("group").alias("query"), F.col("query").alias("group")))
-    wide = wide.join(done, ["query", "group"], "left_anti")
-    # blocks that lie in one and the same unit have nothing left to find
-    ends = rows.groupBy("block").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
-    both = wide.join(ends.toDF("query", "ql", "qh"), "query").join(ends.toDF("group", "gl", "gh"), "group")
-    return both.where("not (ql = qh and gl = gh and ql = gl)").select("query", "group")
+    return wide.join(done, ["query", "group"], "left_anti")
 
 
 def linked_roots(found: DataFrame, threshold: int = THRESHOLD, group_size: int = GROUP_SIZE, slice_size: int = SLICE_SIZE) -> DataFrame:
-    """(node, root) of the nodes of ``found`` (from members) that link with others; nodes of one
-    component, and only those, have the same root."""
+    """(node, root) of the nodes of ``found`` (from members) that link with others, and maybe of others;
+    nodes of one component, and only those, have the same root."""
     nodes = found.where("prefix is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared"))
     nodes = checkpointed(nodes)
     tokens = nodes.select("node", F.explode("prefix").alias("token"))
@@ -429,9 +424,7 @@ def linked_roots(found: DataFrame, threshold: int = THRESHOLD, group_size: int =
     unit = units.select("node", "unit")
     across = dealt_join(dealt_join(more, unit.toDF("a", "u"), ["a"]), unit.toDF("b", "v"), ["b"]).where("u != v").select(F.col("u").alias("a"), F.col("v").alias("b"))
     merged = components(across).toDF("unit", "top")
-    joined = dealt_join(unit, merged, ["unit"], "left").select("node", F.coalesce("top", "unit").alias("root"))
-    # a node alone in its unit is no part of the result
-    return joined.join(roots.select("node").unionByName(more.select(F.col("a").alias("node"))).unionByName(more.select(F.col("b").alias("node"))).distinct(), "node", "left_semi")
+    return dealt_join(unit, merged, ["unit"], "left").select("node", F.coalesce("top", "unit").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -443,7 +436,7 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = dealt_join(both, least, ["u"]).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both, least, ["u"]).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = dealt_join(large, least, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
