@@ -43,11 +43,13 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidgraph.llm.common import remove_folder
     from braidgraph.llm.warc_index import archive_folder, merge_index, read_archives, write_archives
 
     path = archive_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
     index = merge_index(read_archives(spark, path))
+    remove_folder(spark, path)  # the index is checkpointed
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 

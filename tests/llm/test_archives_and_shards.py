@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -30,6 +32,14 @@ def test_archives_read_back(spark, tmp_path):
     pages = [(1, "http://b.example/x", big), (2, "http://a.example/x", big), (3, "http://a.example/x", big), (4, "http://a.example/x", "tiny"), (5, None, "tiny"), (6, "u\r\nv", None), (7, "http://a.example/y", ""), (8, "http://c.example/", LONG), (3, "http://a.example/x", big), (None, "http://d.example/", big)]
     df = spark.createDataFrame([(i, u, h, 0, "x") for i, u, h in pages], "page_id long, url string, html string, digest int, size string")
     W.write_archives(df, str(tmp_path / "w"), max_records=3)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("part-*")}
+    ids = [h["warc-record-id"] for data in files.values() for h, _, _ in W.records(data)]
+    assert len(ids) == 10 and len(set(ids)) == 9  # one row comes twice
+    for r in rows(W.read_archives(spark, str(tmp_path / "w"))):
+        # a reader that seeks to the offset finds the record
+        h, block, _ = next(W.records(files[r["run"]][r["offset"] :]))
+        assert h["warc-target-uri"] == r["url"] and (r["record_type"] == "revisit" or hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest() == r["payload_digest"])
+        assert gzip.decompress(files[r["run"]][r["offset"] :]).startswith(b"WARC/1.1\r\n")
     got = sorted(rows(W.merge_index(W.read_archives(spark, str(tmp_path / "w")))), key=lambda r: r["position"])
     assert [r["position"] for r in got] == list(range(10))
     keys = [(r["url_key"], r["captured"]) for r in got]
@@ -43,6 +53,35 @@ def test_archives_read_back(spark, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 3) if again else ("response", None))
 
 
+def test_ranges_and_fan_in_do_not_change_the_order(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    pages = [(i % 180, f"http://h{rng.randrange(3)}.example/{rng.randrange(4)}" if i % 3 else "http://hot.example/", f"page {rng.randrange(50)}") for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    W.write_archives(df, str(tmp_path / "w"), max_records=7)
+    runs = W.read_archives(spark, str(tmp_path / "w"))
+    key = lambda r: (r["url_key"], r["captured"], r["page_id"], r["payload_digest"])
+    want = sorted(key(r) for r in rows(runs))
+    for slice_rows, range_rows, fan_in in ((256, 20_000, 256), (3, 20, 2)):
+        monkeypatch.setattr(W, "SLICE", slice_rows)
+        got = sorted(rows(W.merge_index(runs, range_rows, fan_in)), key=lambda r: r["position"])
+        assert [r["position"] for r in got] == list(range(400))
+        assert [key(r)[:3] for r in got] == [k[:3] for k in want] and sorted(map(key, got)) == want
+    many = W.checkpointed(runs)
+    most = W.boundaries(many, 400, 20)
+    assert len(most) >= 12  # the hot url is cut at its captures
+
+
+def test_long_records_are_several_members():
+    record = b"WARC/1.1\r\nContent-Length: 5000\r\n\r\n" + bytes(range(250)) * 20 + b"\r\n\r\n"
+    data = (W.member(record, 700) + b"\0") * 2
+    got = list(W.records(data))
+    assert [len(block) for _, block, _ in got] == [5000, 5000] and got[1][2] == len(data) // 2
+    assert gzip.decompress(data) == record * 2
+    for cut in (3, len(data) // 2 + 30, len(data) - 9):
+        with pytest.raises(ValueError):
+            list(W.records(data[:cut]))
+
+
 def test_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     W.write_archives(df, str(tmp_path / "w"))
