@@ -15,7 +15,8 @@ string is replaced by ``\\l`` (for ``<``) or ``\\b`` (for ``[``), so an escaped
 text holds no control string at all. The loss mask covers the text parts of
 assistant turns.
 
-Defined edge cases: null text or content is empty; a null role is the empty role; a
+Defined edge cases: null text or content is empty; sizes that are null, negative or
+not finite are 0, and an attachment expands to one token at least (a document to one page's); a null role is the empty role; a
 part of unknown type is kept as a placeholder of type ``other``; rows with equal
 turns keep the order of role, then segment; a null conv_id is a conversation of its own.
 """
@@ -65,6 +66,11 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: _BACK[m[1]], text)
 
 
+def sized(x: float | None) -> float:
+    """A size that counts: 0 for one that is null, negative, not finite or beyond all measure."""
+    return x if x is not None and 0 < x < 1e12 else 0
+
+
 @dataclass
 class Flattener:
     """Visits the parts of one message in order."""
@@ -88,14 +94,14 @@ class Flattener:
         self._put(s)
 
     def visit_image(self, part: dict) -> None:
-        tiles = math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch)
+        tiles = math.ceil(sized(part.get("width")) / self.patch) * math.ceil(sized(part.get("height")) / self.patch)
         self._attach("image", part, max(1, tiles))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * self.audio_rate)))
+        self._attach("audio", part, max(1, math.ceil(sized(part.get("seconds")) * self.audio_rate)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 0) * self.page_tokens)
+        self._attach("document", part, max(1, sized(part.get("pages"))) * self.page_tokens)
 
     def visit_other(self, part: dict) -> None:
         self._attach("other", part, 1)

@@ -7,8 +7,8 @@ document's probabilities are the mean of its windows', weighted by their bytes.
 
 Training runs in numpy on the driver, on windows spread evenly over a bounded
 sample of labelled documents (``max_docs`` documents, ``per_doc`` windows of each,
-equal shares of each language, the ``max_langs`` most frequent ones). The network
-that results is small and fixed in size. For prediction, embedding and filters are
+equal shares of all languages, about ``LEAST_DOCS`` of each at least). The network that
+results is small and, but for a row of weights for each language, fixed in size. For prediction, embedding and filters are
 multiplied out into one table of responses for each pair of bytes, so a window needs
 two look-ups a position. Every byte of every text is read.
 
@@ -31,9 +31,13 @@ from pyspark.sql import types as T
 from braidgraph.llm.common import small_batches
 
 UNKNOWN = "und"
+#: A kept document's least score: its best language outweighs all others together.
+LEAST = 0.5
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-MAX_DOCS, PER_DOC, MAX_LANGS = 3072, 3, 64
+MAX_DOCS, PER_DOC = 3072, 3
+#: Documents drawn of a language at least, on average, however many languages there are.
+LEAST_DOCS = 8
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 
@@ -97,8 +101,9 @@ def pool(data: np.ndarray, near: np.ndarray, far: np.ndarray, window: int = WIND
     return out
 
 
-def train(samples: list[tuple[bytes, str]], window: int = WINDOW, widths: tuple[int, ...] = WIDTHS, count: int = 8, depth: int = 8, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Fit a network to labelled windows with Adam; short cuts of them are learned too."""
+def train(samples: list[tuple[bytes, str]], window: int = WINDOW, widths: tuple[int, ...] = WIDTHS, count: int = 8, depth: int = 8, epochs: int = 6, least_steps: int = 480, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Network:
+    """Fit a network to labelled windows with Adam; short cuts of them are learned too. Few windows are
+    gone over more often than ``epochs`` times, until ``least_steps`` steps are taken."""
     rng = np.random.default_rng(seed)
     labels = sorted({y for _, y in samples})
     ys = np.array([labels.index(y) for _, y in samples])
@@ -113,7 +118,7 @@ def train(samples: list[tuple[bytes, str]], window: int = WINDOW, widths: tuple[
     p |= {"bias": np.zeros(total), "dense": rng.normal(0, total**-0.5, (total, len(labels))), "dense_bias": np.zeros(len(labels))}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // max(1, len(samples) // batch)))):
         for rows in np.array_split(rng.permutation(len(samples)), max(1, len(samples) // batch)):
             if not len(rows):
                 continue
@@ -162,18 +167,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, may_learn: Column, max_docs: int = MAX_DOCS, per_doc: int = PER_DOC, max_langs: int = MAX_LANGS, window: int = WINDOW) -> Network | None:
+def fit(docs: DataFrame, may_learn: Column, max_docs: int = MAX_DOCS, per_doc: int = PER_DOC, window: int = WINDOW) -> Network | None:
     """Train on a bounded sample of the rows of ``docs`` (doc_id, text, lang) where ``may_learn`` holds."""
     rows = docs.select("doc_id", "text", "lang").where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    each = max_docs / len(counts)
+    each = max(LEAST_DOCS, max_docs / len(counts))
     chance = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r[0], int((1 << 30) * min(1.0, each / r[1]))))), F.col("lang"))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < chance)
     span = F.greatest(F.lit(0), F.length("text") - window)
     cuts = F.array(*(F.substring(F.col("text"), F.floor(span * (k / max(1, per_doc - 1))).cast("int") + 1, F.lit(window)) for k in range(per_doc)))
-    got = drawn.select("lang", F.array_distinct(cuts).alias("cuts")).limit(2 * max_docs).collect()
+    got = drawn.select("lang", F.array_distinct(cuts).alias("cuts")).limit(2 * max(max_docs, LEAST_DOCS * len(counts))).collect()
     samples = sorted((c.encode()[:window], r["lang"]) for r in got for c in r["cuts"] if has_letter(c))
     return train(samples, window) if samples else None
 
@@ -231,17 +236,20 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(slim.withColumn("held_out", held_out(F.col("doc_id"))), net, ["doc_id", "held_out"])
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without those that have no letters or whose best language scores below ``least``."""
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without those that have no letters or whose best language scores below ``least``;
+    the language found fills in where ``lang`` is null. Where nothing was learned nothing is kept."""
     net = fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
     tables = net.tables() if net else (None, None)
     shared = docs.sparkSession.sparkContext.broadcast((net, *tables))
-    at = docs.columns.index("text")
+    at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, near, far = shared.value
         for b in batches:
             found = score(b.column(at).to_pylist(), held, near, far)
-            yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
+            langs = [own if own is not None else got for own, (got, _) in zip(b.column(lang_at).to_pylist(), found, strict=True)]
+            cols = [pa.array(langs, b.column(i).type) if i == lang_at else b.column(i) for i in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

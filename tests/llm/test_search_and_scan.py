@@ -214,7 +214,7 @@ def test_language_edges(spark):
 
 def test_pooled_responses_equal_the_plain_network():
     rng = np.random.default_rng(0)
-    net = L.train([(b"aaa bbb " * 9, "x"), (b"ccc ddd " * 9, "y")] * 20, epochs=1)
+    net = L.train([(b"aaa bbb " * 9, "x"), (b"ccc ddd " * 9, "y")] * 20, epochs=1, least_steps=1)
     texts = [bytes(rng.integers(32, 250, n, dtype=np.uint8)) for n in (1, 255, 256, 700)]
     data, counts, _ = L.padded(texts)
     near, far = net.tables()
@@ -252,6 +252,20 @@ def test_typed_parts_become_placeholders(spark):
     assert C.read_segments(r[1]["segment"]) == [("", "")]
 
 
+def test_sizes_that_do_not_count():
+    for x in (None, -1, 0, float("nan"), float("inf"), -float("inf"), 1e300):
+        _, _, found = C.format_turn("user", [{"type": "audio", "seconds": x}, {"type": "image", "width": x, "height": 5}, {"type": "document", "pages": x}])
+        assert [a["n_tokens"] for a in found] == [1, 1, 1024]
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(i, " ".join([chr(97 + i % 20) * 3 + chr(97 + (i % 7))] * 30), f"l{i % 90}") for i in range(900)], "doc_id long, text string, lang string")
+    net = L.fit(docs, F.lit(True), max_docs=180)
+    assert len(net.labels) == 90
+    kept = rows(L.keep_identified(spark.createDataFrame([(i, ("yes no maybe " if i % 2 else "oui non peut être ") * 9, None if i < 20 else ("en" if i % 2 else "fr")) for i in range(80)] + [(99, "12 34", "en")], "doc_id long, text string, lang string")))
+    assert len(kept) == 80 and all(r["lang"] == ("en" if r["doc_id"] % 2 else "fr") for r in kept)
+
+
 def test_conversations_with_nulls_and_long_texts(spark):
     df = spark.createDataFrame([(1, 1, "assistant", LONG, 0), (1, 0, "user", None, 0), (None, 0, None, "x", 0), (2, None, "assistant", "", 0), (2, 0, "assistant", "b", 0), (2, 0, "assistant", "b", 0)], "conv_id long, turn long, role string, text string, segment int")
     got = {r["conv_id"]: r for r in rows(C.read_back(C.format_turns(df)))}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from braidgraph.llm import decontaminate as D
 from braidgraph.llm import group_join as G
 from braidgraph.llm import pack_exact as P
+from braidgraph.llm.language_id import identify
 from braidgraph.llm.line_dedup import dedup_lines
 from tests.llm.common import LONG, edge_docs, no_docs, rows
 
@@ -444,7 +445,9 @@ def test_pipeline_stages(spark, data, tmp_path):
         if k < 4:
             assert docs.columns == first.columns
     every = {r["doc_id"]: r["text"] for r in first.collect()}
-    assert set(held[0]) == {i for i, t in every.items() if t and any(map(str.isalpha, t))}
+    judged = {r["doc_id"]: r for r in identify(first).collect()}
+    assert {i for i, r in judged.items() if r["lang_pred"] == "und"} == {i for i, t in every.items() if not t or not any(map(str.isalpha, t))}
+    assert set(held[0]) == {i for i, r in judged.items() if r["score"] >= 0.5} and len(held[0]) >= 0.95 * len(every)
     lines = [(i, t) for i, t in sorted(held[0].items())]
     want = brute_by_line(lines, 4)
     assert held[1] == {i: t for i, t in want.items() if t is not None}
@@ -455,6 +458,7 @@ def test_pipeline_stages(spark, data, tmp_path):
     clean = {i for i, v in brute_hits(list(held[2].items()), items, 10).items() if not v[4]}
     assert all(held[3][i] == held[2][i] for i in clean)
     assert {r["doc_id"] for r in held[4].select("doc_id").distinct().collect()} == set(held[3])
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in held[4].collect())
     assert C.run(spark, data).count() == held[4].count()
 
 
