@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidgraph.llm.common import checkpoint_folder, table
+from braidgraph.llm.common import checkpoint_folder, remove_folder, table
 from braidgraph.llm.decontaminate import decontaminate
 from braidgraph.llm.group_join import keep_representatives
 from braidgraph.llm.language_id import keep_identified
@@ -20,7 +20,7 @@ from braidgraph.llm.pack_exact import pack
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language the byte network recognises."""
+    """Documents with letters whose language the byte network recognises, and their language where it was null."""
     return keep_identified(docs)
 
 
@@ -40,8 +40,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, each with its place in a packed sequence."""
-    return pack(docs, specials=True)
+    """Pieces of token sequences with their ids, each with its place in a packed sequence."""
+    return pack(docs, with_ids=True)
 
 
 STAGES = [
@@ -54,12 +54,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder."""
+    """All stages over ``documents``; what each returns is written to the shared folder, and
+    goes when the next stage is written. The last one's stays, as the result reads it."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
 
 
