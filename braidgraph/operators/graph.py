@@ -16,14 +16,16 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str |
     """``current`` with the rows of ``batch``; the last write of a key replaces its whole row.
 
     ``seq`` names a column of ``batch`` that orders writes of one key; it is dropped.
+    Without it the batch's own order holds: that of its partitions and the rows in them,
+    as they are read from files or made from a list.
     """
     order = "__seq"
-    new = batch.withColumn(order, (F.col(seq).cast("long") if seq else F.lit(0).cast("long")) + 1)
+    new = batch.withColumn(order, F.col(seq).cast("long") if seq else F.monotonically_increasing_id())
     new = new.drop(seq) if seq else new
-    both = current.withColumn(order, F.lit(-1).cast("long")).unionByName(new, allowMissingColumns=True)
+    both = current.withColumn(order, F.lit(None).cast("long")).unionByName(new, allowMissingColumns=True)
     names = [c for c in both.columns if c != order]
     # a maximum, as it is taken in part before the shuffle however often a key is written
-    last = both.groupBy(*keys).agg(F.max(F.struct(order, *(c for c in names if c not in keys))).alias("__last"))
+    last = both.groupBy(*keys).agg(F.max(F.struct(F.col(order).isNotNull(), order, *(c for c in names if c not in keys))).alias("__last"))
     return last.select(*(c if c in keys else F.col("__last")[c].alias(c) for c in names))
 
 
@@ -61,9 +63,12 @@ def expand(edges: DataFrame, seeds: DataFrame, hop: int = 1, rels: Sequence[str]
     """(id, best_hop, via_seed) of all nodes within ``hop`` steps of a seed, either way.
 
     Seeds come back even if no edge or node knows them. ``via_seed`` is the smallest of
-    the nearest seeds. Each level joins only the nodes found last and is checkpointed.
+    the nearest seeds. Each level joins only the nodes found last and is checkpointed;
+    above one hop the edges are read once, into (a, b) checkpointed by ``a``.
     """
     both = undirected(edges, rels)
+    if hop > 1:
+        both = checkpointed(both.repartition("a"))
     last = seeds.select("id").distinct().select("id", F.lit(0).alias("best_hop"), F.col("id").alias("via_seed"))
     found = last = checkpointed(last)
     for level in range(1, hop + 1):

@@ -5,9 +5,10 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,20 +29,26 @@ def walkable(path: Column) -> Column:
     return ~F.exists(parts, lambda p: p.isin(*SKIP_DIRS) | p.startswith("."))
 
 
-@F.pandas_udf(T.StringType())
-def csv_to_markdown(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A table in Markdown; null if there is nothing in it."""
+def markdown_table(raw: bytes) -> str | None:
+    """A CSV file as a table in Markdown; None if there is nothing in it or it can't be read."""
+    text = raw.decode("utf-8", "replace")
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+    try:
+        rows = [r for r in csv.reader(io.StringIO(text)) if r]
+    except csv.Error:
+        return None
+    if not rows:
+        return None
+    width = max(map(len, rows))
+    shown = ["| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([shown[0], "|" + " --- |" * width, *shown[1:]]) + "\n"
 
-    def one(raw: bytes | None) -> str | None:
-        rows = [r for r in csv.reader(io.StringIO(bytes(raw or b"").decode("utf-8", "replace"))) if r]
-        if not rows:
-            return None
-        width = max(map(len, rows))
-        shown = ["| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in r + [""] * (width - len(r))) + " |" for r in rows]
-        return "\n".join([shown[0], "|" + " --- |" * width, *shown[1:]]) + "\n"
 
+@F.pandas_udf(T.StringType())
+def csv_to_markdown(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Tables in Markdown; null stays null."""
     for s in content:
-        yield s.map(one)
+        yield s.map(lambda raw: None if raw is None else markdown_table(bytes(raw)))
 
 
 def stem_of(path: Column) -> Column:
@@ -52,15 +59,26 @@ def stem_of(path: Column) -> Column:
 
 
 def staged_names(files: DataFrame) -> DataFrame:
-    """``files`` (path, sha256, out_suffix) with staged_path; names that collide take a digest part."""
-    plain = F.concat(stem_of(F.col("path")), F.col("out_suffix"))
-    nth = F.row_number().over(Window.partitionBy("plain").orderBy("path"))
-    named = files.withColumn("plain", plain).withColumn("nth", nth)
-    short = F.concat(stem_of(F.col("path")), F.lit("-"), F.substring("sha256", 1, 8), F.col("out_suffix"))
-    named = named.withColumn("second", F.when(F.col("nth") == 1, F.col("plain")).otherwise(short))
-    again = F.row_number().over(Window.partitionBy("second").orderBy("path"))
-    full = F.concat(stem_of(F.col("path")), F.lit("-"), F.col("sha256"), F.col("out_suffix"))
-    return named.withColumn("again", again).withColumn("staged_path", F.when(F.col("again") == 1, F.col("second")).otherwise(full)).drop("plain", "nth", "second", "again")
+    """``files`` (path, sha256, out_suffix) with staged_path; names that collide take a digest part.
+
+    The first path of a name keeps it. Firsts are minima, taken in part before the
+    shuffle, so a name that a third of all files share gathers nowhere. Of files that
+    also share the digest's first part one has the short name, the rest the whole digest.
+    """
+    stem, out = stem_of(F.col("path")), F.col("out_suffix")
+
+    def first_of(rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with whether their path, and digest if paths are equal, is the first of its name."""
+        least = rows.groupBy(name).agg(F.min(F.struct("path", "sha256")).alias("__least"))
+        dealt = F.xxhash64(name)  # a key of its own, so that a hot name's rows can be split
+        both = rows.withColumn("__k", dealt).join(least.withColumn("__k", dealt), [name, "__k"])
+        return both.withColumn("__first", F.struct("path", "sha256") == F.col("__least")).drop("__least", "__k")
+
+    named = first_of(files.withColumn("__plain", F.concat(stem, out)), "__plain")
+    short = F.concat(stem, F.lit("-"), F.substring("sha256", 1, 8), out)
+    named = named.withColumn("__second", F.when(F.col("__first"), F.col("__plain")).otherwise(short)).drop("__first", "__plain")
+    full = F.concat(stem, F.lit("-"), F.col("sha256"), out)
+    return first_of(named, "__second").withColumn("staged_path", F.when(F.col("__first"), F.col("__second")).otherwise(full)).drop("__first", "__second")
 
 
 def default_converters() -> dict[str, Callable[[Column], Column]]:
@@ -90,10 +108,18 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str, converters: dic
         rows = rows.join(done, "sha256", "left")
     else:
         rows = rows.withColumn("done", F.lit(None).cast("boolean"))
-    text = F.lit(None).cast("string")
+    # in a conditional expression a function in Python runs for all rows, so such converters are handed
+    # the files of their kinds only
+    plain, apart = [], {}
     for own, convert in chain.items():
+        (plain.append((own, convert)) if not getattr(convert, "evalType", None) else apart.setdefault(convert, []).append(own))
+    text = F.lit(None).cast("string")
+    for own, convert in plain:
         text = F.when(F.col("suffix") == own, convert(F.col("content"))).otherwise(text)
-    rows = rows.withColumn("text", text)
+    others = [own for suffixes in apart.values() for own in suffixes]
+    parts = [rows.where(~F.coalesce(F.col("suffix").isin(*others), F.lit(False)) if others else F.lit(True)).withColumn("text", text)]
+    parts += [rows.where(F.col("suffix").isin(*own)).withColumn("text", convert(F.col("content"))) for convert, own in apart.items()]
+    rows = reduce(DataFrame.unionByName, parts)
     blank = F.col("text").isNull() | (F.trim("text") == "")
     status = F.when(~supported, "skipped").when(F.col("done"), "skipped").when(F.col("path") != F.col("first_path"), "skipped")
     status = status.when(~F.col("suffix").isin(*TEXT_SUFFIXES) & blank, "failed").otherwise("ingested")
@@ -110,6 +136,23 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str, converters: dic
     )
 
 
+def latest(ledger: DataFrame) -> DataFrame:
+    """The record of each source path: what was ingested, else the last outcome."""
+    rank = F.struct((F.col("status") == "ingested").alias("whole"), F.col("ingested_at"), F.struct(*ledger.drop("metadata").columns).alias("row"))
+    last = ledger.groupBy("source_path").agg(F.max(rank)["row"].alias("row"))
+    return last.select("row.*")
+
+
+def has_ingested(ledger: DataFrame, digests: DataFrame) -> DataFrame:
+    """``digests`` (sha256, ...) with whether the ledger holds each as ingested."""
+    done = ledger.where("status = 'ingested'").select("sha256").distinct().withColumn("ingested", F.lit(True))
+    return digests.join(done, "sha256", "left").withColumn("ingested", F.coalesce("ingested", F.lit(False)))
+
+
+def staged_paths(ledger: DataFrame) -> DataFrame:
+    return ledger.where("status = 'ingested'").select("staged_path").distinct()
+
+
 def summary(ledger: DataFrame) -> DataFrame:
     """One row: counts by status, zeros included, and the total."""
     return ledger.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ingested", "skipped", "failed")), F.count("*").alias("total"))

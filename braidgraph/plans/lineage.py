@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braid-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors reach")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="braid-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -25,19 +28,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """``df`` with its row numbers (from 1) in a global order.
 
-    Rows are range-partitioned and numbered within their range; the ranges' sizes,
-    one row each, move the numbers on. No task sees more than its range.
+    Rows are range-partitioned, sorted and counted off within their range; the ranges'
+    sizes, one row each, move the numbers on. No task sees more than its range, and
+    rows are shuffled once.
     """
     spark = df.sparkSession
     part, nth = f"__{name}_part", f"__{name}_nth"
-    dealt = checkpointed(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn(part, F.spark_partition_id()))
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # the number's upper half is the partition, its lower half the place there, in sorted order
+    at = F.monotonically_increasing_id()
+    dealt = checkpointed(ranged.withColumn(nth, at).withColumn(part, F.shiftright(nth, 33)).withColumn(nth, F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))))
     starts, total = [], 0
     for p, n in sorted((r[0], r[1]) for r in dealt.groupBy(part).count().collect()):
         starts.append((p, total))
         total += n
-    first = spark.createDataFrame(starts, f"{part} int, {nth} long")
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return dealt.withColumn(name, inside).join(F.broadcast(first), part).withColumn(name, (F.col(name) + F.col(nth)).cast("long")).drop(part, nth)
+    first = f"__{name}_first"
+    before = spark.createDataFrame(starts, f"{part} long, {first} long")
+    return dealt.join(F.broadcast(before), part).withColumn(name, F.col(first) + F.col(nth) + 1).drop(part, nth, first)
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", size: str | None = None) -> DataFrame:

@@ -232,3 +232,20 @@ def test_lsh_recall(spark):
     for how in ({}, {"probes": 3}):
         found = [{r["id"] for r in V.lsh_search(df, q, 10, **how).collect()} for q in asked]
         assert sum(len(a & b) for a, b in zip(exact, found, strict=True)) >= 0.9 * 10 * len(asked)
+
+
+def test_last_of_a_batch_is_written(spark, tmp_path):
+    from braidgraph.plans.module import EdgeSpec, NodeSpec, frames
+    from braidgraph.sources.tables import GraphTables, VectorTables
+
+    specs = [NodeSpec("x", "k", "zz first"), EdgeSpec("x", "y", "R", 9.0), NodeSpec("y", "k", "only"), NodeSpec("x", "k", "aa last"), EdgeSpec("x", "y", "R", 1.0)]
+    store = GraphTables(spark, str(tmp_path / "g"))
+    store.write(*frames(spark, specs))
+    assert {r["id"]: r["name"] for r in store.nodes.collect()} == {"x": "aa last", "y": "only"}
+    assert [r["weight"] for r in store.edges.collect()] == [1.0]
+    store.write(*frames(spark, [NodeSpec("x", "k", "a later batch"), NodeSpec("x", "k", "Its end")]))
+    assert {r["id"]: r["name"] for r in store.nodes.collect()} == {"x": "Its end", "y": "only"}
+    rows = VectorTables(spark, str(tmp_path / "v"))
+    made = lambda *xs: spark.createDataFrame([(i, "k", [float(x)]) for i, x in xs], "id string, kind string, vector array<float>")
+    rows.upsert(made(("a", 9), ("b", 2), ("a", 1)))
+    assert {r["id"]: r["vector"] for r in rows.rows.collect()} == {"a": [1.0], "b": [2.0]}

@@ -278,3 +278,29 @@ def test_every_document_is_staged(spark):
     assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count() > 900
     assert len({r["path"] for r in got}) == len({r["staged_path"] for r in got}) == len(got)
     assert sum(r["staged_path"].count("-") == 1 for r in got) == 300
+
+
+def test_files_of_other_kinds_never_meet_the_csv_reader(spark):
+    odd = '"' + "x" * 200_000
+    files = spark.createDataFrame([("a/n.txt", odd.encode()), ("a/b.csv", b"x,y\n1,2\n"), ("a/long.csv", odd.encode() + b"y"), ("a/empty.csv", b""), ("a/z.csv", b"\0\n"), ("a/p.jpeg", b"\xff")], "path string, content binary")
+    got = {r["source_path"]: r for r in ingest.ingest(files, None, "2024-01-01T00:00:00").collect()}
+    assert len(got) == 6 and got["a/n.txt"]["text"] == odd and got["a/b.csv"]["text"].startswith("| x | y |")
+    assert got["a/long.csv"]["status"] == "ingested" and got["a/empty.csv"]["status"] == "failed" and got["a/p.jpeg"]["status"] == "skipped"
+
+
+def test_ledger_lookups(spark):
+    files = spark.createDataFrame([("a.md", b"one"), ("b.md", b"one"), ("c.jpeg", b"two")], "path string, content binary")
+    first = ingest.ingest(files, None, "2024-01-01T00:00:00")
+    again = ingest.ingest(files, first, "2024-02-01T00:00:00")
+    last = {r["source_path"]: r for r in ingest.latest(first.drop("text").unionByName(again.drop("text"))).collect()}
+    assert last["a.md"]["status"] == "ingested" and last["a.md"]["ingested_at"] == "2024-01-01T00:00:00"
+    assert last["b.md"]["ingested_at"] == "2024-02-01T00:00:00"
+    assert [r[0] for r in ingest.staged_paths(first).collect()] == ["a.md"]
+
+
+def test_hot_names_and_equal_digests(spark):
+    rows = [(f"d{i}/same.md", f"{i % 7:064d}", ".md") for i in range(300)] + [("d/other.md", "f" * 64, ".md")]
+    got = {r["path"]: r["staged_path"] for r in ingest.staged_names(spark.createDataFrame(rows, "path string, sha256 string, out_suffix string").repartition(5)).collect()}
+    first = min(p for p, _, _ in rows[:300])
+    assert got[first] == "same.md" and got["d/other.md"] == "other.md"
+    assert sum(p == f"same-{'0' * 8}.md" for p in got.values()) == 1 and len(got) == 301
