@@ -1,21 +1,24 @@
 """Line dedup by a suffix array over line-ID sequences.
 
 A document is the sequence of its lines' IDs (hashes). Suffixes of all sequences are
-ranked by distributed prefix doubling: ranks by the first n lines, paired with the
-ranks n lines on, give ranks by the first 2n. Each round counts distinct pairs with
-partial sums, range-sorts the pairs, and numbers them by running counts over sorted
-ranges, so a line that a third of all documents share is one pre-summed row.
-
-A repeated run is deleted from where it comes later if it holds at least
-``min_words`` words. Suffixes that share a prefix of m lines form an interval of the
-suffix array with longest common prefix m or more; its first member in corpus order
-(document id, then text hash, then line) keeps its copy. Whether a maximal run
-qualifies is settled at its shortest qualifying windows: for each suffix the shortest
-prefix with ``min_words`` words, and for each line the shortest such window ending
-there. How long a window is follows from its content, so equal windows lie in one
-interval, named by its length and the ranks of its two halves, and the windows of
-the later copies of a maximal run cover the run. Doubling thus ends at the longest
-window's length, not at the longest run's.
+ranked by distributed prefix doubling: the rank of a suffix among those that share
+their first n lines, paired with the rank of the suffix some lines on, gives ranks by
+more lines. Each round counts distinct pairs with partial sums, range-sorts the pairs
+that occur again, and numbers them by running counts over sorted ranges, so a line that
+a third of all documents share is one pre-summed row. A suffix whose pair occurs once,
+or whose document ends, is finished and leaves; doubling ends when all have left, so it
+follows the longest repeated run however long it is.
+
+Suffixes of one rank by n lines form an interval of the suffix array with longest
+common prefix n or more. Of an interval its first member in corpus order (document id,
+then text hash, then line) keeps its copy. Each suffix has a deepest interval in which
+it is not the first: so many lines, at least, it repeats of an earlier place. Lengths
+go up by one line to ``min_words`` and double from there. A repeated run is deleted
+from where it comes later if it holds at least ``min_words`` words. As a line counts
+one word or more, whether a run qualifies is settled at lengths up to ``min_words``,
+where intervals are exact; a longer run of n lines is the union of the deepest
+intervals of its suffixes, of which the last begins where the run has as many lines
+left. What overlaps is one run.
 
 Lines whose ID occurs once can't be part of a repeat and leave before any ranking.
 
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,7 @@ from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
 
 MIN_WORDS = 4
 _LOW = -(2**63)
+PLACE = ("d", "t", "pos")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) with their counts n, numbered by how many rows sort before them."""
+    """Distinct (a, b) with their counts n, numbered by how many rows sort before them; ``first`` stays."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("part", F.spark_partition_id()))
@@ -66,77 +70,83 @@ def number_pairs(pairs: DataFrame) -> DataFrame:
         total += n
     # one row for each range
     before = spark.createDataFrame(starts, "part int, start long")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())])
+    longs = ["a", "b", "part", "nth", *PLACE]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in longs])
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for b in batches:
             n = b.column(2).to_numpy()
             ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(seen + ends - n)], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(seen + ends - n), *b.columns[4:]], names=longs)
             seen += int(ends[-1]) if len(ends) else 0
 
     # each partition is one sorted range, in order
-    numbered = dealt.select("a", "b", "n", "part").mapInArrow(running, schema)
-    return numbered.join(F.broadcast(before), "part").select("a", "b", (F.col("start") + F.col("nth")).alias("rank"))
-
-
-def prefix_ranks(lines: DataFrame, longest: int) -> tuple[DataFrame, int]:
-    """``lines`` with columns r0, r1, ...: ranks by the first 1, 2, 4, ... lines, up to the
-    largest power of two within ``longest``; a suffix that ends first sorts first."""
-    ordered = Window.partitionBy("d", "t").orderBy("pos")
-    cur, level = lines.withColumnRenamed("r", "r0"), 0
-    while 2 << level <= longest:
-        step, r = 1 << level, F.col(f"r{level}")
-        # the line that many places on, if all between are repeated lines too
-        on = F.when(F.lead("pos", step).over(ordered) == F.col("pos") + step, F.lead(r, step).over(ordered))
-        paired = checkpointed(cur.withColumn("b", F.coalesce(on, F.lit(_LOW))))
-        pairs = paired.groupBy(r.alias("a"), "b").agg(F.count("*").alias("n"))
-        ranks = number_pairs(pairs).withColumnRenamed("a", "a_").withColumnRenamed("b", "b_").withColumnRenamed("rank", f"r{level + 1}")
-        cur = paired.join(ranks, (r == F.col("a_")) & (F.col("b") == F.col("b_"))).drop("a_", "b_", "b")
-        level += 1
-    return cur, level
-
-
-def windows_of(pos: np.ndarray, words: np.ndarray, ranks: list[np.ndarray], min_words: int) -> list[tuple[int, int, int, int]]:
-    """(first line, length, rank of its first half, of its last half) of the shortest windows
-    of consecutive lines that hold ``min_words`` words, from each line on and up to each."""
-    out: set[tuple[int, int]] = set()
-    at = 0
-    while at < len(pos):
-        end = at + 1
-        while end < len(pos) and pos[end] == pos[end - 1] + 1:
-            end += 1
-        sums = np.concatenate([[0], np.cumsum(words[at:end])])
-        to = np.searchsorted(sums, sums[:-1] + min_words, "left")
-        out |= {(at + i, int(j) - i) for i, j in enumerate(to) if j < len(sums)}
-        back = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
-        out |= {(at + int(i), j + 1 - int(i)) for j, i in enumerate(back) if i >= 0}
-        at = end
-    found = []
-    for s, n in sorted(out):
-        k = n.bit_length() - 1
-        found.append((s, n, int(ranks[k][s]), int(ranks[k][s + n - (1 << k)])))
-    return found
+    flat = dealt.select("a", "b", "n", F.col("part").cast("long"), *(F.col(f"first.{c}").cast("long").alias(c) for c in PLACE))
+    numbered = flat.mapInArrow(running, schema).join(F.broadcast(before), "part")
+    return numbered.select("a", "b", (F.col("start") + F.col("nth")).alias("rank"), F.struct(*PLACE).alias("first"))
+
+
+def _place() -> Column:
+    return F.struct(*(F.col(c).cast("long").alias(c) for c in PLACE))
+
+
+def doubled(lines: DataFrame, min_words: int) -> Iterator[tuple[int, DataFrame]]:
+    """Lengths and, of each, the suffixes (d, t, pos, r, later) whose first so many lines occur again:
+    their rank, and whether an earlier place has them too. Ends when there are none."""
+    firsts = lines.groupBy("r").agg(F.min(_place()).alias("first"))
+    cur = checkpointed(dealt_join(lines.select(*PLACE, "r"), firsts, ["r"]).select(*PLACE, "r", (_place() != F.col("first")).alias("later")))
+    size = 1
+    while not cur.isEmpty():
+        yield size, cur
+        longer = size + 1 if size < min_words else 2 * size
+        # the suffix so many lines on that both together have the longer prefix; a finished one is missing
+        on = Window.partitionBy("d", "t").orderBy("pos").rangeBetween(longer - size, longer - size)
+        paired = checkpointed(cur.select(*PLACE, F.col("r").alias("a"), F.first("r").over(on).alias("b")).where("b is not null"))
+        pairs = paired.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
+        ranked = dealt_join(paired, number_pairs(pairs), ["a", "b"])
+        cur = checkpointed(ranked.select(*PLACE, F.col("rank").alias("r"), (_place() != F.col("first")).alias("later")))
+        size = longer
+
+
+def runs_of(pos: np.ndarray, words: np.ndarray, deepest: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the runs of one document: the union of what its suffixes repeat, as far as
+    that has ``min_words`` words. ``deepest`` is 0 for a suffix that repeats nothing."""
+    sums = np.concatenate([[0], np.cumsum(words)])
+    at = np.flatnonzero(deepest)
+    # the lines of a repeated prefix are repeated lines, so they follow each other here
+    at = at[sums[at + deepest[at]] - sums[at] >= min_words]
+    out: list[tuple[int, int]] = []
+    for i in at.tolist():
+        start, size = int(pos[i]), int(deepest[i])
+        if out and start < out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], start + size - out[-1][0]))
+        else:
+            out.append((start, size))
+    return out
 
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, start, length) of the windows of later copies of repeated runs, of lines."""
-    ranked, top = prefix_ranks(repeated_lines(docs), min_words)
-    names = ["d", "t", "start", "length", "a", "b"]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
+    """(d, t, start, length) of the later copies of repeated runs, in lines."""
+    lines = checkpointed(repeated_lines(docs))
+    zero = F.lit(0).cast("long")
+    rows = lines.select(*PLACE, F.col("words").cast("long").alias("words"), zero.alias("size"))
+    for size, suffixes in doubled(lines, min_words):
+        rows = rows.unionByName(suffixes.where("later").select(*PLACE, zero.alias("words"), F.lit(size).cast("long").alias("size")))
+    names = ["d", "t", "start", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def rows_of(block: np.ndarray) -> np.ndarray:
-            pos, words, ranks = block[:, 2], block[:, 3], [block[:, 4 + k] for k in range(top + 1)]
-            w = windows_of(pos, words, ranks, min_words)
-            return np.array([(block[0, 0], block[0, 1], pos[s], n, a, b) for s, n, a, b in w], np.int64).reshape(-1, 6)
+        def rows_of(block: np.ndarray) -> list[tuple[int, ...]]:
+            pos, firsts = np.unique(block[:, 2], return_index=True)
+            # of each line one row has its words; the others the lengths of its intervals
+            words, deepest = np.add.reduceat(block[:, 3], firsts), np.maximum.reduceat(block[:, 4], firsts)
+            return [(block[0, 0], block[0, 1], s, n) for s, n in runs_of(pos, words, deepest, min_words)]
 
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if found and len(rows := np.concatenate(found)):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(6)], names=names)
+        def out(found: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
         for batch in batches:
             block = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], 1)
@@ -144,23 +154,20 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             found = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and (held[-1][-1, :2] != block[s, :2]).any():
-                    found.append(rows_of(np.concatenate(held)))
+                    found += rows_of(np.concatenate(held))
                     held = []
                 held.append(block[s:e])
             yield from out(found)
         if held:
-            yield from out([rows_of(np.concatenate(held))])
+            yield from out(rows_of(np.concatenate(held)))
 
-    by_doc = ranked.repartition("d", "t").sortWithinPartitions("d", "t", "pos")
-    spans = checkpointed(by_doc.select("d", "t", F.col("pos").cast("long"), F.col("words").cast("long"), *(f"r{k}" for k in range(top + 1))).mapInArrow(run, schema))
-    place = F.struct("d", "t", "start")
-    firsts = spans.groupBy("length", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = dealt_join(spans, firsts, ["length", "a", "b"]).where(place != F.col("first"))
-    return again.select("d", "t", "start", "length")
+    by_doc = rows.repartition("d", "t").sortWithinPartitions(*PLACE)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
+    return by_doc.select("d", "t", F.col("pos").cast("long"), "words", "size").mapInArrow(run, schema)
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, runs): the later copies' line runs of each document that has any, as windows."""
+    """(d, t, runs): the later copies' line runs of each document that has any."""
     runs = later_runs(docs, min_words).groupBy("d", "t")
     return runs.agg(F.collect_list(F.struct("start", "length")).alias("runs"))
 

@@ -48,6 +48,26 @@ def test_line_dedup_equals_brute_force(spark):
         assert got == brute_lines(docs, least)
 
 
+def test_runs_are_whole(spark):
+    from braidgraph.llm.line_dedup import doubled, later_runs, repeated_lines
+
+    body = [f"line {i} of the passage" for i in range(100)]
+    docs = [(0, "\n".join(body)), (1, "\n".join(["own start", *body, "own end"])), (2, "\n".join(["same line"] * 100)), (3, "\n".join([*body[40:70], "between", *body[:10]])), (4, "one\ntwo\nsame"), (5, "x\ntwo\nsame\none\ntwo")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["d"], r["start"], r["length"]) for r in later_runs(df).collect())
+    assert got == [(1, 1, 100), (2, 1, 99), (3, 0, 30), (3, 31, 10)]
+    sizes = {}
+    for size, suffixes in doubled(repeated_lines(df), 4):
+        sizes[size] = suffixes.count()
+        # ranks follow the order of prefixes: one rank, one prefix
+        seen = defaultdict(set)
+        for r in suffixes.collect():
+            seen[r["r"]].add(tuple(dict(docs)[r["d"]].split("\n")[r["pos"] : r["pos"] + size]))
+        assert all(len(v) == 1 and len(next(iter(v))) == size for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)
+    assert list(sizes) == [1, 2, 3, 4, 8, 16, 32, 64]
+    assert list(sizes.values()) == sorted(sizes.values(), reverse=True)
+
+
 def test_line_dedup_edges(spark):
     docs = edge_docs(spark)
     got = rows(dedup_lines(docs, drop_emptied=False))
