@@ -130,8 +130,9 @@ def callers_of(nodes: DataFrame, edges: DataFrame, node_id: str, rel: str = "CAL
     return once.join(nodes, "id").select(*nodes.columns, call_site_line(F.col("evidence")).alias("call_site_lineno"))
 
 
-def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Totals of a graph and its share of documented functions and methods, in one row."""
+def stats(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """Totals of a graph and its share of documented functions and methods, in one row; with
+    ``snapshots`` also their number."""
     has = F.coalesce(F.col("docstring"), F.lit("")) != ""
     code = F.col("kind").isin("function", "method")
     n = nodes.agg(
@@ -141,7 +142,8 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.count_if(code & has) / F.nullif(F.count_if(code), F.lit(0)), 3), F.lit(0.0)).alias("docstring_coverage"),
     )
     e = edges.agg(F.count("*").alias("total_edges"))
-    return n.crossJoin(F.broadcast(e))
+    out = n.crossJoin(F.broadcast(e))
+    return out if snapshots is None else out.crossJoin(F.broadcast(snapshots.agg(F.count("*").alias("snapshot_count"))))
 
 
 def counts_by(df: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +63,11 @@ def lookup(ids: DataFrame, scaled_scores: DataFrame, lo: float, hi: float, defau
     return ids.join(scaled_scores.select("node_id", "scaled"), "node_id", "left").withColumn("scaled", F.coalesce("scaled", F.lit(miss)))
 
 
-def select_for_display(nodes: DataFrame, edges: DataFrame, scores: DataFrame | None, limit: int, mode: str = "central") -> DataFrame:
-    """At most ``limit`` nodes: the highest-ranked quarter, their neighbours, then the rest by rank."""
+def select_for_display(nodes: DataFrame, edges: DataFrame, scores: DataFrame | None, limit: int, mode: str = "central", expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """At most ``limit`` nodes: the highest-ranked quarter, their neighbours, then the rest by rank.
+
+    ``expand`` gives other neighbours (id) of the seeds (id) than the ends of their edges.
+    """
     order = [F.asc_nulls_first("module_path"), F.asc_nulls_first("lineno"), F.asc("id")]
     if nodes.limit(limit + 1).count() <= limit:
         return nodes
@@ -71,9 +76,12 @@ def select_for_display(nodes: DataFrame, edges: DataFrame, scores: DataFrame | N
     with_rank = nodes.join(ranked(scores).select(F.col("node_id").alias("id"), "rank"), "id", "left")
     by_rank = [F.asc_nulls_last("rank"), F.asc("id")]
     seeds = with_rank.orderBy(*by_rank).limit(max(1, limit // SEED_FRACTION)).select("id")
-    ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(F.broadcast(seeds.withColumnRenamed("id", "a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+    if expand is not None:
+        near = expand(seeds).select("id").distinct()
+    else:
+        ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.join(F.broadcast(seeds.withColumnRenamed("id", "a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
     tiers = with_rank.join(seeds.withColumn("is_seed", F.lit(True)), "id", "left").join(near.withColumn("is_near", F.lit(True)), "id", "left")
     tiers = tiers.withColumn("tier", F.when(F.col("is_seed"), 0).when(F.col("is_near"), 1).otherwise(2))
     return tiers.orderBy("tier", *by_rank).limit(limit).select(*nodes.columns, "tier")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidgraph.schema import SNAPSHOTS
@@ -15,10 +16,14 @@ def _delta(column: str, before: Column) -> Column:
     return F.when(before.isNotNull(), F.col(column) - before[column])
 
 
-def with_deltas(snapshots: DataFrame, branch: str | None = None) -> DataFrame:
+Delta = Callable[[str, Column], Column]
+
+
+def with_deltas(snapshots: DataFrame, branch: str | None = None, delta: Delta = _delta) -> DataFrame:
     """``snapshots`` with nodes and edges gained since the one before and since the first.
 
-    The history of a store is one small table by nature, ordered as a whole.
+    ``delta`` makes a gain from a column's name and the earlier state. The history of a
+    store is one small table by nature, ordered as a whole.
     """
     rows = snapshots.where(F.col("branch") == branch) if branch is not None else snapshots
     state = F.struct("total_nodes", "total_edges")
@@ -27,10 +32,10 @@ def with_deltas(snapshots: DataFrame, branch: str | None = None) -> DataFrame:
     rows = rows.withColumn("before", F.lag(state).over(by_time)).withColumn("base", F.when(F.row_number().over(by_time) > 1, first))
     return rows.withColumns(
         {
-            "nodes_vs_previous": _delta("total_nodes", F.col("before")),
-            "edges_vs_previous": _delta("total_edges", F.col("before")),
-            "nodes_vs_baseline": _delta("total_nodes", F.col("base")),
-            "edges_vs_baseline": _delta("total_edges", F.col("base")),
+            "nodes_vs_previous": delta("total_nodes", F.col("before")),
+            "edges_vs_previous": delta("total_edges", F.col("before")),
+            "nodes_vs_baseline": delta("total_nodes", F.col("base")),
+            "edges_vs_baseline": delta("total_edges", F.col("base")),
         }
     ).drop("before", "base")
 
@@ -41,6 +46,17 @@ def listing(snapshots: DataFrame, limit: int = 0, branch: str | None = None) ->
     return rows.limit(limit) if limit else rows
 
 
+def load(snapshots: DataFrame, key: str, delta: Delta = _delta) -> DataFrame:
+    """The snapshot of a key, or the ``latest``, with its deltas; no row if there is none."""
+    rows = with_deltas(snapshots, delta=delta)
+    return rows.orderBy(F.desc("timestamp"), F.desc("key")).limit(1) if key == "latest" else rows.where(F.col("key") == key).limit(1)
+
+
+def captured(snapshots: DataFrame, new: DataFrame, delta: Delta = _delta) -> DataFrame:
+    """The one-row ``new``, not saved yet, with its deltas to the latest and the first snapshot of other keys."""
+    return load(snapshots.join(new.select("key"), "key", "left_anti").unionByName(new, allowMissingColumns=True), new.first()["key"], delta)
+
+
 def previous(snapshots: DataFrame, timestamp: str) -> DataFrame:
     """The latest snapshot strictly before a time."""
     return snapshots.where(F.col("timestamp") < timestamp).orderBy(F.desc("timestamp"), F.desc("key")).limit(1)
@@ -69,15 +85,19 @@ def prune(snapshots: DataFrame, same: list[str]) -> DataFrame:
     return marked.where(~F.coalesce("_same", F.lit(False)) | F.col("_last")).drop("_same", "_last")
 
 
-def save(snapshots: DataFrame, new: DataFrame, same: list[str], force: bool = False) -> DataFrame:
+def save(snapshots: DataFrame, new: DataFrame, same: list[str], force: bool = False, changed: Callable[[Row, Row], bool] | None = None) -> DataFrame:
     """The history with the one-row ``new``: refused if it has no nodes; if it equals the
-    latest and isn't forced, that one takes its key and time; else it is added or replaces its key."""
+    latest and isn't forced, that one takes its key and time; else it is added or replaces its key.
+
+    ``changed`` says whether the latest and the new row differ; by default columns ``same`` are compared.
+    """
+    changed = changed or (lambda old, own: any(old[c] != own[c] for c in same))
     fresh = new.first()
     if fresh is None or not fresh["total_nodes"]:
         raise ValueError("a snapshot without nodes is not saved")
     latest = snapshots.orderBy(F.desc("timestamp"), F.desc("key")).limit(1)
     gone = {fresh["key"]}
-    if not force and (row := latest.first()) is not None and all(row[c] == fresh[c] for c in same):
+    if not force and (row := latest.first()) is not None and not changed(row, fresh):
         gone.add(row["key"])
     return snapshots.where(~F.col("key").isin(*gone)).unionByName(new)
 
@@ -106,3 +126,11 @@ def broken(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """(key, problem): entries without a file, and files without an entry."""
     lost = manifest.select("key").join(files.select("key"), "key", "left_anti").withColumn("problem", F.lit("broken entry"))
     return lost.unionByName(files.select("key").join(manifest.select("key"), "key", "left_anti").withColumn("problem", F.lit("orphan file")))
+
+
+def cleaned(snapshots: DataFrame, same: list[str], files: DataFrame) -> DataFrame:
+    """One row: interior snapshots that pruning removes, broken entries, orphan files, and their total."""
+    gone = snapshots.join(prune(snapshots, same).select("key"), "key", "left_anti").select(F.lit("pruned").alias("problem"))
+    every = gone.unionByName(broken(snapshots, files).select("problem"))
+    count = lambda p: F.count_if(F.col("problem") == p)
+    return every.agg(count("pruned").alias("pruned"), count("broken entry").alias("broken"), count("orphan file").alias("orphans"), F.count("*").alias("total_cleaned"))

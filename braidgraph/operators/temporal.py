@@ -9,17 +9,34 @@ from pyspark.sql import functions as F
 def overlap_join(left: DataFrame, right: DataFrame, days: int = 32) -> DataFrame:
     """Pairs (left_id, right_id) whose closed intervals (id, start, end) overlap.
 
-    Both sides are dealt out to buckets of ``days`` days that they touch, so the join is
-    an equi-join with a residual; a pair is reported only in the first bucket it shares.
+    An interval without start or end is open on that side; one that ends before it
+    starts overlaps nothing. An interval has a level, so that buckets of ``days`` times 2
+    to the level hold its length, and touches two buckets of its level at most. Two
+    intervals meet in a bucket of the higher of their levels, so each is dealt out to
+    its own level and to the higher ones that occur, not to all buckets of a fixed size
+    that it covers. A pair is reported only in the first bucket it shares.
     """
-    width = days * 86_400
-    low = lambda c: F.floor(F.unix_timestamp(c) / width).cast("long")
+    width = days * 86_400.0
+    seconds = lambda c: F.unix_micros(F.col(c)) / 1e6
+    ends = lambda df: df.select(F.least(F.col("start"), F.col("end")).alias("low"), F.greatest(F.col("start"), F.col("end")).alias("high"))
+    span = F.broadcast(ends(left).unionByName(ends(right)).agg(F.min("low").alias("least"), F.max("high").alias("most")))
+
+    def levelled(df: DataFrame, side: str) -> DataFrame:
+        closed = df.select("id", "start", "end").crossJoin(span).select("id", F.coalesce("start", "least").alias("start"), F.coalesce("end", "most").alias("end"))
+        closed = closed.where("start <= end")
+        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), (seconds("end") - seconds("start")) / width)))).cast("int")
+        return closed.select(F.col("id").alias(f"{side}_id"), F.col("start").alias(f"{side}_start"), F.col("end").alias(f"{side}_end"), level.alias(f"{side}_level"))
+
+    a, b = levelled(left, "left"), levelled(right, "right")
+    # levels that occur: a few dozen numbers at most
+    levels = [r[0] for r in a.select("left_level").distinct().union(b.select("right_level").distinct()).distinct().orderBy("left_level").collect()]
 
     def dealt(df: DataFrame, side: str) -> DataFrame:
-        kept = df.where("start is not null and end is not null and start <= end")
-        kept = kept.select(F.col("id").alias(f"{side}_id"), F.col("start").alias(f"{side}_start"), F.col("end").alias(f"{side}_end"), low(F.col("start")).alias(f"{side}_first"), low(F.col("end")).alias(f"{side}_last"))
-        return kept.withColumn("bucket", F.explode(F.sequence(f"{side}_first", f"{side}_last")))
+        own = F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda x: x >= F.col(f"{side}_level"))
+        at = lambda c: F.floor(seconds(f"{side}_{c}") / (F.lit(width) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
+        rows = df.withColumn("level", F.explode(own)).withColumns({f"{side}_first": at("start"), f"{side}_last": at("end")})
+        return rows.withColumn("bucket", F.explode(F.sequence(f"{side}_first", f"{side}_last")))
 
-    both = dealt(left, "left").join(dealt(right, "right"), "bucket")
-    first = F.col("bucket") == F.greatest("left_first", "right_first")
-    return both.where(first & F.expr("left_start <= right_end and right_start <= left_end")).select("left_id", "right_id")
+    both = dealt(a, "left").join(dealt(b, "right"), ["level", "bucket"])
+    met = (F.col("level") == F.greatest("left_level", "right_level")) & (F.col("bucket") == F.greatest("left_first", "right_first"))
+    return both.where(met & F.expr("left_start <= right_end and right_start <= left_end")).select("left_id", "right_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,16 +42,20 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame
     return out.withColumn("rank", F.col("rank") - 1)
 
 
+#: Searches by name; more are added by ``register_backend``.
+BACKENDS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_backend(name: str, find: Callable[..., DataFrame]) -> None:
+    """Make ``find(vectors, query, k)`` the search of a backend's name."""
+    BACKENDS[name] = find
+
+
 def search_with(backend: str, vectors: DataFrame, query: Sequence[float], k: int = 8, where: str | Column | None = None) -> DataFrame:
-    """Search by a backend's name: ``exact`` (also ``auto``), ``int8`` or ``lsh``."""
-    rows = vectors.where(where) if where is not None else vectors
-    if backend in ("auto", "exact"):
-        return search(rows, query, k)
-    if backend == "int8":
-        return search(rows, query, k, int8=True)
-    if backend == "lsh":
-        return lsh_search(rows, query, k)
-    raise ValueError(f"unknown vector backend {backend!r}")
+    """Search by a backend's name: ``exact`` (also ``auto``), ``int8``, ``lsh``, or one that was registered."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown vector backend {backend!r}")
+    return BACKENDS[backend](vectors.where(where) if where is not None else vectors, query, k)
 
 
 def distance_of(row_distance: Column, distance: Column, score: Column, fallback_rank: Column) -> Column:
@@ -85,3 +89,9 @@ def lsh_search(vectors: DataFrame, query: Sequence[float], k: int = 8, planes: i
         own = sum(int(v >= 0) << i for i, v in enumerate(normal @ np.asarray(query, float)))
         near |= F.bit_count(code.bitwiseXOR(F.lit(own))) <= probes
     return search(vectors.where(near), query, k)
+
+
+register_backend("auto", search)
+register_backend("exact", search)
+register_backend("int8", lambda vectors, query, k: search(vectors, query, k, int8=True))
+register_backend("lsh", lsh_search)

@@ -15,6 +15,7 @@ from braidgraph.schema import EDGES, NODES
 from braidgraph.sources.tables import GraphTables, VectorTables
 
 
+# fixed values: the names, order and defaults of these fields are what extractors give
 @dataclass
 class NodeSpec:
     node_id: str
@@ -58,6 +59,8 @@ class GraphModule:
     """
 
     kind = "graph"
+    node_kinds: Sequence[str] = ()
+    edge_kinds: Sequence[str] = ()
     index_kinds: Sequence[str] = ()
     priorities: dict[str, int] = {}
 
@@ -72,6 +75,13 @@ class GraphModule:
         """More edges, by default those that symbol stubs resolve to."""
         return graph.resolve_symbols(nodes)
 
+    def meaningful_kinds(self) -> Sequence[str]:
+        """Kinds that coverage counts, by default all but symbol stubs."""
+        return [k for k in self.node_kinds if k != "symbol"]
+
+    def coverage(self) -> DataFrame:
+        return graph.coverage(self.tables.nodes, self.meaningful_kinds())
+
     def analyze(self) -> DataFrame:
         return self.stats()
 

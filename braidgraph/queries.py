@@ -627,6 +627,20 @@ def snap_broken(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.broken(history, main.unionByName(main.select(F.concat(F.lit("x"), "key").alias("key"))))
 
 
+@query("snap_load_latest", f"SELECT key, total_nodes, total_nodes - lag(total_nodes) OVER w AS nodes_vs_previous, total_edges - first_value(total_edges) OVER w AS edges_vs_baseline FROM ({_SN}) WINDOW w AS (ORDER BY timestamp, key) ORDER BY timestamp DESC, key DESC LIMIT 1")
+def snap_load_latest(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.load(_snapshots(spark, d), "latest").select("key", "total_nodes", "nodes_vs_previous", "edges_vs_baseline")
+
+
+@query("snap_cleaned", f"""
+WITH p AS (SELECT key, branch, lag((version, total_nodes, total_edges, n_f)) OVER w IS NOT DISTINCT FROM (version, total_nodes, total_edges, n_f) AND row_number() OVER w > 1 AND lead(key) OVER w IS NOT NULL AS gone FROM ({_SN}) WINDOW w AS (ORDER BY timestamp, key))
+SELECT count(*) FILTER (gone) AS pruned, count(*) FILTER (branch = 'dev') AS broken, CAST(0 AS BIGINT) AS orphans, count(*) FILTER (gone) + count(*) FILTER (branch = 'dev') AS total_cleaned FROM p
+""")
+def snap_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    history = _snapshots(spark, d)
+    return snapshots.cleaned(history, ["version", "total_nodes", "total_edges", "n_f"], history.where("branch = 'main'").select("key"))
+
+
 # ---- hits, ingestion, embedding ----
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,33 @@ def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return files.select(relative.alias("path"), "content").where(walkable(F.col("path")))
 
 
+def read_sources(spark: SparkSession, sources: Sequence[str], staging: str | None = None) -> DataFrame:
+    """(path, content) of several files and folders, each path once and whole.
+
+    A source that is not there is refused. A file that is named comes whatever its suffix;
+    of a folder hidden and skipped parts are left out, and so is what lies in ``staging``.
+    Spark's reader leaves out files without bytes, and those whose names start with a dot
+    or an underscore.
+    """
+    bare = lambda p: posixpath.normpath("/" + p.partition(":")[2].lstrip("/") if ":" in p else p)
+    parts = []
+    for source in sources:
+        path = spark._jvm.org.apache.hadoop.fs.Path(source)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            raise FileNotFoundError(f"source does not exist: {source}")
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+        rows = rows.select(F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/").alias("path"), "content")
+        if not fs.getFileStatus(path).isFile():
+            base = bare(source).rstrip("/") + "/"
+            rows = rows.where(walkable(F.substr("path", F.lit(len(base) + 1))))
+            if staging is not None:
+                rows = rows.where(~F.col("path").startswith(bare(staging).rstrip("/") + "/"))
+        parts.append(rows)
+    none = spark.createDataFrame([], "path string, content binary")
+    return reduce(DataFrame.unionByName, parts, none).dropDuplicates(["path"])
+
+
 def safe_join(root: str, relative: str) -> str:
     """``root/relative``; a path that leaves the root is refused."""
     base = posixpath.normpath(root)

@@ -18,17 +18,17 @@ def test_semantic_score(spark, d, want):
 
 
 def test_tokens(spark):
-    assert set(one(spark, X.query_tokens(F.lit("embed_query")))) == {"embed", "query", "embed_query"}
-    assert set(one(spark, X.query_tokens(F.lit("a b ok hi go")))) == {"ok", "hi", "go"}
-    assert one(spark, X.normalize_query(F.lit(" a_b--c "))) == "a b c"
-    q = F.array(*map(F.lit, ("embedder", "batch", "pipeline")))
-    assert one(spark, X.lexical_overlap(q, F.lit("embedder"), F.lit(None), F.lit(""), F.lit(None))) == pytest.approx(1 / 3)
+    assert set(one(spark, X.query_tokens(F.lit("Thread_pool_9 naïve")))) == {"thread_pool_9", "thread", "pool", "na", "ve"}
+    assert set(one(spark, X.query_tokens(F.lit("_edge_ x 7 of _q")))) == {"_edge_", "edge", "of", "_q"}
+    assert one(spark, X.normalize_query(F.lit("-left__right- "))) == "left right"
+    q = F.array(*map(F.lit, ("river", "delta", "mouth", "silt")))
+    assert one(spark, X.lexical_overlap(q, F.lit("the River"), F.lit(None), F.lit(""), F.lit("silt_bed"))) == pytest.approx(1 / 4)
     assert one(spark, X.lexical_overlap(F.array().cast("array<string>"), F.lit("x"))) == 0.0
 
 
 def test_docstring_signal(spark):
     assert one(spark, X.docstring_signal(F.lit(None).cast("string"))) == 0.0
-    assert one(spark, X.docstring_signal(F.lit("a b a"))) == pytest.approx(0.6 * 3 / 40 + 0.4 * 2 / 3)
+    assert one(spark, X.docstring_signal(F.lit("on and on, off"))) == pytest.approx(0.6 * 4 / 40 + 0.4 * 3 / 4)
     assert one(spark, X.docstring_signal(F.lit(" ".join(f"w{i}" for i in range(80))))) == pytest.approx(1.0)
 
 

@@ -304,3 +304,62 @@ def test_hot_names_and_equal_digests(spark):
     first = min(p for p, _, _ in rows[:300])
     assert got[first] == "same.md" and got["d/other.md"] == "other.md"
     assert sum(p == f"same-{'0' * 8}.md" for p in got.values()) == 1 and len(got) == 301
+
+
+def test_overlaps_of_long_and_open_intervals(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(6)
+    start = datetime(2000, 1, 1)
+
+    def made(n):
+        out = []
+        for i in range(n):
+            a = start + timedelta(days=rng.randrange(9000))
+            b = a + timedelta(hours=rng.choice([0, 1, 30, 900, 30_000, 200_000]))
+            out.append((i, None if rng.random() < 0.1 else a, None if rng.random() < 0.1 else b))
+        return [*out, (n, start + timedelta(9), start)]
+
+    left, right = made(60), made(80)
+    low, high = datetime.min, datetime.max
+    want = {(i, j) for i, a, b in left for j, c, d in right if (a or low) <= (b or high) and (c or low) <= (d or high) and (a or low) <= (d or high) and (c or low) <= (b or high)}
+    schema = "id long, start timestamp, end timestamp"
+    got = [tuple(r) for r in temporal.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()]
+    assert sorted(got) == sorted(want)
+    assert temporal.overlap_join(spark.createDataFrame([], schema), spark.createDataFrame(right, schema)).count() == 0
+
+
+def test_several_sources(spark, tmp_path):
+    for name in ("a/x.md", "a/.git/h.md", "a/out/staged.md", "b/y.txt", "b/.hidden.md", "c/named.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    at = lambda n: str(tmp_path / n)
+    got = caches.read_sources(spark, [at("a"), at("b"), at("b/y.txt"), at("c/named.bin")], at("a/out"))
+    assert sorted(r["path"] for r in got.collect()) == [at("a/x.md"), at("b/y.txt"), at("c/named.bin")]
+    with pytest.raises(FileNotFoundError):
+        caches.read_sources(spark, [at("nowhere")])
+
+
+def test_snapshot_hooks(spark):
+    make = lambda k, t, n: snapshots.capture(spark, k, "main", "1", t, {"total_nodes": n, "total_edges": 2 * n})
+    history = make("a", "2024-01", 5).unionByName(make("b", "2024-02", 9))
+    new = make("c", "2024-03", 7)
+    row = snapshots.captured(history, new).first()
+    assert (row["nodes_vs_previous"], row["edges_vs_baseline"]) == (-2, 4)
+    assert snapshots.load(history, "latest").first()["key"] == "b" and snapshots.load(history, "zz").count() == 0
+    twice = snapshots.load(history, "b", lambda c, before: F.when(before.isNotNull(), 2 * (F.col(c) - before[c]))).first()
+    assert twice["nodes_vs_previous"] == 8
+    kept = snapshots.save(history, new, ["total_nodes"], changed=lambda old, own: abs(old["total_nodes"] - own["total_nodes"]) > 5)
+    assert sorted(r["key"] for r in kept.collect()) == ["a", "c"]
+
+
+def test_registered_backends(spark):
+    from braidgraph.operators import vectors
+
+    rows_ = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<float>")
+    vectors.register_backend("first", lambda v, q, k: v.orderBy("id").limit(k))
+    assert [r["id"] for r in vectors.search_with("first", rows_, [0.0, 1.0], 1).collect()] == ["a"]
+    assert [r["id"] for r in vectors.search_with("exact", rows_, [0.0, 1.0], 1).collect()] == ["b"]
+    with pytest.raises(ValueError):
+        vectors.search_with("none", rows_, [1.0])
