@@ -98,6 +98,7 @@ def resolve_symbols(nodes: DataFrame) -> DataFrame:
     sizes = defs.groupBy("name").agg(F.count("*").alias("candidates"))
     named = rest.join(sizes, "name").join(defs.select("dst", "name"), "name")
     named = named.select("src", "dst", F.when(F.col("candidates") > 1, "name_fallback_ambiguous").otherwise("name_fallback").alias("mode"), "candidates")
+    # fixed values: modes, grades of confidence and the evidence's keys are part of the output
     found = exact.withColumn("candidates", F.lit(None).cast("long")).unionByName(named)
     sure = F.when(F.col("mode") == "exact_qualname", "high").when(F.col("mode") == "name_fallback", "medium").otherwise("low")
     evidence = F.to_json(F.struct(F.col("mode").alias("resolution_mode"), sure.alias("confidence"), F.col("src").alias("symbol"), F.when(F.col("mode") == "name_fallback_ambiguous", F.col("candidates")).alias("candidate_count")))

@@ -134,6 +134,7 @@ def with_spans(rows: DataFrame, files: DataFrame, context: int, max_lines: int,
                 s, e = (None, None) if pd.isna(s) else (int(s), int(e))
                 if lost:
                     parent = spans.get(qual.rpartition(".")[0]) if "." in qual else None
+                    # fixed values: the two texts are part of the output
                     if parent:
                         s, e = parent[0], min(parent[1], parent[0] + cap - 1)
                         warning = f"Missing line metadata for `{node}`; using capped parent span {s}-{e}."

@@ -86,6 +86,18 @@ def graph_upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return graph.upsert(star.of(spark, d, star.NODES), batch, ["id"], "o_orderkey").select("id", "name", "docstring")
 
 
+@query("graph_upsert_edges", f"""
+SELECT e.src, e.rel, e.dst, coalesce(b.evidence, e.evidence) AS evidence FROM ({_E}) e
+LEFT JOIN (SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst, o_orderstatus AS evidence FROM orders) b ON e.rel = 'PLACED' AND e.src = b.src AND e.dst = b.dst
+UNION ALL SELECT concat('order:', o_orderkey), 'SEEN_IN', 'audit', o_orderpriority FROM orders
+""")
+def graph_upsert_edges(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders").withColumn("order", F.concat(F.lit("order:"), "o_orderkey"))
+    again = orders.select(F.concat(F.lit("customer:"), "o_custkey").alias("src"), F.lit("PLACED").alias("rel"), F.col("order").alias("dst"), F.col("o_orderstatus").alias("evidence"))
+    new = orders.select(F.col("order").alias("src"), F.lit("SEEN_IN").alias("rel"), F.lit("audit").alias("dst"), F.col("o_orderpriority").alias("evidence"))
+    return graph.upsert(star.of(spark, d, star.EDGES), again.unionByName(new), ["src", "rel", "dst"]).select("src", "rel", "dst", "evidence")
+
+
 def _expand_sql(seeds: str, hop: int, rels: str) -> str:
     return f"""
 WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM ({_E}) WHERE rel IN ({rels}) UNION SELECT dst, src FROM ({_E}) WHERE rel IN ({rels})),
@@ -157,6 +169,12 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.stats(star.of(spark, d, star.CODE_NODES), star.of(spark, d, star.CODE_EDGES))
 
 
+@query("graph_stats_snapshots", f"SELECT (SELECT count(*) FROM ({_DN})) AS total_nodes, (SELECT count(*) FROM ({_DE})) AS total_edges, (SELECT count(*) FROM ({star.text(star.SNAPSHOTS)})) AS snapshot_count")
+def graph_stats_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    found = graph.stats(star.of(spark, d, star.DOC_NODES), star.of(spark, d, star.DOC_EDGES), _snapshots(spark, d))
+    return found.select("total_nodes", "total_edges", "snapshot_count")
+
+
 @query("graph_coverage", f"SELECT round(avg(CASE WHEN trim(coalesce(docstring, '')) <> '' THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM ({_CN}) WHERE kind IN ('function', 'module')")
 def graph_coverage(spark: SparkSession, d: str) -> DataFrame:
     return graph.coverage(star.of(spark, d, star.CODE_NODES), ["function", "module"]).select(F.round("coverage", 6).alias("coverage"))
@@ -239,6 +257,14 @@ def vec_norms(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select("id", F.round(F.sqrt(dot(v, v)), 6).alias("norm"), F.size(F.filter(to_int8(v), lambda x: x > 0)).cast("bigint").alias("positive"))
 
 
+@query("vec_distance_of", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN value + 1 WHEN 2 THEN 1 / (1 + value) ELSE event_id % 10 END AS distance FROM events")
+def vec_distance_of(spark: SparkSession, d: str) -> DataFrame:
+    # rows report a distance of their own, a distance, a score, or their rank only
+    kind, value = F.col("event_id") % 4, F.col("value")
+    found = vectors.distance_of(F.when(kind == 0, value), F.when(kind == 1, value + 1), F.when(kind == 2, value), F.col("event_id") % 10)
+    return _t(spark, d, "events").select("event_id", found.alias("distance"))
+
+
 @query("vec_knn_lsh")
 def vec_knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     return _near(vectors.lsh_search(_vectors(spark, d), _vector(spark, d, 7), 10, probes=3))
@@ -288,6 +314,13 @@ def text_metadata(spark: SparkSession, d: str) -> DataFrame:
     return star.of(spark, d, star.DOC_NODES).select("id", m["lang"].alias("lang"), m["n_chars"].cast("bigint").alias("n_chars"))
 
 
+@query("text_labels", "SELECT p_partkey, replace(concat(p_brand, '_', p_type), '_', ' ') AS label, greatest(0, p_size % 7 * 10 - p_size) AS n_lines, trim(concat(p_name, ' ')) AS spoken FROM part")
+def text_labels(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("<think>a plan\nof it</think> "), "p_name", F.lit(" <think></think>"))
+    size = F.col("p_size")
+    return _t(spark, d, "part").select("p_partkey", X.metric_label(F.concat("p_brand", F.lit("_"), "p_type")).alias("label"), X.line_count(size, size % 7 * 10).alias("n_lines"), X.strip_thinking(said).alias("spoken"))
+
+
 @query("text_colors", "SELECT p_partkey, concat('rgba(', p_size, ',', p_size + 100, ',0,', printf('%.3f', least(1.0, p_size / 40.0)), ')') AS color FROM part")
 def text_colors(spark: SparkSession, d: str) -> DataFrame:
     color = F.format_string("#%02x%02x00", F.col("p_size"), F.col("p_size") + 100)
@@ -343,6 +376,11 @@ def query_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_retrieved(spark, d, mode="hybrid", hop=2, max_nodes=40))
 
 
+@query("query_unknown_mode", _retrieve_sql("legacy") + _SHOWN)
+def query_unknown_mode(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_retrieved(spark, d, mode="no such mode"))
+
+
 @query("query_module_cap", _retrieve_sql("hybrid", hop=2, cap=2) + _SHOWN)
 def query_module_cap(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_retrieved(spark, d, mode="hybrid", hop=2, max_per_module=2))
@@ -458,6 +496,16 @@ def pack_parent_span(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"), F.col("warning").isNotNull().alias("warned"))
 
 
+@query("pack_legacy_span", "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE greatest(1, p_size - 2) END AS INTEGER) AS span_start, CAST(CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE least(60, p_size + 2) END AS INTEGER) AS span_end, false AS warned FROM part")
+def pack_legacy_span(spark: SparkSession, d: str) -> DataFrame:
+    # without a line number the whole file is shown, as far as its bound
+    line = F.when(F.col("p_partkey") % 2 == 1, F.col("p_size")).cast("int")
+    rows = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("function").alias("kind"), F.col("p_name").alias("qualname"), F.col("p_brand").alias("module_path"), line.alias("lineno"), line.alias("end_lineno"))
+    files = rows.select("module_path").distinct().withColumn("lines", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: i.cast("string")))
+    out = retrieve.with_spans(rows, files, 2, 12, "legacy")
+    return out.select(F.col("id").cast("bigint").alias("p_partkey"), F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"), F.col("warning").isNotNull().alias("warned"))
+
+
 # ---- temporal ----
 
 _TMP = f"""(SELECT event_id, occurred, p, CASE p WHEN 'year' THEN strptime(occurred || '-01-01', '%Y-%m-%d') WHEN 'month' THEN strptime(occurred || '-01', '%Y-%m-%d') WHEN 'day' THEN strptime(occurred, '%Y-%m-%d') WHEN 'time' THEN strptime(occurred, '%Y-%m-%dT%H:%M:%S') END AS i
@@ -476,6 +524,19 @@ def temporal_parse(spark: SparkSession, d: str) -> DataFrame:
     return star.of(spark, d, star.TEMPORAL).select("event_id", t["instant"].cast("timestamp_ntz").alias("instant"), t["precision"].alias("prec"))
 
 
+@query("temporal_zones", "SELECT event_id, date_trunc('second', ts) - INTERVAL 1 HOUR * (event_id % 5) AS instant FROM events")
+def temporal_zones(spark: SparkSession, d: str) -> DataFrame:
+    written = F.concat(F.substring(F.col("ts").cast("string"), 1, 10), F.lit("T"), F.substring(F.col("ts").cast("string"), 12, 8), F.lit("+0"), (F.col("event_id") % 5).cast("string"), F.lit(":00"))
+    return _t(spark, d, "events").select("event_id", TM.parse(written)["instant"].cast("timestamp_ntz").alias("instant"))
+
+
+@query("temporal_spine_id", "SELECT event_id, concat('t:', CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y') WHEN 1 THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END) AS spine FROM events")
+def temporal_spine_id(spark: SparkSession, d: str) -> DataFrame:
+    at, kind = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    spine = F.when(kind == 0, TM.spine_id(at, "year")).when(kind == 1, TM.spine_id(at, "month")).otherwise(TM.spine_id(at))
+    return _t(spark, d, "events").select("event_id", spine.alias("spine"))
+
+
 @query("temporal_period_end", f"SELECT event_id, {_END} AS period_end FROM {_TMP} WHERE p IS NOT NULL")
 def temporal_period_end(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).where("span is not null").select("event_id", F.col("span.end").cast("timestamp_ntz").alias("period_end"))
@@ -551,6 +612,13 @@ for _scaler, _part in (("rank", "(n - rank) / CAST(n - 1 AS DOUBLE)"), ("linear"
         return scores.scaled(_scores(spark, d).drop("metric"), 8.0, 42.0, scaler).select("node_id", F.round("scaled", 5).alias("scaled"))
 
 
+@query("scores_lookup", f"SELECT id AS node_id, round(coalesce(8 + 34 * ((n - rank) / CAST(n - 1 AS DOUBLE)), 25.0), 5) AS scaled FROM ({_N}) LEFT JOIN {_RANKED} ON node_id = id WHERE kind IN ('part', 'supplier')")
+def scores_lookup(spark: SparkSession, d: str) -> DataFrame:
+    ids = graph.query_nodes(star.of(spark, d, star.NODES), ["part", "supplier"]).select(F.col("id").alias("node_id"))
+    found = scores.lookup(ids, scores.scaled(_scores(spark, d).drop("metric"), 8.0, 42.0, "rank"), 8.0, 42.0)
+    return found.select("node_id", F.round("scaled", 5).alias("scaled"))
+
+
 @query("scores_available", f"SELECT CAST(1 AS INTEGER) AS table_ord, 'price' AS metric, count(*) AS n FROM part UNION ALL SELECT 0, 'degree', count(DISTINCT x) FROM (SELECT src AS x FROM ({_E}) UNION ALL SELECT dst FROM ({_E}))")
 def scores_available(spark: SparkSession, d: str) -> DataFrame:
     return scores.available([graph.degree_metrics(star.of(spark, d, star.EDGES)), _scores(spark, d)])
