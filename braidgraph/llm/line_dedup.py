@@ -58,8 +58,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return dealt_join(ids, again, ["r"], "left_semi").select("d", "t", "pos", "words", "r").distinct()
 
 
-def number_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) with their counts n, numbered by how many rows sort before them; ``first`` stays."""
+def number_pairs(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct (a, b) with their counts n, numbered by how many rows sort before them, and the
+    number of rows; ``first`` stays."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("part", F.spark_partition_id()))
@@ -84,7 +85,7 @@ def number_pairs(pairs: DataFrame) -> DataFrame:
     # each partition is one sorted range, in order
     flat = dealt.select("a", "b", "n", F.col("part").cast("long"), *(F.col(f"first.{c}").cast("long").alias(c) for c in PLACE))
     numbered = flat.mapInArrow(running, schema).join(F.broadcast(before), "part")
-    return numbered.select("a", "b", (F.col("start") + F.col("nth")).alias("rank"), F.struct(*PLACE).alias("first"))
+    return numbered.select("a", "b", (F.col("start") + F.col("nth")).alias("rank"), F.struct(*PLACE).alias("first")), total
 
 
 def _place() -> Column:
@@ -93,18 +94,21 @@ def _place() -> Column:
 
 def doubled(lines: DataFrame, min_words: int) -> Iterator[tuple[int, DataFrame]]:
     """Lengths and, of each, the suffixes (d, t, pos, r, later) whose first so many lines occur again:
-    their rank, and whether an earlier place has them too. Ends when there are none."""
+    their rank, and whether an earlier place has them too. Ends where no more would follow."""
     firsts = lines.groupBy("r").agg(F.min(_place()).alias("first"))
     cur = checkpointed(dealt_join(lines.select(*PLACE, "r"), firsts, ["r"]).select(*PLACE, "r", (_place() != F.col("first")).alias("later")))
     size = 1
-    while not cur.isEmpty():
+    while True:
         yield size, cur
         longer = size + 1 if size < min_words else 2 * size
         # the suffix so many lines on that both together have the longer prefix; a finished one is missing
         on = Window.partitionBy("d", "t").orderBy("pos").rangeBetween(longer - size, longer - size)
         paired = checkpointed(cur.select(*PLACE, F.col("r").alias("a"), F.first("r").over(on).alias("b")).where("b is not null"))
         pairs = paired.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
-        ranked = dealt_join(paired, number_pairs(pairs), ["a", "b"])
+        ranks, total = number_pairs(pairs)
+        if not total:
+            return
+        ranked = dealt_join(paired, ranks, ["a", "b"])
         cur = checkpointed(ranked.select(*PLACE, F.col("rank").alias("r"), (_place() != F.col("first")).alias("later")))
         size = longer
 

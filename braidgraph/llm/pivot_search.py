@@ -181,7 +181,7 @@ def meetings(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256
         return left.select("id", "v", "key", "least", "cell", "cut", "slice").groupBy("cell", "cut", "slice").cogroup(mine.groupBy("c", "d", "e")).applyInArrow(meet, _MET)
 
     none = F.lit(None).cast("long")
-    first = checkpointed(met(asked.select("id", "v", "key", none.alias("least"), "cell", spread("id", of(cuts, F.col("cell")), "first").alias("cut"))))
+    first = met(asked.select("id", "v", "key", none.alias("least"), "cell", spread("id", of(cuts, F.col("cell")), "first").alias("cut")))
     # a floor only where the block held k others
     floors = first.where("vec_id is not null").groupBy(F.col("query_id").alias("id"), F.col("query_key").alias("key")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     started = asked.drop("cell").join(floors, ["id", "key"], "left")
