@@ -482,7 +482,7 @@ WITH o AS (SELECT concat('o:', o_orderkey) AS id, o_orderkey, {_SPAN_OF.format("
 ow AS (SELECT id, o_orderkey, s, least(e, s + 11) AS e FROM o),
 l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
 SELECT id, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end, false AS warned FROM ow
-UNION ALL SELECT concat('o:', l_orderkey, ':', l_linenumber), CASE WHEN l_linenumber % 2 = 0 THEN ow.s ELSE greatest(1, l_linenumber - 2) END, CASE WHEN l_linenumber % 2 = 0 THEN ow.e ELSE l_linenumber + 2 END, l_linenumber % 2 = 0
+UNION ALL SELECT concat('o:', l_orderkey, ':', l_linenumber), CAST(CASE WHEN l_linenumber % 2 = 0 THEN ow.s ELSE greatest(1, l_linenumber - 2) END AS INTEGER), CAST(CASE WHEN l_linenumber % 2 = 0 THEN ow.e ELSE l_linenumber + 2 END AS INTEGER), l_linenumber % 2 = 0
 FROM l LEFT JOIN ow ON l_orderkey = o_orderkey
 """)
 def pack_parent_span(spark: SparkSession, d: str) -> DataFrame:
