@@ -33,6 +33,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that no DataFrame refers to any more removed.
+
+    Spark removes them when the driver's JVM collects the references, which for a small
+    driver state may be never within a job; a job of many rounds asks for it.
+    """
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint."""
     checkpoint_folder(df.sparkSession)

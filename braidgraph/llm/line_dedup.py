@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpointed, dealt_join, fresh, small_batches
+from braidgraph.llm.common import checkpointed, dealt_join, fresh, release_shuffles, small_batches
 
 MIN_WORDS = 4
 _LOW = -(2**63)
@@ -110,6 +110,7 @@ def doubled(lines: DataFrame, min_words: int) -> Iterator[tuple[int, DataFrame]]
             return
         ranked = dealt_join(paired, ranks, ["a", "b"])
         cur = checkpointed(ranked.select(*PLACE, F.col("rank").alias("r"), (_place() != F.col("first")).alias("later")))
+        release_shuffles(lines.sparkSession)
         size = longer
 
 
