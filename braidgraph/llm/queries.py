@@ -81,6 +81,15 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from braidgraph.llm.bpe_lexicon import decode, encode
+
+    both = decode(encode(table(spark, sf_dir, "documents")))
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_pivot_search": op1_pivot_search,
     "op2_secret_scan": op2_secret_scan,
@@ -92,6 +101,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_group_join": op9_group_join,
     "op10_pack": op10_pack,
+    "op11_bpe": op11_bpe,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
