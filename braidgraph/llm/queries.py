@@ -100,6 +100,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from braidgraph.llm.conversation_repair import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), F.col("gone"))
+
+
 QUERIES = {
     "op1_pivot_search": op1_pivot_search,
     "op2_secret_scan": op2_secret_scan,
@@ -113,6 +121,7 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_bpe": op11_bpe,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,6 +162,38 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
   vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE o AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT)),
+    lambda v, b: list_reduce(list_prepend(xor(v, b), range(8)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 20 AS kind FROM (SELECT DISTINCT k FROM o)),
+d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o JOIN crc USING (k) WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+f AS (SELECT *, left(role, 1) AS x, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM p),
+s AS (SELECT c, i, role, text, x, fault IN (1, 2) AS must, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS cut FROM f),
+n AS (SELECT c, count(*) AS n FROM s GROUP BY c),
+back AS (SELECT c, n AS i, [0, 10, 5, 0] AS g FROM n UNION ALL
+  SELECT c, i, list_transform([1, 2, 3, 4], lambda q: least(b[q], 5 + b[[3, 3, 4, 3][q]], 10 + b[[4, 4, 3, 4][q]])) FROM
+  (SELECT s.c, s.i, list_transform([1, 2, 3, 4], lambda q: least(2 + g[q], CASE WHEN must THEN 1000000000 ELSE cut + least(1 + g[[3, 3, 4, 3][q]],
+    CASE WHEN x = 's' AND q = 1 THEN g[2] WHEN x = 'u' AND q <> 3 THEN g[3] WHEN x = 'a' AND q = 3 THEN g[4] ELSE 1000000000 END) END)) AS b
+  FROM back JOIN s ON s.c = back.c AND s.i = back.i - 1)),
+there AS (SELECT back.c, back.i, back.g, after.g AS h, role, text, x, must, cut FROM back LEFT JOIN s ON s.c = back.c AND s.i = back.i LEFT JOIN back AS after ON after.c = back.c AND after.i = back.i + 1),
+walk AS (SELECT c, 0::BIGINT AS i, 1 AS q, '' AS audit, [] :: VARCHAR[] AS said FROM n UNION ALL
+  SELECT c, i + CASE WHEN e = 'I' THEN 0 ELSE 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kept ELSE moved END, audit || e,
+    CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE moved WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END) END
+  FROM (SELECT *, CASE WHEN h IS NULL THEN CASE WHEN g[q] > 0 THEN 'I' END WHEN g[q] = 2 + h[q] THEN 'D' WHEN g[q] = 5 + g[moved] THEN 'I'
+      WHEN kept IS NOT NULL AND NOT must AND g[q] = cut + h[kept] THEN 'K' ELSE 'R' END AS e
+    FROM (SELECT walk.*, g, h, role, text, must, cut, [3, 3, 4, 3][q] AS moved, CASE WHEN x = 's' AND q = 1 THEN 2 WHEN x = 'u' AND q <> 3 THEN 3 WHEN x = 'a' AND q = 3 THEN 4 END AS kept
+      FROM walk JOIN there ON there.c = walk.c AND there.i = walk.i)) WHERE e IS NOT NULL),
+done AS (SELECT c, audit, said FROM walk JOIN n USING (c) WHERE i = n AND q IN (1, 4) QUALIFY row_number() OVER (PARTITION BY c ORDER BY length(audit) DESC) = 1),
+t AS (SELECT c, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated FROM f GROUP BY c),
+l AS (SELECT c, count(*) FILTER (y IS NOT NULL AND y || x NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT c, x, lag(x) OVER (PARTITION BY c ORDER BY i) AS y FROM f) GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(g[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM o) LEFT JOIN t USING (c) LEFT JOIN l USING (c) LEFT JOIN done USING (c) LEFT JOIN (SELECT c, g FROM back WHERE i = 0) USING (c)
 """,
     "op4_chat_format": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
