@@ -26,7 +26,8 @@ Defined edge cases: rows with a null label, vector or id, and vectors that hold
 non-finite components, take no part; shorter vectors are padded with zeros; rows that
 share an id each count, but an anchor never meets rows of its own id and repeated
 anchor rows are answered once; ties go to the smaller id; without positives, or where no
-row lies in the band, nothing is returned; scores beyond a long are clipped to it.
+row lies in the band, nothing is returned; scores beyond a long are clipped to it, before
+anything else.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ SAMPLE = 2048
 SLICE, BLOCK = 2048, 16_384
 #: Anchors and rows compared at a time, and the share of pairs below which they are followed one by one.
 TILE, SPARSE = (256, 2048), 0.15
+TOP = 2**63 - 1
 
 
 def rotation(sample: np.ndarray, width: int) -> np.ndarray:
@@ -103,14 +105,12 @@ def survivors(a: Rotated, i: slice, c: Rotated, j: slice, ok: np.ndarray, least:
 
 
 def products(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows: in 64 bits where they fit, else in Python's integers."""
+    """Exact inner products of rows: in 64 bits where they fit, else in Python's integers, clipped to 64 bits."""
     reach = a.shape[1] * float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0))
-    kind = np.int64 if reach < 2**55 else object  # hundredfold scores fit as well
-    return (a.astype(kind) * c.astype(kind)).sum(1) if len(a) else np.empty(0, kind)
-
-
-def clipped(scores: np.ndarray) -> list[int]:
-    return [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
+    if reach < 2**55 or not len(a):  # hundredfold scores fit as well
+        return (a.astype(np.int64) * c.astype(np.int64)).sum(1)
+    whole = (a.astype(object) * c.astype(object)).sum(1)
+    return np.array([max(-TOP - 1, min(TOP, s)) for s in whole], object)
 
 
 def firsts(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def band_rows(a: Rotated, a_ids: np.ndarray, a_labels: np.ndarray, scores: list[
     Groups are anchor * (most positives) + place; ``start`` has a score for each, to begin with.
     """
     width = start.shape[1]
-    exact = object if any(abs(s) >= 2**55 for own in scores for s in own) else np.int64
+    exact = object if any(abs(s) >= 2**55 for own in scores for s in own) else np.int64  # hundredfold
     of = np.zeros((len(scores), width), exact)
     there = np.zeros((len(scores), width), bool)
     for n, own in enumerate(scores):
@@ -171,7 +171,8 @@ def band_rows(a: Rotated, a_ids: np.ndarray, a_labels: np.ndarray, scores: list[
     # as floats, moved outwards by more than they round
     wide = lambda x, by: np.array([[float(s) / 100 + by * (abs(float(s)) * 1e-14 + 1) for s in r] for r in x.tolist()]).reshape(x.shape)
     least = np.where(there, np.maximum(wide(of * low, -1), start), np.inf)
-    most = np.where(there, wide(of * high, 1), -np.inf).max(1, initial=-np.inf)
+    # above a clipped score there is no limit
+    most = np.where(there, np.where(of == TOP, np.inf, wide(of * high, 1)), -np.inf).max(1, initial=-np.inf)
     held, work = Held(least.size, k, least.ravel()), 0
     for x in range(0, len(a_ids), TILE[0]):
         for y in range(0, len(ids), TILE[1]):
@@ -232,8 +233,8 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int
             if report:
                 return pa.table({"anchor_id": [len(a.v) * len(c.v)], "key": [done], "place": [0], "row_id": [0], "score": [0]})
             keys, at = q.column("key").to_numpy(), found.group // per
-            cols = (own[0][at], keys[at], found.group % per, found.id, clipped(found.score))
-            return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, cols, strict=True)})
+            cols = (own[0][at], keys[at], found.group % per, found.id, found.score)
+            return pa.table({n: pa.array(x.tolist(), pa.int64()) for n, x in zip(names, cols, strict=True)})
 
         left = left.withColumn("cut", every(cuts))
         return left.groupBy("slice", "cut").cogroup(right.groupBy("e", "d")).applyInArrow(meet, ", ".join(f"{n} long" for n in names))
