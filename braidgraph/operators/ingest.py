@@ -58,12 +58,13 @@ def stem_of(path: Column) -> Column:
     return F.when(safe == "", F.lit("document")).otherwise(safe)
 
 
-def staged_names(files: DataFrame) -> DataFrame:
+def staged_names(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``files`` (path, sha256, out_suffix) with staged_path; names that collide take a digest part.
 
-    The first path of a name keeps it. Firsts are minima, taken in part before the
-    shuffle, so a name that a third of all files share gathers nowhere. Of files that
-    also share the digest's first part one has the short name, the rest the whole digest.
+    The first path of a name keeps it, unless ``taken`` (staged_path) has it from earlier.
+    Firsts are minima, taken in part before the shuffle, so a name that a third of all files
+    share gathers nowhere. Of files that also share the digest's first part one has the
+    short name, the rest the whole digest.
     """
     stem, out = stem_of(F.col("path")), F.col("out_suffix")
 
@@ -72,7 +73,12 @@ def staged_names(files: DataFrame) -> DataFrame:
         least = rows.groupBy(name).agg(F.min(F.struct("path", "sha256")).alias("__least"))
         dealt = F.xxhash64(name)  # a key of its own, so that a hot name's rows can be split
         both = rows.withColumn("__k", dealt).join(least.withColumn("__k", dealt), [name, "__k"])
-        return both.withColumn("__first", F.struct("path", "sha256") == F.col("__least")).drop("__least", "__k")
+        both = both.withColumn("__first", F.struct("path", "sha256") == F.col("__least")).drop("__least", "__k")
+        if taken is None:
+            return both
+        gone = taken.select(F.col("staged_path").alias(name)).where(F.col(name).isNotNull()).distinct().withColumn("__gone", F.lit(True))
+        both = both.withColumn("__k", dealt).join(gone.withColumn("__k", dealt), [name, "__k"], "left")
+        return both.withColumn("__first", F.col("__first") & F.col("__gone").isNull()).drop("__gone", "__k")
 
     named = first_of(files.withColumn("__plain", F.concat(stem, out)), "__plain")
     short = F.concat(stem, F.lit("-"), F.substring("sha256", 1, 8), out)
@@ -95,7 +101,7 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str, converters: dic
 
     Files whose digest the ledger holds as ingested, later files of equal content and
     unsupported suffixes are skipped; conversions without output fail. An ingested
-    record is never overwritten by a later skip.
+    record is never overwritten by a later skip, nor is a name that the ledger has given again.
     """
     known = files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size_bytes"), suffix(F.col("path")).alias("suffix"))
     chain = converters or default_converters()
@@ -127,7 +133,7 @@ def ingest(files: DataFrame, ledger: DataFrame | None, now: str, converters: dic
     reason = reason.when(~F.col("suffix").isin(*chain), "converter is not installed").when(F.col("status") == "failed", "no output")
     out_suffix = F.when(F.col("suffix") == ".markdown", ".md").when(F.col("suffix").isin(*TEXT_SUFFIXES), F.col("suffix")).otherwise(".md")
     rows = rows.withColumn("status", status).withColumn("reason", reason).withColumn("out_suffix", out_suffix)
-    names = staged_names(rows.where("status = 'ingested'").select("path", "sha256", "out_suffix").distinct()).select("path", "sha256", "staged_path")
+    names = staged_names(rows.where("status = 'ingested'").select("path", "sha256", "out_suffix").distinct(), ledger).select("path", "sha256", "staged_path")
     out = rows.join(names, ["path", "sha256"], "left")
     converter = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), "passthrough").when(F.col("suffix").isin(*chain), F.ltrim(F.col("suffix"), F.lit(".")))
     return out.select(

@@ -48,14 +48,20 @@ def drain(stream: DataFrame) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, root: str, ledger_path: str, now: str):
-    """Ingest new files under ``root`` as they come; each batch joins the ledger so far and
-    appends its outcomes, with their texts beside it."""
+    """Ingest new files under ``root`` as they come; each batch joins the ledger of the batches
+    before it and writes its outcomes, with their texts beside it, as a partition of its own.
+
+    A batch that was written but not yet marked as done when its driver was lost runs
+    again: it sees the same files and the same earlier batches, never its own first
+    output, and replaces that with the same rows. So each file counts exactly once.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
+    ledger = f"{ledger_path}/ledger"
 
     def batch(rows: DataFrame, number: int) -> None:
         own = rows.sparkSession
-        known = own.read.schema(LEDGER).parquet(f"{ledger_path}/ledger/batch=*") if number else None
+        known = own.read.schema(f"{LEDGER.toDDL()}, batch long").parquet(ledger).where(F.col("batch") < number).drop("batch") if number else None
         out = ingest(rows.select("path", "content"), known, now)
-        out.write.mode("overwrite").parquet(f"{ledger_path}/ledger/batch={number}")
+        out.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{ledger_path}/state").trigger(availableNow=True).start()

@@ -147,6 +147,40 @@ def test_incremental_ingestion(spark, tmp_path):
     assert got == {"a.md": "ingested", "b.md": "skipped", "c.md": "ingested"}
 
 
+@pytest.mark.parametrize("lost", [0, 1])
+def test_a_replayed_batch_loses_nothing(spark, tmp_path, lost):
+    """The driver goes after a batch is written and before it is marked as done."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    run = lambda: streams.ingest_stream(spark, str(source), str(out), "t").awaitTermination()
+    (source / "a.txt").write_text("alpha")
+    run()
+    if lost:
+        (source / "b.txt").write_text("beta")
+        run()
+    seen = lambda: {r["source_path"].rpartition("/")[2]: (r["status"], r["staged_path"], r["text"]) for r in rows(spark.read.parquet(str(out / "ledger")))}
+    before = seen()
+    for mark in (out / "state" / "commits").glob(f"*{lost}*"):
+        mark.unlink()
+    (source / "c.txt").write_text("gamma")  # of the next batch
+    run()
+    after = seen()
+    assert before == {k: v for k, v in after.items() if k != "c.txt"} and after["c.txt"] == ("ingested", "c.txt", "gamma")
+    assert after["a.txt"][2] == "alpha" and (not lost or after["b.txt"] == ("ingested", "b.txt", "beta"))
+    assert spark.read.parquet(str(out / "ledger")).count() == len(after)
+
+
+def test_names_of_earlier_batches_are_kept(spark, tmp_path):
+    for i, text in enumerate(("one", "two", "two", "three")):
+        (tmp_path / "in" / str(i)).mkdir(parents=True)
+        (tmp_path / "in" / str(i) / "x.md").write_text(text)
+        streams.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), "t").awaitTermination()
+    got = sorted((r["source_path"].split("/")[-2], r["status"], r["staged_path"]) for r in rows(spark.read.parquet(str(tmp_path / "out" / "ledger"))))
+    assert [g[:2] for g in got] == [("0", "ingested"), ("1", "ingested"), ("2", "skipped"), ("3", "ingested")]
+    names = [g[2] for g in got if g[2]]
+    assert names[0] == "x.md" and len(set(names)) == 3 and all(n.startswith("x-") for n in names[1:])
+
+
 def test_safe_join():
     assert caches.safe_join("/r", "a/../b") == "/r/b"
     for bad in ("../x", "/etc/passwd", "a/../../x"):
