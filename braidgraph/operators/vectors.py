@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidgraph.functions.vectors import cosine_distance, to_int8
+from braidgraph.functions.vectors import cosine_distance, matrix, ranks, to_int8, unit
 from braidgraph.operators.graph import upsert
 
-#: Queries that are sent to every task at once; more of them are joined in blocks of so many.
-QUERY_BLOCK = 1024
+#: Queries and rows that meet in one task, and numbers in a matrix product.
+QUERY_BLOCK, ROW_BLOCK, PRODUCT = 1024, 16_384, 4 << 20
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int = 8, where: str | Column | None = None, int8: bool = False) -> DataFrame:
@@ -25,21 +27,49 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 8, where: str |
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """``k`` nearest rows for each query (query_id, query_vector), in blocks of queries.
+    """``k`` nearest rows for each query (query_id, query_vector), with ``_distance`` and a rank from 0.
 
-    Each block of at most ``QUERY_BLOCK`` queries is sent to the rows; distances are cut
-    to the best k before and after the shuffle.
+    Blocks of queries meet blocks of rows, both dealt by hash, in one job however many
+    queries there are: a block pair is one matrix product, of which the best k of each
+    query leave the task. Sums that decide are taken row by row, so equal vectors have
+    equal distances.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = vectors.join(F.broadcast(some)).select("query_id", "id", cosine_distance(F.col("vector"), F.col("query_vector")).alias("_distance"))
-        order = Window.partitionBy("query_id").orderBy("_distance", "id")
-        top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out.withColumn("rank", F.col("rank") - 1)
+    sizes = vectors.agg(F.count("*").alias("n")).first().n, queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("query_vector")), F.lit(1)).alias("dim")).first()
+    cuts, slices, dim = max(1, -(-sizes[0] // ROW_BLOCK)), max(1, -(-sizes[1].n // QUERY_BLOCK)), max(1, sizes[1].dim)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "query_vector", deal("query_id", slices).alias("slice")).withColumn("cut", every(cuts))
+    right = vectors.select("id", "vector", deal("id", cuts).alias("d")).withColumn("e", every(slices))
+    names, kinds = ["query_id", "id", "_distance"], (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"], "double")
+
+    def meet(q: pa.Table, t: pa.Table) -> pa.Table:
+        own = [q.column("query_id").combine_chunks(), t.column("id").combine_chunks()]
+        if not len(own[0]) or not len(own[1]):
+            return pa.table({n: pa.array([], x) for n, x in zip(names, (own[0].type, own[1].type, pa.float64()), strict=True)})
+        a, b = matrix(q.column("query_vector"), dim), matrix(t.column("vector"), dim)
+        ua, ub = unit(a), unit(b)
+        length = np.sqrt((a**2).sum(1)), np.sqrt((b**2).sum(1))
+        found: list[tuple[np.ndarray, ...]] = []
+        step = max(1, PRODUCT // len(b))
+        for s in range(0, len(a), step):
+            far = -(ua[s : s + step] @ ub.T)
+            last = np.partition(far, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+            i, j = np.nonzero(~(far > last[:, None] + 1e-9))
+            i += s
+            size = length[0][i] * length[1][j]
+            exact = np.where(size > 0, 1 - np.einsum("nd,nd->n", a[i], b[j]) / np.where(size > 0, size, 1), 1.0)
+            found.append((i, j, exact))
+        i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((ranks(own[1])[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        kept = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i)))) < k
+        i, j, d = i[kept], j[kept], d[kept]
+        return pa.table({"query_id": own[0].take(pa.array(i)), "id": own[1].take(pa.array(j)), "_distance": pa.array(d)})
+
+    near = left.groupBy("slice", "cut").cogroup(right.groupBy("e", "d")).applyInArrow(meet, ", ".join(f"{n} {x}" for n, x in zip(names, kinds, strict=True)))
+    order = Window.partitionBy("query_id").orderBy("_distance", "id")
+    return near.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
 #: Searches by name; more are added by ``register_backend``.
@@ -79,8 +109,6 @@ def existing_ids(vectors: DataFrame) -> DataFrame:
 def lsh_search(vectors: DataFrame, query: Sequence[float], k: int = 8, planes: int = 8, probes: int = 2, seed: int = 11, tables: int = 8) -> DataFrame:
     """Approximate search: each of ``tables`` hash tables buckets the rows by the signs of its
     own random projections, and rows within ``probes`` sign changes of the query in any are scored."""
-    import numpy as np
-
     sign = lambda p: F.when(F.aggregate(F.zip_with("vector", F.array(*map(F.lit, map(float, p))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, 1).otherwise(0)
     near = F.lit(False)
     for table in range(tables):

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from braidgraph.functions import temporal as TM
 from braidgraph.functions import text as X
 from braidgraph.functions.vectors import cosine_distance, dot, to_int8
-from braidgraph.operators import embed, graph, hits, ingest, layout, retrieve, scores, snapshots, temporal, vectors
+from braidgraph.operators import embed, graph, hits, ingest, ivf, layout, retrieve, scores, snapshots, temporal, vectors
 from braidgraph.plans import star
-from braidgraph.plans.lineage import numbered
+from braidgraph.plans.lineage import checkpointed, numbered, scratch
+from braidgraph.sources.adjacency import Adjacency
+from braidgraph.sources.tables import GraphTables, VectorTables
 from braidgraph.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +88,26 @@ def graph_upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return graph.upsert(star.of(spark, d, star.NODES), batch, ["id"], "o_orderkey").select("id", "name", "docstring")
 
 
+@query("graph_store_merge", f"""
+SELECT n.id, coalesce(b.name, n.name) AS name, CASE WHEN b.id IS NULL THEN n.docstring ELSE b.docstring END AS docstring FROM ({_N}) n
+LEFT JOIN (SELECT concat('customer:', o_custkey) AS id, concat('Buyer ', o_custkey) AS name, max_by(o_orderpriority, o_orderkey) AS docstring FROM orders GROUP BY o_custkey) b USING (id)
+UNION ALL SELECT 'audit', 'Audit', NULL
+""")
+def graph_store_merge(spark: SparkSession, d: str) -> DataFrame:
+    # a base, two deltas, one of them written twice, and what readers make of them
+    orders, none = _t(spark, d, "orders"), F.lit(None).cast("string")
+    last = orders.groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("docstring"))
+    buyers = last.select(F.concat(F.lit("customer:"), "o_custkey").alias("id"), F.lit("customer").alias("kind"), F.concat(F.lit("Buyer "), "o_custkey").alias("name"), "docstring")
+    with scratch(spark) as folder:
+        store = GraphTables(spark, folder)
+        edges = star.of(spark, d, star.EDGES)
+        store.write(star.of(spark, d, star.NODES), edges)
+        store.write(buyers.withColumn("docstring", none), edges.where("false"))
+        store.write(buyers.unionByName(spark.createDataFrame([("audit", "audit", "Audit", None)], buyers.schema)), edges.where("false"))
+        found = checkpointed(store.nodes.select("id", "name", "docstring"))
+    return found
+
+
 @query("graph_upsert_edges", f"""
 SELECT e.src, e.rel, e.dst, coalesce(b.evidence, e.evidence) AS evidence FROM ({_E}) e
 LEFT JOIN (SELECT concat('customer:', o_custkey) AS src, concat('order:', o_orderkey) AS dst, o_orderstatus AS evidence FROM orders) b ON e.rel = 'PLACED' AND e.src = b.src AND e.dst = b.dst
@@ -114,6 +136,25 @@ for _hop in (1, 2, 3):
         return graph.expand(star.of(spark, d, star.EDGES), _ids(spark, "nation:1", "nation:8"), hop, ("CONTAINS", "PLACED", "SUPPLIED_BY"))
 
 
+@query("graph_expand_stored", _expand_sql("('nation:1'), ('nation:8')", 3, "'CONTAINS', 'PLACED', 'SUPPLIED_BY'"))
+def graph_expand_stored(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as folder:
+        stored = Adjacency.build(star.of(spark, d, star.EDGES), f"edges_{folder.rpartition('-')[2]}", folder)
+        found = checkpointed(stored.expand(_ids(spark, "nation:1", "nation:8"), 3, ["CONTAINS", "PLACED", "SUPPLIED_BY"]))
+        stored.drop()
+    return found
+
+
+@query("graph_edges_stored", f"SELECT src, rel, dst FROM ({_E}) WHERE (src = 'nation:3' AND rel = 'CONTAINS') OR (dst = 'supplier:2' AND rel = 'SUPPLIED_BY')")
+def graph_edges_stored(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as folder:
+        stored = Adjacency.build(star.of(spark, d, star.EDGES), f"edges_{folder.rpartition('-')[2]}", folder)
+        into = stored.callers("supplier:2", "SUPPLIED_BY").select(F.col("id").alias("src"), F.lit("SUPPLIED_BY").alias("rel"), F.lit("supplier:2").alias("dst"))
+        found = checkpointed(stored.edges_from("nation:3", "CONTAINS").select("src", "rel", "dst").unionByName(into))
+        stored.drop()
+    return found
+
+
 @query("graph_expand_rel_filter", _expand_sql("('nation:1'), ('nowhere:0')", 2, "'CONTAINS'"))
 def graph_expand_rel_filter(spark: SparkSession, d: str) -> DataFrame:
     return graph.expand(star.of(spark, d, star.EDGES), _ids(spark, "nation:1", "nowhere:0"), 2, ("CONTAINS",))
@@ -251,6 +292,42 @@ def vec_upsert(spark: SparkSession, d: str) -> DataFrame:
     return vectors.upsert_vectors(_vectors(spark, d), batch.unionByName(batch)).select("id", "kind")
 
 
+@query("vec_store_merge", f"SELECT id, CASE WHEN vec_id % 50 = 0 THEN 'back' WHEN vec_id < 50 THEN 'new' ELSE kind END AS kind FROM {_V} WHERE vec_id % 3 <> 0 OR vec_id % 50 = 0")
+def vec_store_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("document:"), "vec_id").alias("id"), F.col("label").cast("string").alias("kind"), F.col("embedding").alias("vector"))
+    with scratch(spark) as folder:
+        store = VectorTables(spark, folder)
+        store.upsert(rows.drop("vec_id"))
+        store.upsert(rows.where("vec_id < 50").drop("vec_id").withColumn("kind", F.lit("new")))
+        store.delete_ids(rows.where("vec_id % 3 = 0").select("id"))
+        store.upsert(rows.where("vec_id % 50 = 0").drop("vec_id").withColumn("kind", F.lit("back")))
+        found = checkpointed(store.rows.select("id", "kind"))
+    return found
+
+
+@query("vec_index_rows", f"SELECT id, kind, CAST(4 AS INTEGER) AS n_codes, true AS in_a_cell FROM {_V}")
+def vec_index_rows(spark: SparkSession, d: str) -> DataFrame:
+    index = ivf.build(_vectors(spark, d))
+    return index.rows.select("id", "kind", F.size("codes").alias("n_codes"), ((F.col("cell") >= 0) & (F.col("cell") < index.cells)).alias("in_a_cell"))
+
+
+@query("vec_knn_ivf")
+def vec_knn_ivf(spark: SparkSession, d: str) -> DataFrame:
+    # approximate, so without SQL; tests measure its recall
+    queries = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = ivf.search_many(ivf.build(_vectors(spark, d)), queries, 5)
+    return found.select("query_id", "id", F.round("_distance", 6).alias("distance"), "rank")
+
+
+@query("vec_knn_ivf_whole", _MANY)
+def vec_knn_ivf_whole(spark: SparkSession, d: str) -> DataFrame:
+    # every cell is probed and every row compared exactly: the index loses no row and no distance
+    queries = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = ivf.build(_vectors(spark, d))
+    found = ivf.search_many(index, queries, 5, probes=index.cells, refine=ivf.BLOCK)
+    return found.select("query_id", "id", F.round("_distance", 6).alias("distance"), "rank")
+
+
 @query("vec_norms", f"SELECT id, round(sqrt(list_dot_product(v, v)), 6) AS norm, len(list_filter({_Q8}, lambda x: x > 0)) AS positive FROM {_V}")
 def vec_norms(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("vector")
