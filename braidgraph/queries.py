@@ -15,7 +15,7 @@ from braidgraph.plans import star
 from braidgraph.plans.lineage import checkpointed, numbered, scratch
 from braidgraph.sources.adjacency import Adjacency
 from braidgraph.sources.tables import GraphTables, VectorTables
-from braidgraph.streaming import streams
+from braidgraph.streaming import streams, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -944,3 +944,12 @@ SELECT user_id, min(ts) AS w_start, max(ts) + INTERVAL 30 MINUTE AS w_end, count
 """)
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
     return streams.drain(streams.session(streams.events_stream(spark, d)))
+
+
+@query("stream_timeline", """
+SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS id, event_type AS value, ts AS span_start, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS span_end FROM events)
+WHERE span_end < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)
+""")
+def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
+    spans = timeline.timeline(streams.events_stream(spark, d), F.col("user_id"), F.col("event_id"), "ts", F.col("event_type"))
+    return streams.drain(spans.select("key", "id", "value", F.col("start").cast("timestamp_ntz").alias("span_start"), F.col("end").cast("timestamp_ntz").alias("span_end")))
