@@ -953,3 +953,12 @@ WHERE span_end < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR F
 def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
     spans = timeline.timeline(streams.events_stream(spark, d), F.col("user_id"), F.col("event_id"), "ts", F.col("event_type"))
     return streams.drain(spans.select("key", "id", "value", F.col("start").cast("timestamp_ntz").alias("span_start"), F.col("end").cast("timestamp_ntz").alias("span_end")))
+
+
+@query("stream_embed", "SELECT doc_id AS pos, text, CAST(384 AS INTEGER) AS n_dims FROM documents")
+def stream_embed(spark: SparkSession, d: str) -> DataFrame:
+    texts = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d).withColumnRenamed("doc_id", "pos")
+    with scratch(spark) as folder:
+        streams.embed_stream(texts, folder).awaitTermination()
+        found = checkpointed(streams.read_shards(spark, folder).select("pos", "text", F.size("vector").alias("n_dims")))
+    return found

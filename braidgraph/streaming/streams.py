@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from braidgraph.operators.embed import Encoder, embed_corpus, hashing_encoder
 from braidgraph.operators.ingest import ingest
 from braidgraph.plans.lineage import shared_folder
 from braidgraph.schema import LEDGER
@@ -47,13 +49,16 @@ def drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def ingest_stream(spark: SparkSession, root: str, ledger_path: str, now: str):
+def ingest_stream(spark: SparkSession, root: str, ledger_path: str, now: str, on_progress: Callable[[int, dict[str, int]], None] | None = None):
     """Ingest new files under ``root`` as they come; each batch joins the ledger of the batches
     before it and writes its outcomes, with their texts beside it, as a partition of its own.
 
     A batch that was written but not yet marked as done when its driver was lost runs
     again: it sees the same files and the same earlier batches, never its own first
     output, and replaces that with the same rows. So each file counts exactly once.
+
+    ``on_progress`` is called with each batch's number and its counts by outcome, which
+    are observed while the batch is written, without another job.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
     ledger = f"{ledger_path}/ledger"
@@ -61,7 +66,30 @@ def ingest_stream(spark: SparkSession, root: str, ledger_path: str, now: str):
     def batch(rows: DataFrame, number: int) -> None:
         own = rows.sparkSession
         known = own.read.schema(f"{LEDGER.toDDL()}, batch long").parquet(ledger).where(F.col("batch") < number).drop("batch") if number else None
-        out = ingest(rows.select("path", "content"), known, now)
+        seen = Observation()
+        counts = [F.count_if(F.col("status") == s).alias(s) for s in ("ingested", "skipped", "failed")]
+        out = ingest(rows.select("path", "content"), known, now).observe(seen, *counts)
         out.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        if on_progress is not None:
+            on_progress(number, dict(seen.get))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{ledger_path}/state").trigger(availableNow=True).start()
+
+
+def embed_stream(texts: DataFrame, path: str, make: Callable[[], Encoder] = hashing_encoder, prefix: str = ""):
+    """Embed a stream of texts (pos, text, ...) as it comes, each batch a shard under ``path``.
+
+    A shard is named by its batch and replaced whole, so one that was written before its
+    driver was lost is written again, and each row counts once. ``read_shards`` gives
+    the rows; their order is that of ``pos``, whichever batch brought them.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        embed_corpus(rows, make, prefix).sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{path}/shards/batch={number}")
+
+    return texts.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The embedded rows of all shards, without the batch they came in."""
+    return spark.read.parquet(f"{path}/shards").drop("batch")
