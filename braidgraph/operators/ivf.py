@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidgraph.functions.vectors import cosine_distance, matrix, partitions, ranks, subvectors, unit
+from braidgraph.operators.vectors import search_many as exact_many
 from braidgraph.plans.lineage import checkpointed
 
 SAMPLE, ROUNDS, CODES = 262_144, 8, 256
@@ -257,6 +258,24 @@ def meetings(index: Index, queries: DataFrame, k: int, probes: int | None = None
     return left.groupBy("cell", "cut", "slice").cogroup(right.groupBy("c", "d", "e")).applyInArrow(meet, f"query_id {q_type}, id {id_type}, _distance double, scored long")
 
 
+def probes_for(index: Index, k: int = 10, recall: float = 0.95, sample: int = 64) -> int:
+    """The fewest cells to probe so that, of the exact ``k`` nearest of about ``sample`` rows, that share lies
+    in them. Vectors in clusters need few; where they have no structure it may be most of them."""
+    n = index.rows.count()
+    asked = index.rows.where(F.pmod(F.xxhash64("id", F.lit("asks")), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n)))))
+    asked = checkpointed(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")).limit(4 * sample))
+    near = exact_many(index.rows, asked, k).select("query_id", "id")
+    near = near.join(index.rows.select("id", "cell"), "id").groupBy("query_id").agg(F.collect_list("cell").alias("cells"))
+    half, needed = (index.centroids**2).sum(1) / 2, []
+    for r in asked.join(near, "query_id").collect():
+        q = unit(np.nan_to_num(np.array([[0.0 if x is None else x for x in (r.query_vector or [])]], np.float64)))
+        q = q if q.shape[1] == index.centroids.shape[1] else np.zeros((1, index.centroids.shape[1]))
+        place = np.empty(index.cells, np.int64)
+        place[np.argsort(half - index.centroids @ q[0], kind="stable")] = np.arange(index.cells)
+        needed += (place[r.cells] + 1).tolist()
+    return int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)]) if needed else index.cells
+
+
 def search_many(index: Index, queries: DataFrame, k: int = 8, probes: int | None = None, refine: int = 20) -> DataFrame:
     """query_id, id, _distance and rank (from 0) of the ``k`` nearest that are found for each query."""
     met = meetings(index, queries, k, probes, refine).where("id is not null").drop("scored")

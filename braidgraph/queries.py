@@ -315,7 +315,10 @@ def vec_index_rows(spark: SparkSession, d: str) -> DataFrame:
 def vec_knn_ivf(spark: SparkSession, d: str) -> DataFrame:
     # approximate, so without SQL; tests measure its recall
     queries = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = ivf.search_many(ivf.build(_vectors(spark, d)), queries, 5)
+    with scratch(spark) as folder:
+        ivf.save(ivf.build(_vectors(spark, d)), folder)
+        index = ivf.load(spark, folder)
+        found = checkpointed(ivf.search_many(index, queries, 5, probes=ivf.probes_for(index, 5)))
     return found.select("query_id", "id", F.round("_distance", 6).alias("distance"), "rank")
 
 

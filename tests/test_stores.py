@@ -208,6 +208,20 @@ def test_recall_and_share_of_rows(spark, clustered):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_probes_follow_the_data(spark, clustered):
+    df, index = clustered
+    assert ivf.probes_for(index, 10, 0.95) <= index.cells // 8
+    # vectors without structure lie in many cells; the share that was asked for is still found
+    plain = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.concat(F.lit("n"), "vec_id").alias("id"), F.col("embedding").alias("vector"))
+    loose = ivf.build(plain, cells=20)
+    probes = ivf.probes_for(loose, 10, 0.95)
+    assert probes > 5
+    queries = plain.where("cast(substr(id, 2) as int) % 10 = 3").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    pairs = lambda d: {(r.query_id, r.id) for r in d.collect()}
+    exact, found = pairs(V.search_many(plain, queries, 10)), pairs(ivf.search_many(loose, queries, 10, probes))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_one_query_reads_few_cells(spark, clustered):
     df, index = clustered
     q = df.where("id = 'n77'").first().vector
