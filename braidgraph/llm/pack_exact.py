@@ -23,6 +23,7 @@ rows are packed separately; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -56,30 +57,67 @@ def encoder(path: str, specials: bool = True):
 
     Where the vocabulary file numbers its tokens in the order of its merges, as
     byte-level BPE files do, the merge table is applied by ``tiktoken``, which gives
-    the same ids at several times the speed; else ``tokenizers`` applies the file.
+    the same ids at several times the speed; else ``tokenizers`` applies the file. So it
+    does for texts that ``tiktoken`` refuses, as it does very long runs of blanks, and
+    for those with characters that the two split differently, as their Unicode
+    versions differ.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    held: list = []  # the library's tokenizer, loaded when it is needed
+
+    def plainly(text: str) -> np.ndarray:
+        if not held:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            tok.encode_special_tokens = not specials
+            held.append(tok)
+        return np.array(held[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(visible)]
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    model, vocab = spec["model"], spec["model"]["vocab"]
+    model, vocab, split = spec["model"], spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
     merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
     added = spec.get("added_tokens", ())
     special = {t["content"]: t["id"] for t in added}
     # those that take blanks beside them, or whole words only, are left to tokenizers
     plain = not specials or not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
-    if plain and model["type"] == "BPE" and spec.get("normalizer") is None and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges)):
-        import tiktoken
-
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
-        coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if specials else {})
-        return lambda text: np.asarray(coder.encode_to_numpy(text, allowed_special="all", disallowed_special=()), dtype="<u4")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = not specials
-    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    plain = plain and model["type"] == "BPE" and spec.get("normalizer") is None and not any(model.get(k) for k in ("dropout", "ignore_merges"))
+    plain = plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if not plain or any(vocab.get(m.replace(" ", "")) != 256 + k for k, m in enumerate(merges)):
+        return plainly
+    import tiktoken
+
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if specials else {})
+    same: set[str] = set()  # characters beyond ASCII by which both split alike
+    other: set[str] = set()
+
+    def quickly(text: str) -> np.ndarray:
+        return np.asarray(coder.encode_to_numpy(text, allowed_special="all", disallowed_special=()), dtype="<u4")
+
+    def alike(text: str) -> bool:
+        for c in set(text) - same - other:
+            # characters of old, whose kind has not changed since, are of one kind to all
+            kind = unicodedata.ucd_3_2_0.category(c)
+            beside = f"a{c}a1{c}1.{c}. {c} x\n"
+            old = kind != "Cn" and kind == unicodedata.category(c)
+            (same if old or np.array_equal(quickly(beside), plainly(beside)) else other).add(c)
+        return not other or other.isdisjoint(text)
+
+    def encode(text: str) -> np.ndarray:
+        if not text.isascii() and not alike(text):
+            return plainly(text)
+        try:
+            return quickly(text)
+        except ValueError:  # its splitter runs out of stack
+            return plainly(text)
+
+    return encode
 
 
 _PIECES = T.StructType(

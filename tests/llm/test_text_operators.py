@@ -513,3 +513,32 @@ def test_queries_are_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
     assert set(E.oracle_sql()) <= set(E.queries())
     assert F is not None
+
+
+def test_texts_that_the_fast_tokenizer_refuses(spark):
+    """Very long runs of blanks, and characters that Unicode versions class differently."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.default_vocabulary())
+    texts = [f"a{c * 1_000_000}b" for c in (" ", "\n", "\t", " \n")] + [" " * 1_000_000, "a\u0558b \ua7ce \u0cdc x", "x\U00030001\U00031400z"]
+    encode = P.encoder(P.default_vocabulary())
+    for text in texts:
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids, text[:5]
+    got = rows(P.pack(spark.createDataFrame([(1, texts[0]), (2, "short")], "doc_id long, text string")))
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(encode(texts[0])) + 1
+
+
+def test_checkpoints_leave_no_shuffle_files_and_no_setting(spark):
+    import glob
+
+    from braidgraph.llm.common import checkpointed, shuffles_released
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    held = lambda: len(glob.glob(f"{spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString()}/**/shuffle_*.data", recursive=True))
+    n = held()
+    out = checkpointed(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert held() <= n and out.count() == 7 and spark.conf.get(key, None) == before
+    with shuffles_released(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
