@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +35,30 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Have the files of shuffles that no DataFrame refers to any more removed.
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each query that runs inside as soon as it ends.
 
-    Spark removes them when the driver's JVM collects the references, which for a small
-    driver state may be never within a job; a job of many rounds asks for it.
+    For jobs of many rounds, whose results are collected or checkpointed: else the files
+    stay until the driver's JVM happens to collect what refers to them.
     """
-    spark._jvm.System.gc()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    """Cut the lineage of ``df`` with a reliable checkpoint; its shuffles' files go."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_released(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

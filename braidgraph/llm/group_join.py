@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import checkpointed, dealt_join, fresh, release_shuffles, small_batches
+from braidgraph.llm.common import checkpointed, dealt_join, fresh, shuffles_released, small_batches
 
 SHINGLE, THRESHOLD = 4, 85
 GROUP_SIZE, SLICE_SIZE = 128, 256
@@ -418,7 +418,6 @@ def linked_roots(found: DataFrame, threshold: int = THRESHOLD, group_size: int =
     units = units.select("node", "unit", F.when(own, F.xxhash64("unit")).otherwise(F.col("block")).alias("super"), F.when(own, F.xxhash64("unit", part)).otherwise(F.col("block")).alias("block"))
     units = checkpointed(units)
     rest = checkpointed(open_pairs(dealt_join(tokens, units, ["node"]).select("token", "unit", "super", "block"), met))
-    release_shuffles(found.sparkSession)
     if rest.isEmpty():
         return roots
     more = checkpointed(cells(rest, units.select("node", "block"), nodes, threshold, slice_size, False))
@@ -432,7 +431,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the component's smallest node."""
     a, b = F.col("a"), F.col("b")
     cur = checkpointed(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+
+    def mark(edges: DataFrame) -> tuple:
+        with shuffles_released(edges.sparkSession):
+            return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+
     seen = mark(cur)
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -442,7 +445,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = dealt_join(large, least, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = mark(cur)
-        release_shuffles(cur.sparkSession)
         if now == seen:
             break
         seen = now

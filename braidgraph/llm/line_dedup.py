@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidgraph.llm.common import checkpointed, dealt_join, fresh, release_shuffles, small_batches
+from braidgraph.llm.common import checkpointed, dealt_join, fresh, shuffles_released, small_batches
 
 MIN_WORDS = 4
 _LOW = -(2**63)
@@ -64,7 +64,8 @@ def number_pairs(pairs: DataFrame) -> tuple[DataFrame, int]:
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("part", F.spark_partition_id()))
-    counts = sorted((r[0], r[1]) for r in dealt.groupBy("part").agg(F.sum("n")).collect())
+    with shuffles_released(spark):
+        counts = sorted((r[0], r[1]) for r in dealt.groupBy("part").agg(F.sum("n")).collect())
     starts, total = [], 0
     for part, n in counts:
         starts.append((part, total))
@@ -110,7 +111,6 @@ def doubled(lines: DataFrame, min_words: int) -> Iterator[tuple[int, DataFrame]]
             return
         ranked = dealt_join(paired, ranks, ["a", "b"])
         cur = checkpointed(ranked.select(*PLACE, F.col("rank").alias("r"), (_place() != F.col("first")).alias("later")))
-        release_shuffles(lines.sparkSession)
         size = longer
 
 
