@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidgraph.plans.lineage import carried
 from braidgraph.schema import SNAPSHOTS
 
 
@@ -62,6 +63,30 @@ def previous(snapshots: DataFrame, timestamp: str) -> DataFrame:
     return snapshots.where(F.col("timestamp") < timestamp).orderBy(F.desc("timestamp"), F.desc("key")).limit(1)
 
 
+def previous_of(times: DataFrame, snapshots: DataFrame, by_branch: bool = False) -> DataFrame:
+    """``times`` (at, and branch if asked for, ...) with the ``snapshot`` (key, timestamp, totals) that is the latest
+    strictly before each; of equal times that with the greatest key. Null without one.
+
+    Both are put in one order and snapshots carried on over sorted ranges, so neither the
+    times nor the history pass through one task.
+    """
+    held = F.struct("key", "timestamp", "total_nodes", "total_edges")
+    names, lanes = times.columns, ["branch"] if by_branch else []
+    # of a time the rows that ask come before its snapshots
+    asks = times.select(*lanes, F.col("at").alias("__at"), F.lit(False).alias("__later"), F.lit("").alias("__key"), F.struct(*names).alias("__row"))
+    said = snapshots.select(*lanes, F.col("timestamp").alias("__at"), F.lit(True).alias("__later"), F.col("key").alias("__key"), held.alias("__snap"))
+    both = asks.unionByName(said, allowMissingColumns=True)
+    if by_branch:  # one that belongs to another branch is of no use
+        both = both.withColumn("__said", F.when(F.col("__later"), F.struct(F.col("branch").alias("of"), F.col("__snap").alias("is"))))
+    else:
+        both = both.withColumn("__said", F.when(F.col("__later"), F.struct(F.lit(None).cast("string").alias("of"), F.col("__snap").alias("is"))))
+    order = [F.asc_nulls_first(c) for c in (*lanes, "__at", "__later", "__key")]
+    out = carried(both, order, "__said", "__found").where(~F.col("__later"))
+    mine = F.col("__found.of").eqNullSafe(F.col("branch")) if by_branch else F.lit(True)
+    known = F.col("__row")["at"].isNotNull()
+    return out.select("__row.*", F.when(mine & known, F.col("__found.is")).alias("snapshot"))
+
+
 def diff(snapshots: DataFrame, a: str, b: str) -> DataFrame:
     """(section, name, delta) from ``a`` to ``b``: totals, and each kind and relation of either."""
     pick = lambda k: snapshots.where(F.col("key") == k).limit(1)

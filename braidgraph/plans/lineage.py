@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,6 +79,29 @@ def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: s
     return rows.join(groups, keys).withColumn(name, F.col(name) - F.col(first) + 1).drop(first)
 
 
+def carried(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the last ``value`` that is not null at or before each row in a global order.
+
+    Rows are range-partitioned and sorted; values are carried on inside each range, and
+    from range to range by one row each, so no task sees more than its range.
+    """
+    spark = df.sparkSession
+    part, nth, into = f"__{name}_part", f"__{name}_nth", f"__{name}_into"
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    dealt = checkpointed(ranged.withColumn(nth, at).withColumn(part, F.shiftright(nth, 33)).withColumn(nth, F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))))
+    lasts = dealt.where(F.col(value).isNotNull()).groupBy(part).agg(F.max_by(value, nth).alias("last")).collect()
+    most = dealt.agg(F.max(part)).first()[0]
+    held, ends, before = None, {r[0]: r[1] for r in lasts}, []
+    for p in range(0 if most is None else most + 1):
+        before.append((p, held))
+        held = ends.get(p, held)
+    schema = T.StructType([T.StructField(part, T.LongType()), T.StructField(into, df.schema[value].dataType)])
+    inside = Window.partitionBy(part).orderBy(nth).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    return own.join(F.broadcast(spark.createDataFrame(before, schema)), part, "left").withColumn(name, F.coalesce(name, into)).drop(part, nth, into)
+
+
 def scalar(df: DataFrame, *aggs: Column) -> DataFrame:
     """One row of aggregates, to cross with rows instead of a window over everything."""
     return F.broadcast(df.agg(*aggs))

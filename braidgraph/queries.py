@@ -761,6 +761,19 @@ def snap_previous(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.previous(_snapshots(spark, d), "1995-06").select("key", "total_nodes")
 
 
+@query("snap_asof", f"""
+WITH o AS (SELECT o_orderkey, substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS at, CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'dev' END AS branch FROM orders)
+SELECT o.o_orderkey, s.key AS snapshot, t.key AS of_branch FROM o ASOF LEFT JOIN ({_SN}) s ON o.at > s.timestamp ASOF LEFT JOIN ({_SN}) t ON o.branch = t.branch AND o.at > t.timestamp
+""")
+def snap_asof(spark: SparkSession, d: str) -> DataFrame:
+    day = F.substring(F.col("o_orderdate").cast("string"), 1, 7)
+    asked = _t(spark, d, "orders").select("o_orderkey", day.alias("at"), F.when(F.col("o_orderkey") % 2 == 0, "main").otherwise("dev").alias("branch"))
+    history = _snapshots(spark, d)
+    first = snapshots.previous_of(asked, history).withColumn("whole", F.col("snapshot.key"))
+    both = snapshots.previous_of(first.drop("snapshot"), history, by_branch=True)
+    return both.select("o_orderkey", F.col("whole").alias("snapshot"), F.col("snapshot.key").alias("of_branch"))
+
+
 @query("snap_save", f"SELECT key, total_nodes FROM ({_SN}) QUALIFY row_number() OVER (ORDER BY timestamp DESC, key DESC) > 1 UNION ALL SELECT * FROM (SELECT 'new', total_nodes FROM ({_SN}) ORDER BY timestamp DESC, key DESC LIMIT 1)")
 def snap_save(spark: SparkSession, d: str) -> DataFrame:
     history = _snapshots(spark, d)

@@ -250,6 +250,26 @@ def test_caches(spark, tmp_path):
     assert [(r["key"], r["total_nodes"]) for r in rows(caches.read_snapshots(spark, str(tmp_path / "s")))] == [("h", 3)]
 
 
+def test_as_of_over_ranges(spark):
+    import random
+
+    rnd = random.Random(6)
+    history = [(f"s{i}", rnd.choice("xy"), f"2024-{rnd.randrange(1, 13):02d}", i, 2 * i) for i in range(15)]
+    snaps = spark.createDataFrame(history, "key string, branch string, timestamp string, total_nodes long, total_edges long")
+    asked = [(i, rnd.choice((None, f"2024-{rnd.randrange(1, 13):02d}-15", f"2024-{rnd.randrange(1, 13):02d}")), rnd.choice("xyz")) for i in range(200)]
+    times = spark.createDataFrame(asked, "id long, at string, branch string")
+    for by_branch in (False, True):
+        want = {}
+        for i, at, branch in asked:
+            before = [(t, k) for k, b, t, _, _ in history if at is not None and t < at and (not by_branch or b == branch)]
+            want[i] = max(before)[1] if before else None
+        got = snapshots.previous_of(times, snaps, by_branch)
+        assert got.columns == ["id", "at", "branch", "snapshot"]
+        assert {r.id: r.snapshot.key if r.snapshot else None for r in got.collect()} == want
+        assert snapshots.previous_of(times.limit(0), snaps, by_branch).count() == 0
+        assert snapshots.previous_of(times, snaps.limit(0), by_branch).where("snapshot is null").count() == 200
+
+
 def test_sqlite_filters_are_pushed(spark, tmp_path):
     """Rows that the filters leave out can't even be read: their weight is no number."""
     path = str(tmp_path / "p.sqlite")
