@@ -152,12 +152,12 @@ def test_hard_negatives_at_the_edges(spark):
 def test_bounds_discard_most_work_where_vectors_have_structure(spark):
     rng = np.random.default_rng(5)
     n, d = 4000, 64
-    scale = 0.7 ** np.arange(d)  # most length in few directions
+    scale = 0.9 ** np.arange(d)  # more length in some directions than in others
     turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
     x = (rng.normal(size=(n, d)) * scale) @ turn
-    df = vectors(spark, [(i, v.tolist(), i % 4) for i, v in enumerate(x)])
+    df = vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])  # one label, so that all pairs count
     r = H.mine(df, F.col("vec_id") % 10 == 0, report=True).agg(F.sum("pairs").alias("p"), F.sum("work").alias("w")).first()
-    assert r.w < 0.35 * r.p * d, r.w / (r.p * d)
+    assert r.w < 0.2 * r.p * d, r.w / (r.p * d)
 
 
 def test_rotation_keeps_products():
