@@ -250,6 +250,26 @@ def test_caches(spark, tmp_path):
     assert [(r["key"], r["total_nodes"]) for r in rows(caches.read_snapshots(spark, str(tmp_path / "s")))] == [("h", 3)]
 
 
+def test_staged_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    from braidgraph.sources import staging
+
+    out, held = tmp_path / "out", lambda: {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    texts = spark.createDataFrame([("a.md", "one\r\n"), ("deep/b.txt", "zwei \u00fc"), ("c.md", None)], "staged_path string, text string").repartition(3)
+    staging.write_staged(texts, str(out))
+    assert held() == {"a.md": b"one\r\n", "deep/b.txt": "zwei \u00fc".encode(), "c.md": b""} and not (out / "_staging").exists()
+    read = {r.path.rpartition("/")[2]: r.content for r in caches.read_files(spark, str(out)).collect()}
+    assert bytes(read["b.txt"]) == "zwei \u00fc".encode()
+    before = held()
+    for bad in ("../x.md", None, "_staging/x"):
+        with pytest.raises(Exception):  # noqa: B017
+            staging.write_staged(texts.unionByName(spark.createDataFrame([(bad, "x")], "staged_path string, text string")).withColumn("text", F.lit("changed")), str(out), overwrite=True)
+        assert held() == before and not (out / "_staging").exists()
+    staging.write_staged(texts.where("staged_path = 'a.md'").withColumn("text", F.lit("new")), str(out))
+    assert held() == before | {"a.md": b"new"}
+    staging.write_staged(texts.where("staged_path = 'c.md'").withColumn("text", F.lit("only")), str(out), overwrite=True)
+    assert held() == {"c.md": b"only"}
+
+
 def test_as_of_over_ranges(spark):
     import random
 
