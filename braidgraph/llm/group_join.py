@@ -50,6 +50,9 @@ from pyspark.sql import functions as F
 
 from braidgraph.llm.common import checkpointed, dealt_join, fresh, shuffles_released, small_batches
 
+# Arrow's usual allocators keep what was freed; Python workers, which live through many stages, would hold it
+pa.set_memory_pool(pa.system_memory_pool())
+
 SHINGLE, THRESHOLD = 4, 85
 GROUP_SIZE, SLICE_SIZE = 128, 256
 #: Documents of a chunk from which on a token is counted before it is dealt.
