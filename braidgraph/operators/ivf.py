@@ -132,7 +132,7 @@ def build(vectors: DataFrame, cells: int | None = None, parts: int | None = None
     cells, parts = cells or partitions(whole.n), parts or subvectors(dim)
     share = min(1.0, min(sample, max(EACH * cells, 16 * CODES)) / max(1, whole.n))
     drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * share))).where(F.size("vector") == dim)
-    drawn = checkpointed(drawn.select(F.col("vector").cast("array<float>").alias("vector")).limit(2 * sample))
+    drawn = checkpointed(drawn.select(F.col("vector").cast("array<float>").alias("vector")).limit(sample))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     unit_of = F.transform("vector", lambda x: (x / F.when(length > 0, length).otherwise(1.0)).cast("float"))
     some = checkpointed(drawn.select(unit_of.alias("x")))
