@@ -37,9 +37,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Spark removes the shuffle files of each query that runs inside as soon as it ends.
+    """Spark removes the shuffle files of each query that is made and runs inside as soon as it ends.
 
-    For jobs of many rounds, whose results are collected or checkpointed: else the files
+    A DataFrame takes the setting up when it is made, not when it runs. For jobs of many rounds, whose results are collected or checkpointed: else the files
     stay until the driver's JVM happens to collect what refers to them.
     """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,7 +58,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint; its shuffles' files go."""
     checkpoint_folder(df.sparkSession)
     with shuffles_released(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a query made here, so that the setting holds for it
 
 
 def fresh(df: DataFrame, stem: str) -> str:
