@@ -973,7 +973,7 @@ def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_embed", "SELECT doc_id AS pos, text, CAST(384 AS INTEGER) AS n_dims FROM documents")
 def stream_embed(spark: SparkSession, d: str) -> DataFrame:
-    texts = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d).withColumnRenamed("doc_id", "pos")
+    texts = streams.table_stream(spark, d, "documents", "doc_id long, text string").withColumnRenamed("doc_id", "pos")
     with scratch(spark) as folder:
         streams.embed_stream(texts, folder).awaitTermination()
         found = checkpointed(streams.read_shards(spark, folder).select("pos", "text", F.size("vector").alias("n_dims")))

@@ -16,10 +16,15 @@ from braidgraph.schema import LEDGER
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A table of a folder as a stream, whether it is one file or a folder of files."""
+    # a pattern, as a stream takes a plain path for a folder; a filter by name would leave out a folder's files
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The ``events`` table of a folder as a stream, its time cast so that it can be watermarked."""
-    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, folder, "events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, window: Column, delay: str = "1 hour") -> DataFrame:
