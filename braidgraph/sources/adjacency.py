@@ -1,18 +1,19 @@
-"""Edges at rest for graph reads: both directions, bucketed and sorted by node.
+"""Edges at rest for graph reads: both directions, bucketed by node and in each bucket together by node.
 
 A hop joins the nodes found last with a bucketed table, so only these nodes are shuffled
 and edges are read where they lie. A node with more than ``HUB`` edges is kept under
 several keys, dealt by its neighbours' hash, so no bucket holds a large share of all
-edges; how many keys each such node has is a small table of its own, with a row for
-``HUB`` edges at least. Reads of single nodes go to their keys' buckets, and there to
-the row groups whose bounds and Bloom filters let the keys in.
+edges, and so are the few nodes that are counted in one slot with it; how many keys each
+of these has is a small table of its own. Only their rows hold the name beside the key.
+Reads of single nodes go to their keys' buckets, and there to the row groups whose Bloom
+filters let the keys in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.plans.lineage import checkpointed
@@ -20,6 +21,8 @@ from braidgraph.schema import DEFAULT_RELS
 
 #: Edges of a node under one key, at most about.
 HUB = 100_000
+#: Nodes are counted in so many slots, by hash; a slot without a hub holds far fewer edges than ``HUB``.
+SLOTS = 1 << 20
 _PARTED = "\x01"
 
 
@@ -38,22 +41,35 @@ class Adjacency:
         spark = edges.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         rest = [c for c in edges.columns if c not in ("src", "dst")]
-        both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("way"), *rest)
-        both = both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("way"), *rest))
-        hubs = checkpointed(both.groupBy("node").agg(F.ceil(F.count("*") / hub).cast("int").alias("cuts")).where("cuts > 1"))
+        # both directions of a row together, so that the edges are made once
+        ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("way")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("way")))
+        both = edges.select(F.inline(ways), *rest)
+        # counted by slot, as this takes numbers in a small table where counting by name takes each name
+        hot = checkpointed(both.groupBy(cls._slot()).agg(F.ceil(F.count("*") / hub).cast("int").alias("cuts")).where("cuts > 1"))
         made = cls(spark, name)
-        dealt = made._with_cuts(both, hubs)
-        key = F.when(F.col("cuts").isNull(), F.col("node")).otherwise(F.concat("node", F.lit(_PARTED), F.pmod(F.xxhash64("other"), F.col("cuts"))))
-        dealt = dealt.withColumn("key", key).drop("cuts").repartition(buckets, "key")
+        cut = F.concat("node", F.lit(_PARTED), F.pmod(F.xxhash64("other"), F.col("cuts")))
+        dealt = both.withColumn("slot", cls._slot()).join(F.broadcast(hot), "slot", "left")
+        dealt = dealt.select(F.when(F.col("cuts").isNull(), F.col("node")).otherwise(cut).alias("key"), F.when(F.col("cuts").isNotNull(), F.col("node")).alias("hub"), "other", "way", *rest)
+        # a node's edges lie together by its hash, a number that is sorted digit by digit; names have long common
+        # beginnings, and the writer's own sort would compare them in full
+        dealt = dealt.repartition(buckets, "key").sortWithinPartitions(F.xxhash64("key"))
         options = {"path": f"{path}/edges", "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "1000000"}
-        dealt.write.bucketBy(buckets, "key").sortBy("key").options(**options).mode("overwrite").saveAsTable(name)
+        dealt.write.bucketBy(buckets, "key").options(**options).mode("overwrite").saveAsTable(name)
+        hubs = spark.table(name).where("hub is not null").select(F.col("hub").alias("node")).distinct()
+        hubs = hubs.withColumn("slot", cls._slot()).join(F.broadcast(hot), "slot").select("node", "cuts")
         hubs.write.option("path", f"{path}/hubs").mode("overwrite").saveAsTable(f"{name}_hubs")
         return made
 
+    @staticmethod
+    def _slot() -> Column:
+        return F.pmod(F.xxhash64("node"), F.lit(SLOTS)).cast("int").alias("slot")
+
     @property
     def edges(self) -> DataFrame:
         """key, node, other, way (out: node is the source), and the edges' other columns."""
-        return self.spark.table(self.name)
+        stored = self.spark.table(self.name)
+        rest = [c for c in stored.columns if c not in ("key", "hub")]
+        return stored.select("key", F.coalesce("hub", "key").alias("node"), *rest)
 
     @property
     def hubs(self) -> DataFrame:
@@ -87,7 +103,8 @@ class Adjacency:
     def step(self, nodes: DataFrame, rels: Sequence[str]) -> DataFrame:
         """``nodes`` (node, ...) with ``other``, the node at the other end, for each of their edges."""
         edges = self.edges.where(F.col("rel").isin(*rels)) if rels else self.edges.where(F.lit(False))
-        return self.keys(nodes).join(edges.select("key", "other"), "key").drop("key")
+        # the nodes of a bucket are held, its edges pass by; a merge join would sort all edges for each hop
+        return edges.select("key", "other").join(self.keys(nodes).hint("shuffle_hash"), "key").select(*nodes.columns, "other")
 
     def expand(self, seeds: DataFrame, hop: int = 1, rels: Sequence[str] = DEFAULT_RELS) -> DataFrame:
         """(id, best_hop, via_seed) of all nodes within ``hop`` steps of a seed, as ``graph.expand`` finds them."""

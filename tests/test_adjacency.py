@@ -77,3 +77,20 @@ def test_a_hop_does_not_shuffle_edges(spark, both):
 def test_single_nodes_are_pushed_to_the_scan(both):
     _, stored = both
     assert "PushedFilters: [IsNotNull(key), EqualTo(key,n7)]" in stored.of("n7")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_not_sorted_by_name(spark, both):
+    """Neither the writer nor a hop sorts edges by their names; a node's edges lie together all the same."""
+    _, stored = both
+    assert "Sort Columns" not in {r.col_name for r in spark.sql("DESCRIBE EXTENDED adjacency_test").collect() if r.data_type not in ("", "[]")}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = stored.step(spark.range(1000).select(F.concat(F.lit("n"), "id").alias("node")), ["CALLS"])
+        plan = step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ShuffledHashJoin" in plan, plan  # the nodes and the hubs may be merged, the edges not
+    rows = [r.key for r in spark.table("adjacency_test").select("key", F.spark_partition_id().alias("p")).collect()]
+    runs = sum(a != b for a, b in zip(rows, rows[1:])) + 1
+    assert runs == len(set(rows))
