@@ -110,6 +110,15 @@ def greedy_spans(rows: DataFrame, order: Sequence[str], max_per_module: int | No
     return dealt.mapInPandas(keep, rows.schema).unionByName(rows.where(~spanned))
 
 
+def _missing(*rest: Column | str) -> Column:
+    # fixed values: the two texts are part of the output
+    return F.concat(F.lit("Missing line metadata for `"), "id", F.lit("`; "), *(F.lit(r) if isinstance(r, str) else r for r in rest))
+
+
+def _no_parent() -> Column:
+    return _missing("snippet omitted (no parent span available).")
+
+
 def with_spans(rows: DataFrame, files: DataFrame, context: int, max_lines: int, policy: str) -> DataFrame:
     """``rows`` with span_start, span_end and warning; ``files`` is (module_path, lines).
 
@@ -123,33 +132,39 @@ def with_spans(rows: DataFrame, files: DataFrame, context: int, max_lines: int,
     sized = sized.withColumn("lost", lost).withColumn("span", F.when((F.coalesce("module_path", F.lit("")) != "") & ~F.col("lost"), span))
     own = sized.withColumns({"span_start": F.col("span.start"), "span_end": F.col("span.end"), "warning": F.lit(None).cast("string")}).drop("span", "file_lines")
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, spans = None, {}
-        for pdf in parts:
-            starts, ends, said = [], [], []
-            for path, node, qual, lost, s, e in zip(*(pdf[c] for c in ("module_path", "id", "qualname", "lost", "span_start", "span_end")), strict=True):
-                if path != file:
-                    file, spans = path, {}
-                qual, warning = qual or "", None
-                s, e = (None, None) if pd.isna(s) else (int(s), int(e))
-                if lost:
-                    parent = spans.get(qual.rpartition(".")[0]) if "." in qual else None
-                    # fixed values: the two texts are part of the output
-                    if parent:
-                        s, e = parent[0], min(parent[1], parent[0] + cap - 1)
-                        warning = f"Missing line metadata for `{node}`; using capped parent span {s}-{e}."
-                    else:
-                        warning = f"Missing line metadata for `{node}`; snippet omitted (no parent span available)."
-                if qual and s is not None:
-                    spans[qual] = (s, e)
-                starts.append(s)
-                ends.append(e)
-                said.append(warning)
-            yield pdf.assign(span_start=pd.array(starts, "Int32"), span_end=pd.array(ends, "Int32"), warning=said)
-
-    filed = F.coalesce(F.col("module_path") != "", F.lit(False))
-    dealt = own.where(filed).repartition("module_path").sortWithinPartitions("module_path", "id")
-    return dealt.mapInPandas(fill, own.schema).unionByName(own.where(~filed)).drop("lost")
+    # only lost nodes of files take from others
+    own = own.withColumn("lost", F.coalesce((F.col("module_path") != "") & F.col("lost"), F.lit(False)))
+    qual = F.coalesce("qualname", F.lit(""))
+    own = own.withColumn("depth", F.length(qual) - F.length(F.replace(qual, F.lit("."))))
+    done, lost = own.where(~F.col("lost")), own.where("lost")
+    shown = lambda df: df.where((F.coalesce("module_path", F.lit("")) != "") & (qual != "") & F.col("span_start").isNotNull())
+    # a parent's name has one dot less, so nodes are filled by depth
+    filled: dict[int, DataFrame] = {}
+    for d in sorted(r.depth for r in lost.select("depth").distinct().collect()):
+        parents = shown(done.where(F.col("depth") == d - 1))
+        if d - 1 in filled:  # read twice
+            filled[d - 1] = checkpointed(filled[d - 1])
+            parents = parents.unionByName(shown(filled[d - 1]))
+        rows = lost.where(F.col("depth") == d)
+        filled[d] = _from_parents(rows, parents, cap) if d else rows.withColumn("warning", _no_parent())
+    for df in filled.values():
+        done = done.unionByName(df)
+    return done.drop("lost", "depth")
+
+
+def _from_parents(rows: DataFrame, parents: DataFrame, cap: int) -> DataFrame:
+    """``rows`` without spans with those of their parents: of the rows with the parent's name in
+    the same file, the last one before them by id. Parents and children of one name are a group,
+    which passes sorted and is not held."""
+    up = F.expr("substring(qualname, 1, length(qualname) - length(substring_index(qualname, '.', -1)) - 1)")
+    both = rows.select("*", up.alias("of"), F.lit(0).alias("parent"), F.lit(None).cast("struct<s: int, e: int>").alias("shown"))
+    both = both.unionByName(parents.select("*", F.col("qualname").alias("of"), F.lit(1).alias("parent"), F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e")).alias("shown")))
+    before = Window.partitionBy("module_path", "of").orderBy("id", "parent").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("shown", F.last("shown", ignorenulls=True).over(before)).where("parent = 0")
+    s, e = F.col("shown.s"), F.least(F.col("shown.e"), F.col("shown.s") + (cap - 1))
+    said = _missing("using capped parent span ", s, "-", e, ".")
+    found = found.withColumns({"span_start": s, "span_end": e, "warning": F.when(F.col("shown").isNull(), _no_parent()).otherwise(said)})
+    return found.select(*rows.columns)
 
 
 def module_summary(rows: DataFrame, nodes: DataFrame, edges: DataFrame, max_lines: int) -> DataFrame:
