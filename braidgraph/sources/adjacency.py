@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.plans.lineage import checkpointed
@@ -51,8 +51,9 @@ class Adjacency:
         dealt = both.withColumn("slot", cls._slot()).join(F.broadcast(hot), "slot", "left")
         dealt = dealt.select(F.when(F.col("cuts").isNull(), F.col("node")).otherwise(cut).alias("key"), F.when(F.col("cuts").isNotNull(), F.col("node")).alias("hub"), "other", "way", *rest)
         # a node's edges lie together by its hash, a number that is sorted digit by digit; names have long common
-        # beginnings, and the writer's own sort would compare them in full
-        dealt = dealt.repartition(buckets, "key").sortWithinPartitions(F.xxhash64("key"))
+        # beginnings, and a sort by them compares them in full. The writer sorts by bucket only, which leaves that order;
+        # the count keeps the optimizer from taking the first of two sorts for needless
+        dealt = dealt.repartition(buckets, "key").sortWithinPartitions(F.xxhash64("key")).observe(Observation(), F.count(F.lit(1)).alias("n"))
         options = {"path": f"{path}/edges", "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "1000000"}
         dealt.write.bucketBy(buckets, "key").options(**options).mode("overwrite").saveAsTable(name)
         hubs = spark.table(name).where("hub is not null").select(F.col("hub").alias("node")).distinct()
