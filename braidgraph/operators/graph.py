@@ -12,13 +12,15 @@ from braidgraph.plans.lineage import checkpointed
 from braidgraph.schema import DEFAULT_RELS
 
 
-def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
+def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str | None = None, ranges: bool = False) -> DataFrame:
     """``current`` with the rows of ``batch``; the last write of a key replaces its whole row.
 
     ``seq`` names a column of ``batch`` that orders writes of one key, those without it
     first; it is dropped. Without it the batch's own order holds: that of its partitions
     and the rows in them, as they are read from files or made from a list. A row of
     the batch always replaces a stored one. Columns may be of any type.
+    With ``ranges`` the rows come in ranges of their keys, sorted; writes of one key then
+    meet in its range, sorted and not held, instead of in part before the shuffle.
     """
     order, new = "__seq", "__new"
     late = batch.withColumn(order, F.col(seq).cast("long") if seq else F.monotonically_increasing_id()).withColumn(new, F.lit(True))
@@ -28,6 +30,8 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str |
     rest = [c for c in names if c not in keys]
     # what decides between writes of equal order
     sortable = [f.name for f in both.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    if ranges:
+        both = both.repartitionByRange(*keys)
     # a maximum, as it is taken in part before the shuffle however often a key is written
     last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest) if rest else F.lit(0), F.struct(new, order, *sortable)).alias("__last"))
     return last.select(*(c if c in keys else F.col("__last")[c].alias(c) for c in names))

@@ -118,11 +118,11 @@ class Versioned:
             except Conflict:
                 continue
 
-    def _written(self, df: DataFrame, keys: Sequence[str] = ()) -> dict | None:
-        """``df`` in a folder of its own, with its rows and bytes; None if it has no rows."""
+    def _written(self, df: DataFrame, keys: Sequence[str] = (), ranged: bool = False) -> dict | None:
+        """``df``, which may be in ranges of its keys, in a folder of its own, with its rows and bytes; None if it has no rows."""
         path, seen = f"data/{uuid.uuid4().hex}", Observation()
         if keys:  # by key, so that a search for some reads few row groups
-            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            df = (df if ranged else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/{path}")
         return {"path": path, "rows": seen.get["n"], "bytes": self._bytes(path)} if seen.get["n"] else None
 
@@ -167,10 +167,11 @@ class Versioned:
         for name, df in batches.items():
             schema, keys = self.TABLES[name]
             if keys and not gone:
-                df = upsert(self.spark.createDataFrame([], schema), df, keys).select(*schema.fieldNames())
+                # one shuffle, into the ranges that are written, instead of one by hash and another
+                df = upsert(self.spark.createDataFrame([], schema), df, keys, ranges=True).select(*schema.fieldNames())
             if keys and not wipe:
                 df = df.withColumn(GONE, F.lit(gone))
-            made[name] = self._written(df, keys)
+            made[name] = self._written(df, keys, ranged=bool(keys) and not gone)
 
         def change(state: dict) -> dict:
             for name, entry in made.items():

@@ -491,3 +491,15 @@ def test_registered_backends(spark):
     assert [r["id"] for r in vectors.search_with("exact", rows_, [0.0, 1.0], 1).collect()] == ["b"]
     with pytest.raises(ValueError):
         vectors.search_with("none", rows_, [1.0])
+
+
+def test_a_written_upsert_shuffles_once(spark):
+    from braidgraph.operators.graph import upsert
+
+    rows = [("a", 1), ("b", 2), ("a", 3), ("c", 4), ("a", 5)]
+    none = spark.createDataFrame([], "id string, n long")
+    last = upsert(none, spark.createDataFrame(rows, "id string, n long").coalesce(1), ["id"], ranges=True)
+    out = last.sortWithinPartitions("id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan, plan
+    assert sorted(map(tuple, out.collect())) == [("a", 5), ("b", 2), ("c", 4)]
